@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import maxscore, mixing
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,6 +25,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_plan
+
+    return mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import quantised, top_k
+
+    vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -31,7 +46,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_mixture": op2_mixture,
+    "op3_maxscore": op3_maxscore,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixture": mixing.SQL,
+    "op3_maxscore": maxscore.SQL,
+}
