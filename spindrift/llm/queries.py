@@ -38,6 +38,13 @@ def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simple8b import read_digests, word_encoder, write_ids
+
+    files = write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_encoder(_tokenizer("word_bpe_49k.json")), end_id=2)
+    return read_digests(files)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -48,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixture": op2_mixture,
     "op3_maxscore": op3_maxscore,
+    "op4_simple8b": op4_simple8b,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -28,35 +28,66 @@ def byte_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+#: A character that vocabularies give one id, between words that are encoded together.
+MARK = "0"
+
+
+#: Words of earlier batches and tasks of this worker, by vocabulary file.
+_memos: dict[str, dict[str, bytes]] = {}
+
+
 class WordEncoder:
-    """Ids or id counts of texts. One instance per task."""
+    """Ids or id counts of texts. One instance per task; the tasks of a worker
+    share a memo of at most ``memo_words`` words, each of ``memo_word_chars``
+    characters at most."""
 
-    def __init__(self, path: str, memo_words: int = 300_000, memo_word_bytes: int = 64):
+    def __init__(self, path: str, memo_words: int = 600_000, memo_word_chars: int = 24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, object] = {}
-        self.memo_words, self.memo_word_bytes = memo_words, memo_word_bytes
+        self.memo = _memos.setdefault(path, {})
+        self.memo_words, self.memo_word_chars = memo_words, memo_word_chars
+        mark = self._ids([MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _library(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _library(self, words: list[str]) -> list[bytes]:
+        """Each word's ids. Words are encoded as one text, with a digit between
+        them that becomes an id of its own; words with that digit go alone."""
+        out: list = [None] * len(words)
+        joined = [i for i, w in enumerate(words) if MARK not in w] if self.mark is not None else []
+        for lo in range(0, len(joined), 10_000):
+            part = joined[lo : lo + 10_000]
+            ids = self._ids([f" {MARK} ".join([words[i] for i in part])])[0]
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part) - 1:  # a word made the mark's id: take them one by one
+                continue
+            data = ids.tobytes()
+            for i, x, y in zip(part, [0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(data)], strict=True):
+                out[i] = data[x:y]
+        alone = [i for i, x in enumerate(out) if x is None]
+        for lo in range(0, len(alone), 10_000):
+            part = alone[lo : lo + 10_000]
+            for i, x in zip(part, self._ids([words[i] for i in part]), strict=True):
+                out[i] = x.tobytes()
+        return out
 
-    def _looked_up(self, words: list[str], as_count: bool) -> list:
+    def _looked_up(self, words: list[str]) -> list[bytes]:
         memo = self.memo
         found = [memo.get(w) for w in words]
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            if len(memo) + len(missing) > self.memo_words:
-                memo.clear()
-            for lo in range(0, len(missing), 20_000):
-                part = missing[lo : lo + 20_000]
-                for i, ids in zip(part, self._library([words[i] for i in part]), strict=True):
-                    found[i] = len(ids) if as_count else np.asarray(ids, np.uint32)
-                    if len(words[i]) <= self.memo_word_bytes and len(memo) < self.memo_words:
-                        memo[words[i]] = found[i]
+            room = self.memo_words - len(memo)
+            for i, ids in zip(missing, self._library([words[i] for i in missing]), strict=True):
+                found[i] = ids
+                if room > 0 and len(words[i]) <= self.memo_word_chars:
+                    memo[words[i]] = ids
+                    room -= 1
         return found
 
     @staticmethod
@@ -72,7 +103,7 @@ class WordEncoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text (null: 0)."""
         coded, offsets = self._words(texts)
-        per_word = np.array(self._looked_up(coded.dictionary.to_pylist(), True), np.int64)
+        per_word = np.fromiter(map(len, self._looked_up(coded.dictionary.to_pylist())), np.int64, len(coded.dictionary)) // 4
         sums = np.concatenate([[0], np.cumsum(per_word[coded.indices.to_numpy()])]) if len(coded) else np.zeros(1, np.int64)
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
@@ -81,9 +112,9 @@ class WordEncoder:
         coded, offsets = self._words(texts)
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        per_word = self._looked_up(coded.dictionary.to_pylist(), False)
-        sizes = np.array([len(x) for x in per_word], np.int64)
-        flat = np.concatenate(per_word) if per_word else np.zeros(0, np.uint32)
+        per_word = self._looked_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
+        flat = np.frombuffer(b"".join(per_word), "<u4")
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         at = coded.indices.to_numpy()
         word_sizes = sizes[at]
