@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maxscore, mixing
+from . import maxscore, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,18 @@ def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(files)
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import edited_fingerprints
+
+    return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import digests, write_archives
+
+    return digests(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -56,10 +68,13 @@ QUERIES: dict[str, Query] = {
     "op2_mixture": op2_mixture,
     "op3_maxscore": op3_maxscore,
     "op4_simple8b": op4_simple8b,
+    "op6_spotsigs": op6_spotsigs,
+    "op7_warc": op7_warc,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixture": mixing.SQL,
     "op3_maxscore": maxscore.SQL,
+    "op7_warc": warc.SQL,
 }
