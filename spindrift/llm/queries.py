@@ -57,6 +57,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nbsvm import quality
+
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op4_simple8b": op4_simple8b,
     "op6_spotsigs": op6_spotsigs,
     "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
 
