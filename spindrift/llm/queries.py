@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maxscore, mixing, warc
+from . import maxscore, mixing, ngram_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,12 @@ def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(files)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
+
+
 def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spotsigs import edited_fingerprints
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixture": op2_mixture,
     "op3_maxscore": op3_maxscore,
     "op4_simple8b": op4_simple8b,
+    "op5_ngram_join": op5_ngram_join,
     "op6_spotsigs": op6_spotsigs,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
@@ -83,5 +90,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_mixture": mixing.SQL,
     "op3_maxscore": maxscore.SQL,
+    "op5_ngram_join": ngram_join.SQL,
     "op7_warc": warc.SQL,
 }

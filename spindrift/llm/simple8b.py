@@ -33,7 +33,7 @@ MAGIC = b"S8BIDS01"
 BLOCK = 1024
 #: Ids and bits of selectors 0 to 13.
 PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-ZEROS, ESCAPE = 14, 15
+ZEROS, ESCAPE, NOTHING = 14, 15, 255
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -42,14 +42,22 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    # widest first: a wider pack's answer is refined by narrower ones
-    choice = np.full(n, ESCAPE, np.int8)
-    ends = np.minimum((np.arange(n) // block + 1) * block, n)
-    room = ends - np.arange(n)
+    # by block: the narrowest pack that each value alone fits, then the widest
+    # of them in each pack's reach; what passes a block's end fits nothing
+    own = np.full(-(-n // block) * block, NOTHING, np.uint8)
+    own[:n] = _narrowest(values)
+    own = own.reshape(-1, block)
+    choice = np.full(own.shape, ESCAPE, np.uint8)
+    most, reach = own, 1
     for selector in range(13, -1, -1):
-        count, bits = PACKS[selector]
-        choice[_all_below(values < np.uint64(1 << bits), count) & (room >= count)] = selector
-    choice[_all_below(values == 0, 120) & (room >= 120)] = ZEROS
+        count = PACKS[selector][0]
+        most, reach = _within(most, reach, count), count
+        np.copyto(choice, np.uint8(selector), where=most <= selector)
+    zero = np.full(own.size, NOTHING, np.uint8)
+    zero[:n] = values != 0
+    if int((zero == 0).sum()) >= 120:
+        np.copyto(choice, np.uint8(ZEROS), where=_within(zero.reshape(own.shape), 1, 120) == 0)
+    choice = choice.reshape(-1)[:n]
     sizes = np.array([c for c, _ in PACKS] + [120, 1])
     # every block steps through its ids at the same time
     at = np.arange(0, n, block)
@@ -82,14 +90,22 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     return words, np.concatenate([[0], np.cumsum(per_block)])
 
 
-def _all_below(good: np.ndarray, count: int) -> np.ndarray:
-    """Whether ``count`` entries from each on are all true (false near the end)."""
-    bad = np.concatenate([[0], np.cumsum(~good)])
-    out = np.zeros(len(good), bool)
-    last = len(good) - count + 1
-    if last > 0:
-        out[:last] = bad[count:] == bad[:last]
-    return out
+def _narrowest(values: np.ndarray) -> np.ndarray:
+    limits = np.array([1 << bits for _, bits in PACKS], np.uint64)
+    if int(values.max()) < 1 << 16:
+        return np.searchsorted(limits, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)[values.astype(np.uint16)]
+    return np.searchsorted(limits, values, side="right").astype(np.uint8)
+
+
+def _within(most: np.ndarray, reach: int, count: int) -> np.ndarray:
+    """Largest of ``count`` entries from each on in its row, given those of ``reach``."""
+    while reach < count:
+        step = min(reach, count - reach)
+        wider = np.full_like(most, NOTHING)
+        if step < most.shape[1]:
+            np.maximum(most[:, :-step], most[:, step:], out=wider[:, :-step])
+        most, reach = wider, reach + step
+    return most
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -98,14 +114,10 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
         return np.zeros(0, np.uint64)
     selector = (words >> np.uint64(60)).astype(np.int8)
     raw = np.zeros(len(words), bool)
-    # a word behind an escape is raw unless it is behind a raw one; blocks start with a selector
-    maybe = np.flatnonzero(selector == ESCAPE)
-    if len(maybe):
-        first = np.zeros(len(words) + 1, bool)
-        first[offsets] = True
-        for i in maybe:
-            if not raw[i] and not (i + 1 < len(first) and first[i + 1] and i + 1 == len(words)):
-                raw[i + 1] = True
+    # an escape's next word is raw, whatever its top bits are
+    for i in np.flatnonzero(selector == ESCAPE).tolist():
+        if not raw[i]:
+            raw[i + 1] = True
     heads = np.flatnonzero(~raw)
     chosen = selector[heads]
     sizes = np.array([c for c, _ in PACKS] + [120, 1])[chosen]
@@ -150,7 +162,7 @@ def write_ids(
     end_id: int | None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    file_ids: int = 4 << 20,
+    file_ids: int = 2 << 20,
     task_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Writes the ids of all documents in ascending id order (null ids first,
