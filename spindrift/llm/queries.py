@@ -69,6 +69,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removal_digests
+
+    return removal_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op6_spotsigs": op6_spotsigs,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_repeats": op9_repeats,
     "op10_token_counts": op10_token_counts,
 }
 
