@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: White space as the pattern's regex engine sees it.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -119,6 +120,31 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
     return source.mapInArrow(run, "doc_id long, bytes binary").withColumnRenamed("doc_id", id_col)
 
 
+def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` without the text, ``n_tokens``, ``ids`` (array of
+    int) and ``decodes`` (whether they decode to the text's bytes)."""
+    names = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids", "decodes")]
+    source = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
+    schema = source.drop("_text").schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("decodes", "boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .word_bpe import byte_slices
+
+        codec = RankCodec(path, pattern)
+        for batch in batches:
+            for lo, hi in byte_slices(batch.column(len(names)), 2 << 20):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(len(names)).to_pylist()
+                ids = [codec.encode(t) for t in texts]
+                good = [codec.decode(x) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]
+                size = [len(x) for x in ids]
+                flat = pa.array(np.concatenate([np.zeros(0, np.int32), *(x.astype(np.int32) for x in ids)]), pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(size, pa.int64()), lists, pa.array(good, pa.bool_())], [*names, "n_tokens", "ids", "decodes"])
+
+    return source.mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of both directions without moving ids: ``n_tokens``,
     ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers) and

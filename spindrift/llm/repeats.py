@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .ngram_join import mixed, tasks_for
 from .shared import written
@@ -432,9 +433,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out if unique else written(out, "keyed")
 
 
-def kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """All columns of ``docs``, ``kept`` (the remaining bytes), ``n_bytes``,
-    ``n_removed`` and ``n_spans``."""
+def kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False, **how) -> DataFrame:
+    """All columns of ``docs``, ``kept`` (the remaining bytes; or as text,
+    without the characters that were cut in two), ``n_bytes``, ``n_removed``
+    and ``n_spans``. Columns of these names are replaced."""
+    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     keyed = _keyed(docs, id_col, text_col)
     texts = keyed.select(F.col("_key").alias("key"), F.col(text_col).cast("string").alias("text"))
     ranges = marks(texts, length, **how).groupBy(F.col("key").alias("_of")).agg(F.collect_list(F.struct("s0", "s1")).alias("_ranges"))
@@ -442,8 +445,8 @@ def kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: s
     names = docs.columns
     at = len(names)
     schema = docs.schema
-    for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
-        schema = schema.__class__([*schema.fields]).add(name, kind)
+    for name, kind in (("kept", "string" if as_text else "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
+        schema = StructType([*schema.fields]).add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -465,7 +468,9 @@ def kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: s
                     size.append(len(data))
                     gone.append(len(data) - len(body[-1]))
                     spans.append(len(cut))
-                arrays = [pa.array(body, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())]
+                if as_text:
+                    body = [None if t is None else b.decode("utf-8", "ignore") for b, t in zip(body, part.column(at).to_pylist(), strict=True)]
+                arrays = [pa.array(body, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *arrays], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return joined.mapInArrow(run, schema)
@@ -490,5 +495,4 @@ def removal_digests(docs: DataFrame, length: int = 200, **how) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the remaining text; characters cut in two are dropped."""
-    out = kept(docs, length, text_col=text_col, **how)
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.try_validate_utf8(F.col("kept").cast("string")))).select(*docs.columns)
+    return kept(docs, length, text_col=text_col, as_text=True, **how).withColumn(text_col, F.col("kept")).select(*docs.columns)
