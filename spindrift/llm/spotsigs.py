@@ -8,7 +8,8 @@ wanted likeness are not compared, which is also what confines a join to
 neighbouring length partitions.
 
 A text without signatures (empty, null, no common words) is fingerprinted by
-the hash of its normalised text, so equal texts always agree and others don't.
+all its runs of three words, or by its words as a whole when they are fewer,
+so equal texts always agree.
 """
 
 from __future__ import annotations
@@ -26,21 +27,37 @@ ANCHORS = (
 ).split()
 
 
-def normalised(text: Column) -> Column:
-    """Lower-case words between single spaces, with a space at both ends."""
+_TIE = "\x01"
+
+
+def tokens(text: Column, anchors: list[str] | None = None) -> Column:
+    """A text's content words in order, each with the common words right in
+    front of it tied to it; common words at the end are tied to an empty word."""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " ")
-    return F.concat(F.lit(" "), F.trim(flat), F.lit(" "))
+    flat = F.concat(F.lit(" "), F.trim(flat), F.lit(" "))
+    common = "|".join(dict.fromkeys(anchors or ANCHORS))
+    return F.split(F.trim(F.regexp_replace(flat, f"(?<= )({common}) ", f"$1{_TIE}")), " ")
+
+
+def signatures(tied: Column) -> Column:
+    """Sorted distinct signature hashes (array of int) of a column of ``tokens``:
+    of each common word with the next two content words."""
+    content = lambda t: F.substring_index(t, _TIE, -1)
+    common = lambda t: F.array_distinct(F.split(F.substring(t, F.lit(1), F.length(t) - F.length(content(t)) - 1), _TIE))
+
+    def spots(t: Column, following: Column) -> Column:
+        some = F.contains(t, F.lit(_TIE)) & following.isNotNull() & (content(following) != "")
+        return F.when(some, F.transform(common(t), lambda a: F.hash(a, content(t), content(following)))).otherwise(F.array().cast("array<int>"))
+
+    found = F.array_sort(F.array_distinct(F.flatten(F.zip_with(tied, F.slice(tied, F.lit(2), F.greatest(F.size(tied), F.lit(1))), spots))))
+    triples = F.transform(F.sequence(F.lit(1), F.size(tied) - 2), lambda i: F.hash(F.element_at(tied, i), F.element_at(tied, i + 1), F.element_at(tied, i + 2)))
+    every = F.when(F.size(tied) > 2, F.array_sort(F.array_distinct(triples))).otherwise(F.array(F.hash(tied)))
+    return F.when(F.size(found) > 0, found).otherwise(every)
 
 
-def signatures(text: Column, anchors: list[str] | None = None, chain: int = 2) -> Column:
-    """Sorted distinct signature hashes (array of int) of a text."""
-    common = "(?:" + "|".join(dict.fromkeys(anchors or ANCHORS)) + ") "
-    spot = f"(?<= )(?=({common}" + f"(?:{common})*+[^ ]+ " * chain + "))[^ ]+ "
-    norm = normalised(text)
-    chains = F.regexp_extract_all(norm, F.lit(spot), F.lit(1))
-    # common words inside a chain go, the anchor in front stays
-    plain = F.transform(chains, lambda x: F.hash(F.regexp_replace(x, f" (?:{common})+", " ")))
-    return F.when(F.size(plain) > 0, F.array_sort(F.array_distinct(plain))).otherwise(F.array(F.hash(norm)))
+def with_signatures(df: DataFrame, text: Column, name: str, anchors: list[str] | None = None) -> DataFrame:
+    """``df`` and the signatures of a text as a column."""
+    return df.withColumn("_tied", tokens(text, anchors)).withColumn(name, signatures(F.col("_tied"))).drop("_tied")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -101,12 +118,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of every text and of its edit: the last third of its code
     points replaced by the start of the next document in descending id."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = with_next(texts.withColumn("sigs", signatures(F.col("text"))), "doc_id", ["text", "sigs"])
+    texts = with_next(with_signatures(texts, F.col("text"), "sigs"), "doc_id", ["text", "sigs"])
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
     out = texts.select("doc_id", n.cast("long").alias("n_chars"), "sigs", F.col("next.sigs").alias("next_sigs"), edited.alias("edited"))
-    out = out.withColumn("edited_sigs", signatures(F.col("edited")))
+    out = with_signatures(out, F.col("edited"), "edited_sigs")
     return out.select(
         "doc_id",
         "n_chars",
