@@ -198,7 +198,7 @@ def write_ids(
         n = 0
         for batch in batches:
             encode = encode or encoder()
-            for lo, hi in byte_slices(batch.column(1), 2 << 20):
+            for lo, hi in byte_slices(batch.column(1), 8 << 20):
                 keys = batch.column(0).slice(lo, hi - lo)
                 ids, lengths = encode(batch.column(1).slice(lo, hi - lo))
                 if end_id is not None:

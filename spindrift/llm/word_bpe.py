@@ -9,7 +9,9 @@ special strings, Unicode and punctuation.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +38,41 @@ MARK = "0"
 _memos: dict[str, dict[str, bytes]] = {}
 
 
+#: Steps before the merges for which plain words need only the library's merges:
+#: for printable ASCII without "<|" they lower the case and cut by this pattern.
+_PLAIN_STEPS = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+_PLAIN_WORD = re.compile(r"[!-~]+")
+_PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _plain(tokenizer) -> bool:
+    """Whether the vocabulary file has the steps above and byte-level merges."""
+    c = json.loads(tokenizer.to_str())
+    try:
+        split, byte = c["pre_tokenizer"]["pretokenizers"]
+        return (
+            [n["type"] for n in c["normalizer"]["normalizers"]] == _PLAIN_STEPS["normalizer"]
+            and split["pattern"] == {"Regex": _PLAIN_STEPS["pattern"]}
+            and split["behavior"] == "Removed"
+            and split["invert"]
+            and byte["type"] == "ByteLevel"
+            and not byte["use_regex"]
+            and not byte["add_prefix_space"]
+            and all(t["content"].startswith("<|") for t in c["added_tokens"])
+        )
+    except (KeyError, TypeError, ValueError):
+        return False
+
+
 class WordEncoder:
     """Ids or id counts of texts. One instance per task; the tasks of a worker
     share a memo of at most ``memo_words`` words, each of ``memo_word_chars``
     characters at most."""
 
-    def __init__(self, path: str, memo_words: int = 600_000, memo_word_chars: int = 24):
+    def __init__(self, path: str, memo_words: int = 500_000, memo_word_chars: int = 24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,6 +80,8 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo = _memos.setdefault(path, {})
+        self.pieces = _memos.setdefault(path + "#pieces", {})
+        self.plain = _plain(self.tokenizer)
         self.memo_words, self.memo_word_chars = memo_words, memo_word_chars
         mark = self._ids([MARK])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
@@ -60,7 +93,20 @@ class WordEncoder:
         """Each word's ids. Words are encoded as one text, with a digit between
         them that becomes an id of its own; words with that digit go alone."""
         out: list = [None] * len(words)
-        joined = [i for i, w in enumerate(words) if MARK not in w] if self.mark is not None else []
+        if self.plain:
+            merges, pieces = self.tokenizer.model.tokenize, self.pieces
+            for i, w in enumerate(words):
+                if _PLAIN_WORD.fullmatch(w) and "<|" not in w:
+                    parts = []
+                    for p in _PLAIN_PIECE.findall(w.lower()):
+                        ids = pieces.get(p)
+                        if ids is None:
+                            ids = b"".join([x.id.to_bytes(4, "little") for x in merges(p)])
+                            if len(pieces) < self.memo_words and len(p) <= self.memo_word_chars:
+                                pieces[p] = ids
+                        parts.append(ids)
+                    out[i] = parts[0] if len(parts) == 1 else b"".join(parts)
+        joined = [i for i, w in enumerate(words) if out[i] is None and MARK not in w] if self.mark is not None else []
         for lo in range(0, len(joined), 10_000):
             part = joined[lo : lo + 10_000]
             ids = self._ids([f" {MARK} ".join([words[i] for i in part])])[0]
@@ -113,15 +159,9 @@ class WordEncoder:
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         per_word = self._looked_up(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
-        flat = np.frombuffer(b"".join(per_word), "<u4")
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        at = coded.indices.to_numpy()
-        word_sizes = sizes[at]
-        ends = np.cumsum(word_sizes)
-        total = int(ends[-1])
-        # position in flat: start of the word plus the offset inside the word
-        inside = np.arange(total) - np.repeat(ends - word_sizes, word_sizes)
-        out = flat[np.repeat(starts[at], word_sizes) + inside]
-        sums = np.concatenate([[0], ends])
+        sizes = np.fromiter(map(len, per_word), np.int32, len(per_word)) // 4
+        flat = pa.array(np.frombuffer(b"".join(per_word), np.uint32))
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])), flat)
+        out = lists.take(coded.indices).flatten().to_numpy()
+        sums = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()], dtype=np.int64)])
         return out, sums[offsets[1:]] - sums[offsets[:-1]]
