@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .ngram_join import mixed, tasks_for
-from .shared import written
+from .shared import unique_ids, written
 from .word_bpe import byte_slices
 
 _U = np.uint64
@@ -134,9 +134,9 @@ class RunLengthIndex:
         self.levels.append(rank)
         depth, longest = 1, int(sizes.max(initial=0)) + 1
         while depth < longest and int(rank.max(initial=0)) + 1 < total:
-            following = np.zeros(total, np.int64)
-            following[:-depth] = rank[depth:] + 1
-            rank = self._ranked(rank * (total + 1) + following)
+            pairs = rank.astype(np.int64) * (total + 1)
+            pairs[:-depth] += rank[depth:] + 1
+            rank = self._ranked(pairs)
             self.levels.append(rank)
             depth *= 2
         suffixes = np.empty(total, np.int64)
@@ -154,10 +154,9 @@ class RunLengthIndex:
     @staticmethod
     def _ranked(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
-        step = np.zeros(len(key), np.int64)
-        step[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(step)
+        key = key[order]
+        rank = np.empty(len(key), np.int32)
+        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
         return rank
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -406,7 +405,7 @@ def _decided(contexts: DataFrame, length: int, index_bytes: int) -> DataFrame:
     return contexts.mapInArrow(run, _CELL_SCHEMA)
 
 
-def marks(texts: DataFrame, length: int = 200, flush: int = 1 << 20, index_bytes: int = 4 << 20) -> DataFrame:
+def marks(texts: DataFrame, length: int = 200, flush: int = 1 << 20, index_bytes: int = 2 << 20) -> DataFrame:
     """``key``, ``s0``, ``s1``: ranges of windows that also start elsewhere."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
@@ -425,9 +424,7 @@ def marks(texts: DataFrame, length: int = 200, flush: int = 1 << 20, index_bytes
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``key``, one per row, and ``text``; ids that are missing or
     repeated get numbers, in a copy so that every pass sees the same."""
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    n = ids.agg(F.count(F.lit(1)).alias("rows"), F.count("id").alias("known")).first()
-    unique = n.rows == n.known and not ids.groupBy("id").count().where("count > 1").limit(1).count()
+    unique = unique_ids(docs, id_col)
     key = F.col(id_col).cast("long") if unique else F.monotonically_increasing_id()
     out = docs.withColumn("_key", key)
     return out if unique else written(out, "keyed")

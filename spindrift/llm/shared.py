@@ -10,8 +10,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -50,6 +53,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own."""
+    ids = df.select(F.col(id_col).cast("long").alias("id"))
+    n = ids.agg(F.count(F.lit(1)).alias("rows"), F.count("id").alias("known")).first()
+    return n.rows == n.known and not ids.groupBy("id").count().where("count > 1").limit(1).count()
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the jobs inside; ``__`` stands for a dot."""
+    names = {"spark.sql." + k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Lets the optimizer put a Bloom filter of the join keys (of bounded size, 8 MB)
+#: before the shuffle of texts of which a join keeps a part.
+KEEP_FEW = {
+    "optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "1MB",
+    "optimizer__runtime__bloomFilter__creationSideThreshold": "100GB",
+    "optimizer__runtime__bloomFilter__expectedNumItems": "4000000",
+    "optimizer__runtime__bloomFilter__numBits": "67108864",
+}
+
+
 def remove_all() -> None:
     """Removes what ``new_folder`` has given out."""
     while _made:

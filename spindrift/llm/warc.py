@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_folder, written
+from .shared import file_system, new_folder, unique_ids, written
 
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, payload binary, fields map<string,string>"
@@ -79,13 +79,16 @@ def write_archives(
 ) -> DataFrame:
     """Writes all pages and returns the archive files: ``path``, ``folder``."""
     folder = new_folder(pages.sparkSession, "warc")
-    # a key per row that any rerun gives again: the id where it is unique, numbered by content where not
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    rows = rows.withColumn("key", F.monotonically_increasing_id())
+    # a key per row that every pass sees alike: the id, or numbers in a copy if ids are missing or repeated
+    if unique_ids(pages, id_col):
+        rows = rows.withColumn("key", F.col("page_id"))
+    else:
+        rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "keyed-pages")
     joined = rows.join(roles(rows, least), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
