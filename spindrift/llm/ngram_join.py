@@ -4,10 +4,12 @@
    sets within a task collapse to one node.
 2. Candidates, without loss: two sets whose similarity reaches the threshold
    differ in at most H elements, H following from their sizes. The hash range
-   is dealt into more than H buckets, so the sets agree on a whole bucket;
-   each set is keyed by its buckets' contents, per size band. Small sets are
-   keyed by their smallest hashes (prefix filter), which is exact as well.
-   Keys meet once, pre-combined by task; only star links leave a key.
+   is dealt into m > H buckets, and each set is keyed by its buckets' contents,
+   per size band; with b buckets in use, such sets share r = b - H keys at
+   least. (Small sets are keyed by their elements.) So each set may leave out
+   the r - 1 of its keys that most sets hold, as in prefix filtering: keys of
+   shared passages fall away, and a set with fewer than r shared keys is done.
+   Star links join what is left of each key.
 3. Linked candidates form groups of texts that must be compared. A group is
    compared in size-banded tiles: bit counts of hashed bitmap signatures bound
    the overlap from above, pairs that can still reach the threshold are decided
@@ -21,9 +23,7 @@ or sent to the driver, and every text takes part whole.
 
 Null or empty texts have no shingles and link with nothing; texts shorter than
 n words have one shingle. Rows with a null id come back with a null component.
-Rows that repeat an id are one node (their links join). The bucket filter needs
-one agreeing bucket that is not empty; bucket counts leave a chance below
-1e-12 for a pair at the threshold to have none, like that of a hash collision.
+Rows that repeat an id are one node (their links join).
 """
 
 from __future__ import annotations
@@ -34,10 +34,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import Forest, components
-from .shared import written
+from .components import Forest, components, stars
+from .shared import KEEP_FEW, settings, tasks_for, written
 from .word_bpe import byte_slices
 
 _RNG = np.random.default_rng(20240229)
@@ -47,8 +48,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GRAM = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _U = np.uint64
-#: Sets up to this size are keyed by their smallest hashes.
-SMALL = 64
+#: Sets up to this size are keyed by their elements.
+SMALL = 32
+#: A tag holds a number of keys and a band.
+_BANDS = 128
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -119,51 +122,47 @@ class Bands:
             k += 1
 
 
-def keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate keys of all sets and the set of each."""
-    found, owner = [], []
+def keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate keys of all sets, the set of each, and its tag: the number of
+    keys that a partner shares at least, and the band."""
+    found, owner, tag = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     wide: dict[int, list[int]] = {}
     for i, s in enumerate(sets):
         n = len(s)
         if not n:
             continue
         if n <= SMALL:
-            prefix = n - -(-bands.percent * n // 100) + 1
-            found.append(mixed(s[:prefix] + _U(1)))
-            owner.append(np.full(prefix, i))
+            found.append(mixed(s + _U(1)))
+            owner.append(np.full(n, i))
+            tag.append(np.full(n, -(-bands.percent * n // 100) * _BANDS + _BANDS - 1))
         for k in bands.of(n):
-            # sets at the border are keyed both ways: a small set may have larger partners
+            # bands that hold small sets only are covered by the elements
             if int(bands.edges[k + 1]) - 1 > SMALL:
                 wide.setdefault(k, []).append(i)
     for k, members in wide.items():
         m = bands.buckets[k]
+        size = np.array([len(sets[i]) for i in members])
         flat = np.concatenate([sets[i] for i in members])
-        of = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members])
+        of = np.repeat(np.arange(len(members)), size)
         cell = of * m + ((flat >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
         total, count = np.zeros(len(members) * m, np.uint64), np.bincount(cell, minlength=len(members) * m)
         np.add.at(total, cell, mixed(flat))
         full = np.flatnonzero(count)
         bucket = (full % m).astype(np.uint64)
         found.append(mixed(total[full] + bucket * _GRAM[40] + _GRAM[41] * np.full(1, k, np.uint64)))
-        owner.append(np.array(members)[full // m])
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(owner)
-
-
-def _combined(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One row per key (its smallest node), and star links to the others."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    least = node[head][np.cumsum(head) - 1]
-    star = least != node
-    return key[head], node[head], node[star], least[star]
-
-
-#: Kinds of rows that the first pass gives: keys, links of equal sets, candidate links, set sizes.
-KEY, EQUAL, MAYBE, SIZE = 0, 1, 2, 3
+        mine = full // m
+        owner.append(np.array(members)[mine])
+        partner = np.minimum(int(bands.edges[k + 1]) - 1, 100 * size // bands.percent)
+        differ = (size + partner) * (100 - bands.percent) // (100 + bands.percent)
+        used = np.bincount(mine, minlength=len(members))
+        tag.append(np.maximum(1, used - differ)[mine] * _BANDS + k)
+    return np.concatenate(found), np.concatenate(owner), np.concatenate(tag)
+
+
+#: Kinds of rows of the first pass: keys, links of equal sets, shared keys, set sizes.
+KEY, EQUAL, SHARED, SIZE = 0, 1, 2, 3
+#: A key that so many sets hold counts as held by this many.
+_MANY = 1_000_000
 _ROWS = ["kind", "key", "a", "b"]
 
 
@@ -181,45 +180,26 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[new], b[new]
 
 
-def tasks_for(texts: DataFrame, task_bytes: int = 32 << 20) -> int:
-    """Shuffle partitions for rows that grow with the texts."""
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(1 << 20, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes)))
-
-
-def _candidates(texts: DataFrame, n: int, bands: Bands, flush: int) -> DataFrame:
-    """Links of candidates and set sizes: the first and only pass over all texts."""
+def _pass(texts: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """The first and only pass over all texts: ``kind``, ``key``, ``a``, ``b``,
+    ``held``. SIZE: id and set size; EQUAL: two ids; SHARED: a key that ``held``
+    sets hold, one of their ids and its tag."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         nodes: dict[tuple[int, int], int] = {}
-        rows = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            nonlocal held, nodes, rows
-            if held:
-                key, node = (np.concatenate(x) for x in zip(*held, strict=True))
-                key, node, a, b = _combined(key, node)
-                for lo in range(0, len(key), 50_000):
-                    yield _rows(KEY, key[lo : lo + 50_000], node[lo : lo + 50_000], node[lo : lo + 50_000])
-                a, b = _unique_pairs(a, b)
-                yield _rows(MAYBE, mixed(a.view(np.uint64)), a, b)
-            held, nodes, rows = [], {}, 0
-
         for batch in batches:
             for lo, hi in byte_slices(batch.column(1), 2 << 20):
                 ids = batch.column(0).slice(lo, hi - lo)
                 valid = ids.is_valid().to_numpy(zero_copy_only=False)
-                ids = ids.fill_null(0).to_numpy()
                 sets = shingle_sets(batch.column(1).slice(lo, hi - lo), n)
-                sizes = np.array([len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), SIZE, np.int8)), pa.array(mixed(np.arange(len(ids), dtype=np.uint64) + _U(len(nodes) + 1)).view(np.int64)), pa.array(ids, mask=~valid), pa.array(sizes)], _ROWS
-                )
+                anywhere = pa.array(mixed(np.arange(len(ids), dtype=np.uint64) + _U(len(nodes) + 1)).view(np.int64))
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), SIZE, np.int8)), anywhere, ids, sizes], _ROWS)
+                ids = ids.fill_null(0).to_numpy()
                 fresh, of, equal = [], [], []
                 for i, s in enumerate(sets):
                     if valid[i] and len(s):
-                        # an exact set: two independent sums
+                        # an exact set: two independent sums and the size
                         mark = (int(mixed(s).sum(dtype=np.uint64)), int((s * _GRAM[50]).sum(dtype=np.uint64)) ^ len(s))
                         first = nodes.setdefault(mark, int(ids[i]))
                         if first == int(ids[i]):
@@ -228,50 +208,109 @@ def _candidates(texts: DataFrame, n: int, bands: Bands, flush: int) -> DataFrame
                         else:
                             equal.append((int(ids[i]), first))
                 if equal:
-                    a, b = np.array(equal, np.int64).T
-                    yield _rows(EQUAL, mixed(np.ascontiguousarray(a).view(np.uint64)), a, b)
-                key, owner = keys(fresh, bands)
-                held.append((key, np.array(of, np.int64)[owner] if len(of) else np.zeros(0, np.int64)))
-                rows += len(key)
-                if rows >= flush:
-                    yield from out()
-        yield from out()
+                    a, b = np.ascontiguousarray(np.array(equal, np.int64).T)
+                    yield _rows(EQUAL, mixed(a.view(np.uint64)), a, b)
+                key, owner, tag = keys(fresh, bands)
+                node = np.array(of, np.int64)[owner] if len(of) else owner
+                for start in range(0, len(key), 50_000):
+                    part = slice(start, start + 50_000)
+                    yield _rows(KEY, key[part], node[part], tag[part])
+                if len(nodes) > _MANY:
+                    nodes = {}
+
+    names = [*_ROWS, "held"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        rows, many = 0, None
+
+        def counted(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = t["key"].to_numpy()
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            size = np.diff(np.append(np.flatnonzero(head), len(key)))
+            held = np.repeat(size, size)
+            held[held >= _MANY] = _MANY
+            if many is not None:
+                held[key == many] = _MANY
+            shared = np.flatnonzero(held > 1)
+            for start in range(0, len(shared), 50_000):
+                part = shared[start : start + 50_000]
+                arrays = [np.full(len(part), SHARED, np.int8), key[part], t["a"].to_numpy()[part], t["b"].to_numpy()[part], held[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+
+        for batch in batches:
+            rest = batch.filter(pc.not_equal(batch.column(0), KEY))
+            if rest.num_rows:
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.zeros(rest.num_rows, np.int64))], names)
+            batch = batch.filter(pc.equal(batch.column(0), KEY))
+            if not batch.num_rows:
+                continue
+            left.append(batch)
+            rows += batch.num_rows
+            if rows < 200_000:
+                continue
+            t = pa.Table.from_batches(left)
+            key = t["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if not cut and rows >= _MANY:
+                many, cut = int(key[-1]), rows
+            if cut:
+                yield from counted(t.slice(0, cut))
+                left = t.slice(cut).combine_chunks().to_batches()
+                rows = t.num_rows - cut
+        if left:
+            yield from counted(pa.Table.from_batches(left))
+
+    passed = texts.mapInArrow(scan, "kind byte, key long, a long, b long").repartition(tasks_for(texts), "key").sortWithinPartitions("kind", "key")
+    return written(passed.mapInArrow(meet, "kind byte, key long, a long, b long, held long"), "ngram-pass")
+
+
+def _candidates(passed: DataFrame, task_rows: int = 500_000) -> DataFrame:
+    """Links (``a``, ``b``) of the keys that sets cannot leave out: spanning
+    stars of what each task sees. Tasks follow the number of shared keys."""
+    shared = passed.where(F.col("kind") == SHARED).select("key", F.col("a").alias("node"), "b", "held", (F.col("b") % _BANDS).alias("band"))
+    least = int(passed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4
+    tasks = max(1, least, -(-shared.count() // task_rows))
+    own = W.partitionBy("node", "band")
+    kept = (
+        shared.withColumn("place", F.row_number().over(own.orderBy("held", "key")))
+        .withColumn("n", F.count(F.lit(1)).over(own))
+        .where(F.col("place") <= F.col("n") - F.floor(F.col("b") / _BANDS) + 1)
+    )
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_node = None, 0
         a, b, held = [], [], 0
 
         def out() -> pa.RecordBatch:
             x, y = _unique_pairs(np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), MAYBE, np.int8)), pa.array(x), pa.array(y)], ["kind", "a", "b"])
+            forest = Forest()
+            for one, other in zip(x.tolist(), y.tolist(), strict=True):
+                forest.union(one, other)
+            return stars(forest)
 
         for batch in batches:
-            kind = batch.column(0).to_numpy()
-            rest = kind != KEY
-            if rest.any():
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(rest)) for i in (0, 2, 3)], ["kind", "a", "b"])
-            key, node = batch.column(1).to_numpy()[~rest], batch.column(2).filter(pa.array(~rest)).to_numpy()
-            if not len(key):
-                continue
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
             least = node[head]
-            if key[0] == last_key:
+            if len(key) and key[0] == last_key:
                 least = least.copy()
                 least[0] = last_node
             least = least[np.cumsum(head) - 1]
-            last_key, last_node = key[-1], least[-1]
-            star = least != node
-            a.append(node[star])
-            b.append(least[star])
-            held += int(star.sum())
-            if held > 1_000_000:
+            if len(key):
+                last_key, last_node = key[-1], least[-1]
+            far = least != node
+            a.append(node[far])
+            b.append(least[far])
+            held += int(far.sum())
+            if held > _MANY:
                 yield out()
                 a, b, held = [], [], 0
         yield out()
 
-    passed = texts.mapInArrow(scan, "kind byte, key long, a long, b long").repartition(tasks_for(texts), "key").sortWithinPartitions("kind", "key", "a")
-    return passed.mapInArrow(meet, "kind byte, a long, b long")
+    return kept.select("key", "node").repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(star, "a long, b long")
 
 
 def _compare(sets: list[np.ndarray], ids: list[int], side: list[int] | None, percent: int, forest: Forest) -> None:
@@ -389,21 +428,25 @@ def join(
     id_col: str = "doc_id",
     text_col: str = "text",
     tile_shingles: int = 1 << 21,
-    flush: int = 1 << 21,
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` of every row: texts link
     when 100 * intersection >= percent * union of their shingle sets."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    passed = written(_candidates(texts, n, Bands(percent), flush), "ngram-pass")
+    tasks = tasks_for(texts)
+    passed = _pass(texts, n, Bands(percent))
     sizes = passed.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    groups = components(passed.where(F.col("kind") == MAYBE))
+    groups = components(_candidates(passed))
     members = groups.join(sizes.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), F.col("node") == F.col("doc_id"))
     cells = written(_tiled(members.select("doc_id", "component", "n_shingles"), percent, tile_shingles), "ngram-cells")
-    grouped = texts.join(cells, "doc_id").select("cell", "side", "doc_id", "text").repartition(tasks_for(texts), "cell").sortWithinPartitions("cell")
+    # the comparison always holds: it tells the optimizer that the cells select some of the texts
+    chosen = cells.where(F.col("doc_id") >= F.lit(-(1 << 63)))
+    grouped = texts.join(chosen, "doc_id").select("cell", "side", "doc_id", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
     links = _confirmed(grouped, n, percent).unionByName(passed.where(F.col("kind") == EQUAL).select("a", "b"))
-    found = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    with settings(texts.sparkSession, **KEEP_FEW):
+        found = components(links)
+    found = found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     out = sizes.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 

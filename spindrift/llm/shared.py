@@ -53,6 +53,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Size by the optimizer's statistics; None where it has none (it then says
+    as much as a long holds, or products of such sizes)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else None
+
+
+def tasks_for(df: DataFrame, task_bytes: int = 32 << 20) -> int:
+    """Shuffle partitions for rows that grow with ``df``: the session's number
+    at least, more where the statistics ask for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(1 << 20, -(-(input_bytes(df) or 0) // task_bytes)))
+
+
 def unique_ids(df: DataFrame, id_col: str) -> bool:
     """Whether every row has an id of its own."""
     ids = df.select(F.col(id_col).cast("long").alias("id"))
