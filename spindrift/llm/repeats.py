@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .ngram_join import mixed, tasks_for
-from .shared import unique_ids, written
+from .ngram_join import mixed
+from .shared import tasks_for, unique_ids, written
 from .word_bpe import byte_slices
 
 _U = np.uint64

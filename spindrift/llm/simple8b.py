@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_folder, written
+from .shared import file_system, new_folder, tasks_for, written
 from .word_bpe import WordEncoder, byte_slices
 
 MAGIC = b"S8BIDS01"
@@ -175,8 +175,7 @@ def write_ids(
     spark = docs.sparkSession
     folder = new_folder(spark, "token-ids")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes)))
+    tasks = tasks_for(source, task_bytes)
     order = source.withColumn("h", F.xxhash64("text")).repartitionByRange(tasks, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import input_bytes
+
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "the a an of to and in is it that for on as with by this be are was at from or "
@@ -82,8 +84,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], bytes_per_bucket
     row of each range goes to the range before it as well.
     """
     spark = docs.sparkSession
-    stats = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    fine = max(16, -(-int(str(stats)) // (bytes_per_bucket * coarse)))
+    fine = max(16, -(-(input_bytes(docs) or 0) // (bytes_per_bucket * coarse)))
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     bounds = sorted(set(map(int, ids.approxQuantile("id", [i / coarse for i in range(coarse + 1)], 0.002)))) or [0]
     lows = F.array(*[F.lit(x).cast("long") for x in bounds])

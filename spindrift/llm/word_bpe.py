@@ -34,8 +34,16 @@ def byte_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
 MARK = "0"
 
 
-#: Words of earlier batches and tasks of this worker, by vocabulary file.
-_memos: dict[str, dict[str, bytes]] = {}
+class _Memo:
+    """Words of earlier batches and tasks of this worker, and their ids."""
+
+    def __init__(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_list(pa.uint32()))
+        self.pieces: dict[str, bytes] = {}
+
+
+_memos: dict[str, _Memo] = {}
 
 
 #: Steps before the merges for which plain words need only the library's merges:
@@ -79,8 +87,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = _memos.setdefault(path, {})
-        self.pieces = _memos.setdefault(path + "#pieces", {})
+        self.memo = _memos.setdefault(path, _Memo())
         self.plain = _plain(self.tokenizer)
         self.memo_words, self.memo_word_chars = memo_words, memo_word_chars
         mark = self._ids([MARK])[0]
@@ -94,7 +101,7 @@ class WordEncoder:
         them that becomes an id of its own; words with that digit go alone."""
         out: list = [None] * len(words)
         if self.plain:
-            merges, pieces = self.tokenizer.model.tokenize, self.pieces
+            merges, pieces = self.tokenizer.model.tokenize, self.memo.pieces
             for i, w in enumerate(words):
                 if _PLAIN_WORD.fullmatch(w) and "<|" not in w:
                     parts = []
@@ -123,18 +130,24 @@ class WordEncoder:
                 out[i] = x.tobytes()
         return out
 
-    def _looked_up(self, words: list[str]) -> list[bytes]:
+    def _looked_up(self, words: pa.LargeStringArray) -> tuple[pa.LargeListArray, np.ndarray]:
+        """Lists of ids, and which of them is each word's."""
         memo = self.memo
-        found = [memo.get(w) for w in words]
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            room = self.memo_words - len(memo)
-            for i, ids in zip(missing, self._library([words[i] for i in missing]), strict=True):
-                found[i] = ids
-                if room > 0 and len(words[i]) <= self.memo_word_chars:
-                    memo[words[i]] = ids
-                    room -= 1
-        return found
+        known = pc.index_in(words, value_set=memo.words)
+        missing = words.filter(pc.is_null(known))
+        at = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(missing):
+            return memo.ids, at
+        fresh = self._library(missing.to_pylist())
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)) // 4)])
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(fresh), np.uint32)))
+        both = pa.concat_arrays([memo.ids, lists])
+        at[at < 0] = len(memo.ids) + np.arange(len(missing))
+        if len(memo.words) < self.memo_words:
+            short = pc.less_equal(pc.binary_length(missing), self.memo_word_chars)
+            memo.words = pa.concat_arrays([memo.words, missing.filter(short)])
+            memo.ids = pa.concat_arrays([memo.ids, lists.filter(short)])
+        return both, at
 
     @staticmethod
     def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -149,19 +162,17 @@ class WordEncoder:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text (null: 0)."""
         coded, offsets = self._words(texts)
-        per_word = np.fromiter(map(len, self._looked_up(coded.dictionary.to_pylist())), np.int64, len(coded.dictionary)) // 4
-        sums = np.concatenate([[0], np.cumsum(per_word[coded.indices.to_numpy()])]) if len(coded) else np.zeros(1, np.int64)
+        lists, at = self._looked_up(coded.dictionary)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)[at]
+        sums = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()], dtype=np.int64)])
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each text's number of ids."""
         coded, offsets = self._words(texts)
-        if not len(coded):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        per_word = self._looked_up(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, per_word), np.int32, len(per_word)) // 4
-        flat = pa.array(np.frombuffer(b"".join(per_word), np.uint32))
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])), flat)
-        out = lists.take(coded.indices).flatten().to_numpy()
-        sums = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()], dtype=np.int64)])
+        lists, at = self._looked_up(coded.dictionary)
+        at = at[coded.indices.to_numpy()]
+        out = lists.take(pa.array(at)).flatten().to_numpy()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)[at]
+        sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         return out, sums[offsets[1:]] - sums[offsets[:-1]]
