@@ -261,8 +261,8 @@ def crag_evaluate(spark, sf_dir):
 @query(
     "crag_verdict",
     f"""WITH {BM25}, {_relevance_sql()}, m AS (SELECT item_id AS query_id, (SELECT avg(relevance) FROM rel WHERE rel.query_id = item_id) AS m FROM benchmark)
-SELECT query_id, round(m, 6) AS avg_relevance, CASE WHEN m >= 0.5 THEN 'correct' WHEN m IS NULL OR m <= 0.15 THEN 'incorrect' ELSE 'ambiguous' END AS quality,
-  round(CASE WHEN m IS NULL THEN 0.0 WHEN m >= 0.5 THEN m WHEN m <= 0.15 THEN 1 - m ELSE 0.5 END, 6) AS confidence FROM m""",
+SELECT query_id, round(m + 1e-9, 6) AS avg_relevance, CASE WHEN m >= 0.5 THEN 'correct' WHEN m IS NULL OR m <= 0.15 THEN 'incorrect' ELSE 'ambiguous' END AS quality,
+  round(CASE WHEN m IS NULL THEN 0.0 WHEN m >= 0.5 THEN m WHEN m <= 0.15 THEN 1 - m ELSE 0.5 END + 1e-9, 6) AS confidence FROM m""",
 )
 def crag_verdict(spark, sf_dir):
     return correction.verdict(evaluated(spark, sf_dir), questions(spark, sf_dir))

@@ -50,7 +50,7 @@ def verdict(evaluated: DataFrame, queries: DataFrame, top: int = 10) -> DataFram
     j = queries.select("query_id").join(mean, "query_id", "left")
     quality = F.when(F.col("m") >= CORRECT, "correct").when(F.col("m").isNull() | (F.col("m") <= INCORRECT), "incorrect").otherwise("ambiguous")
     sure = F.when(F.col("m").isNull(), 0.0).when(F.col("m") >= CORRECT, F.col("m")).when(F.col("m") <= INCORRECT, 1 - F.col("m")).otherwise(0.5)
-    return j.select("query_id", F.round("m", 6).alias("avg_relevance"), quality.alias("quality"), F.round(sure, 6).alias("confidence"))
+    return j.select("query_id", F.round(F.col("m") + 1e-9, 6).alias("avg_relevance"), quality.alias("quality"), F.round(sure + 1e-9, 6).alias("confidence"))
 
 
 def rewrites(query: str, most: int = 3) -> list[str]:

@@ -34,7 +34,7 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     one = "|".join(f"(?:{glob_regex(p)})" for p in patterns)
     parts = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return path.rlike(one) | F.exists(parts, lambda x: x.rlike(one)) | F.exists(above, lambda x: x.rlike(one))
+    return path.rlike(one) | F.concat(F.lit("/"), path).rlike(one) | F.exists(parts, lambda x: x.rlike(one)) | F.exists(above, lambda x: x.rlike(one))
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
