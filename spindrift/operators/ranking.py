@@ -21,7 +21,7 @@ def recency(updated: Column, now: Column, tau_days: float = TAU_DAYS) -> Column:
 
 def focus(path: Column, paths: list[str]) -> Column:
     """1 where the path holds one of the focus paths."""
-    return F.greatest(*[F.contains(path, F.lit(p)).cast("double") for p in paths], F.lit(0.0))
+    return F.greatest(*[F.contains(path, F.lit(p)).cast("double") for p in paths], F.lit(0.0), F.lit(0.0))
 
 
 def hybrid_score(candidates: DataFrame, weights: dict[str, float] | None = None, multipliers: DataFrame | None = None) -> DataFrame:
