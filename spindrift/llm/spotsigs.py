@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import input_bytes
+from .shared import input_bytes, written
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -75,6 +75,10 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return jaccard if least <= 0 else F.when(F.least(m, n) < least * F.greatest(m, n), 0.0).otherwise(jaccard)
 
 
+#: Id ranges at most; beyond 512 GB a range grows with the table and its window spills.
+MOST_BUCKETS = 1 << 17
+
+
 def with_next(docs: DataFrame, id_col: str, columns: list[str], bytes_per_bucket: int = 4 << 20, coarse: int = 64) -> DataFrame:
     """Adds ``next``: a struct of ``columns`` of the row that follows in
     descending id (after the last: of the first). Equal ids are ordered by the
@@ -83,8 +87,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], bytes_per_bucket
     Rows are dealt into id ranges, so no task sorts the whole table; the first
     row of each range goes to the range before it as well.
     """
-    spark = docs.sparkSession
-    fine = max(16, -(-(input_bytes(docs) or 0) // (bytes_per_bucket * coarse)))
+    fine = min(MOST_BUCKETS // coarse, max(16, -(-(input_bytes(docs) or 0) // (bytes_per_bucket * coarse))))
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     bounds = sorted(set(map(int, ids.approxQuantile("id", [i / coarse for i in range(coarse + 1)], 0.002)))) or [0]
     lows = F.array(*[F.lit(x).cast("long") for x in bounds])
@@ -103,9 +106,8 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], bytes_per_bucket
         F.col("first").alias("_first"),
         F.coalesce(F.lead("_bucket").over(up), F.min("_bucket").over(W.partitionBy())).alias("_to"),
     )
-    # at most coarse * fine + 1 rows of five numbers; collected once so that the plan holds their exact extent
-    known = spark.createDataFrame(heads.collect(), heads.schema)
-    known = F.broadcast(known) if coarse * fine <= 1 << 17 else known
+    # at most MOST_BUCKETS + 1 rows of five numbers
+    known = F.broadcast(written(heads, "range-heads"))
     marked = rows.join(known, (F.col("_bucket") == F.col("_own")) & (F.struct(key.alias("id"), tie.alias("tie")) == F.col("_first")), "left")
     places = F.when(F.col("_to").isNotNull(), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("x")), F.struct(F.col("_to").alias("b"), F.lit(1).alias("x")))).otherwise(
         F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("x")))
