@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .shared import releasing
+
 #: White space as the pattern's regex engine sees it.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LONG_SPACE = re.compile(SPACE + "{256,}")
@@ -104,7 +106,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 flat = pa.array(np.concatenate([np.zeros(0, np.int32), *(x.astype(np.int32) for x in ids)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
+    return _texts(docs, id_col, text_col).mapInArrow(releasing(run), "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
 
 
 def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -117,7 +119,7 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     source = coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return source.mapInArrow(run, "doc_id long, bytes binary").withColumnRenamed("doc_id", id_col)
+    return source.mapInArrow(releasing(run), "doc_id long, bytes binary").withColumnRenamed("doc_id", id_col)
 
 
 def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -142,7 +144,7 @@ def encoded_rows(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(size, pa.int64()), lists, pa.array(good, pa.bool_())], [*names, "n_tokens", "ids", "decodes"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +168,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    out = _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = _texts(docs, id_col, text_col).mapInArrow(releasing(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("doc_id", id_col)
 
 

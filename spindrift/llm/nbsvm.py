@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import releasing
 from .word_bpe import byte_slices
 
 BITS = 18
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], ["id", "label", "ids"])
 
-    got = texts.select("_id", "text", "_label").mapInArrow(run, "id long, label int, ids array<int>").toArrow().sort_by("id")
+    got = texts.select("_id", "text", "_label").mapInArrow(releasing(run), "id long, label int, ids array<int>").toArrow().sort_by("id")
     # rows of one id with equal texts are one example
     seen, rows, y = set(), [], []
     for i, label, ids in zip(got["id"].to_pylist(), got["label"].to_pylist(), got["ids"], strict=True):
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 s = pa.array(model.scores(ids, of, part.num_rows), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], s], [*names, "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import Forest, components, stars
-from .shared import KEEP_FEW, settings, tasks_for, written
+from .shared import KEEP_FEW, releasing, settings, tasks_for, written
 from .word_bpe import byte_slices
 
 _RNG = np.random.default_rng(20240229)
@@ -262,8 +262,8 @@ def _pass(texts: DataFrame, n: int, bands: Bands) -> DataFrame:
         if left:
             yield from counted(pa.Table.from_batches(left))
 
-    passed = texts.mapInArrow(scan, "kind byte, key long, a long, b long").repartition(tasks_for(texts), "key").sortWithinPartitions("kind", "key")
-    return written(passed.mapInArrow(meet, "kind byte, key long, a long, b long, held long"), "ngram-pass")
+    passed = texts.mapInArrow(releasing(scan), "kind byte, key long, a long, b long").repartition(tasks_for(texts), "key").sortWithinPartitions("kind", "key")
+    return written(passed.mapInArrow(releasing(meet), "kind byte, key long, a long, b long, held long"), "ngram-pass")
 
 
 def _candidates(passed: DataFrame, task_rows: int = 500_000) -> DataFrame:
@@ -310,7 +310,7 @@ def _candidates(passed: DataFrame, task_rows: int = 500_000) -> DataFrame:
                 a, b, held = [], [], 0
         yield out()
 
-    return kept.select("key", "node").repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(star, "a long, b long")
+    return kept.select("key", "node").repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(releasing(star), "a long, b long")
 
 
 def _compare(sets: list[np.ndarray], ids: list[int], side: list[int] | None, percent: int, forest: Forest) -> None:
@@ -392,7 +392,7 @@ def _confirmed(grouped: DataFrame, n: int, percent: int) -> DataFrame:
         if held:
             yield work(pa.Table.from_batches(held))
 
-    return grouped.mapInArrow(run, "a long, b long")
+    return grouped.mapInArrow(releasing(run), "a long, b long")
 
 
 def _tiled(members: DataFrame, percent: int, tile_shingles: int) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .ngram_join import mixed
-from .shared import tasks_for, unique_ids, written
+from .shared import releasing, tasks_for, unique_ids, written
 from .word_bpe import byte_slices
 
 _U = np.uint64
@@ -259,7 +259,7 @@ def _scan(texts: DataFrame, length: int, flush: int) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return texts.select("key", "text").mapInArrow(run, _CELL_SCHEMA)
+    return texts.select("key", "text").mapInArrow(releasing(run), _CELL_SCHEMA)
 
 
 def _united(key: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> pa.RecordBatch:
@@ -326,7 +326,7 @@ def _met(found: DataFrame) -> DataFrame:
         if held:
             yield from _in_parts(settle(pa.Table.from_batches(held), mixed_h))
 
-    return found.mapInArrow(run, _CELL_SCHEMA)
+    return found.mapInArrow(releasing(run), _CELL_SCHEMA)
 
 
 def _contexts(texts: DataFrame, checks: DataFrame, length: int) -> DataFrame:
@@ -344,7 +344,7 @@ def _contexts(texts: DataFrame, checks: DataFrame, length: int) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([h, pa.array(np.full(len(h), batch.column(0)[i].as_py())), s0, own, body], ["h", "key", "s0", "own", "body"])
                 yield from _in_parts(out, 4096)
 
-    return joined.mapInArrow(run, "h long, key long, s0 long, own boolean, body binary")
+    return joined.mapInArrow(releasing(run), "h long, key long, s0 long, own boolean, body binary")
 
 
 def _decided(contexts: DataFrame, length: int, index_bytes: int) -> DataFrame:
@@ -402,10 +402,10 @@ def _decided(contexts: DataFrame, length: int, index_bytes: int) -> DataFrame:
             if t.num_rows:
                 yield from _in_parts(index(t))
 
-    return contexts.mapInArrow(run, _CELL_SCHEMA)
+    return contexts.mapInArrow(releasing(run), _CELL_SCHEMA)
 
 
-def marks(texts: DataFrame, length: int = 200, flush: int = 1 << 20, index_bytes: int = 2 << 20) -> DataFrame:
+def marks(texts: DataFrame, length: int = 200, flush: int = 1 << 18, index_bytes: int = 1 << 20) -> DataFrame:
     """``key``, ``s0``, ``s1``: ranges of windows that also start elsewhere."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
@@ -470,7 +470,7 @@ def kept(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: s
                 arrays = [pa.array(body, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *arrays], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(releasing(run), schema)
 
 
 def _spans(pairs: np.ndarray) -> list[tuple[int, int]]:

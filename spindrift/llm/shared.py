@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,6 +110,27 @@ def remove_all() -> None:
             return
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that hands freed memory back when it ends: workers are
+    reused, and what one step has freed would count against the next."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            return  # another C library: nothing to hand back
+
+    return task
+
+
 def file_system(uri: str):
     """A pyarrow file system and the path in it, for files written by executors."""
     from pyarrow import fs
