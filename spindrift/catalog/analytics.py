@@ -451,7 +451,7 @@ def coded(spark, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     heads = ["class A{i}(ABC):\n", "class P{i}(Protocol, object):\n", "@dataclass\n", "typedef\n", "", "an interface of ", "class S{i}(BaseModel):\n"]
     head = F.element_at(F.array(*map(F.lit, heads)), (F.pmod("doc_id", F.lit(7)) + 1).cast("int"))
-    return d.select(F.col("doc_id").alias("chunk_id"), F.concat(F.replace(head, F.lit("{i}"), F.col("doc_id").cast("string")), F.substring("text", 1, 300)).alias("content"))
+    return d.select(F.col("doc_id").alias("chunk_id"), F.concat(F.replace(head, F.lit("{i}"), F.col("doc_id").cast("string")), F.col("text")).alias("content"))
 
 
 CODED = "coded AS (SELECT doc_id AS chunk_id, replace((['class A{i}(ABC):' || chr(10), 'class P{i}(Protocol, object):' || chr(10), '@dataclass' || chr(10), 'typedef' || chr(10), '', 'an interface of ', 'class S{i}(BaseModel):' || chr(10)])[doc_id % 7 + 1], '{i}', CAST(doc_id AS VARCHAR)) || substring(text, 1, 300) AS content FROM documents)"
