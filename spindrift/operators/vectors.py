@@ -59,30 +59,62 @@ def similar_ids(vectors: DataFrame, one: int, others: DataFrame) -> DataFrame:
     return t.crossJoin(q).where((norm(F.col("embedding")) > 0) & (norm(F.col("q")) > 0)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
-def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 6, tables: int = 12, seed: int = 11) -> DataFrame:
-    """Approximate nearest vectors: signs of seeded random projections give a
-    bucket per table; only vectors that share a bucket are scored."""
-    import numpy as np
+#: Vectors in a block.
+BLOCK = 512
 
-    width = vectors.select(F.size("embedding").alias("n")).first().n
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
 
-    def buckets(v: Column) -> Column:
-        out = []
-        for t in range(tables):
-            code = F.lit(0)
-            for b in range(bits):
-                plane = F.array(*[F.lit(float(x)) for x in planes[t, b]])
-                code = code + F.when(dot(v, plane) >= 0, 1 << b).otherwise(0)
-            out.append(F.struct(F.lit(t).alias("t"), code.alias("c")))
-        return F.array(*out)
+def _blocks(vectors: DataFrame) -> DataFrame:
+    """Normalised vectors as blocks: ``ids`` and ``rows`` in bytes."""
+    import pyarrow as pa
 
-    v = vectors.select("vec_id", normalised(F.col("embedding")).alias("v"))
-    keyed = v.select("vec_id", F.explode(buckets(F.col("v"))).alias("key"))
-    asked = queries.select(F.col("vec_id").alias("query_vec"), normalised(F.col("embedding")).alias("q"))
-    asked_keys = asked.select("query_vec", F.explode(buckets(F.col("q"))).alias("key"))
-    pairs = keyed.join(asked_keys, "key").where("vec_id <> query_vec").select("query_vec", "vec_id").distinct()
-    scored = pairs.join(v, "vec_id").join(asked, "query_vec").select("query_vec", "vec_id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
+    def pack(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                ids, rows = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([rows.astype("<f8").tobytes()], pa.binary())], names=["ids", "rows"])
+
+    v = vectors.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), normalised(F.col("embedding")).alias("v"))
+    return v.mapInArrow(pack, "ids binary, rows binary")
+
+
+def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 6, tables: int = 12, seed: int = 11, probes: int = 8) -> DataFrame:
+    """Approximate nearest vectors: signs of seeded random projections give a
+    bucket per table. A query looks into the ``probes`` buckets of each table
+    that are nearest to it, by the squared projections whose signs differ; only
+    vectors found there are scored. Blocks of vectors meet blocks of queries,
+    and each meeting gives ``k`` rows a query at most."""
+    import numpy as np
+    import pyarrow as pa
+
+    masks = np.arange(1 << bits)
+    flips = (masks[:, None] >> np.arange(bits) & 1).astype(float)
+
+    def search(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, asked = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["asked"], "<i8")
+                order = np.argsort(ids)
+                ids = ids[order]
+                v, q = np.frombuffer(row["rows"], "<f8").reshape(len(ids), -1)[order], np.frombuffer(row["q"], "<f8").reshape(len(asked), -1)
+                planes = np.random.default_rng(seed).normal(size=(tables, bits, v.shape[1]))
+                found = np.zeros((len(asked), len(ids)), bool)
+                for plane in planes:
+                    near = q @ plane.T
+                    first = np.argsort(near**2 @ flips.T, axis=1, kind="stable")[:, :probes]
+                    probed = np.zeros((len(asked), 1 << bits), bool)
+                    np.put_along_axis(probed, ((near >= 0) @ (1 << np.arange(bits)))[:, None] ^ first, True, axis=1)
+                    found |= probed[:, (v @ plane.T >= 0) @ (1 << np.arange(bits))]
+                found &= asked[:, None] != ids
+                score = np.where(found, np.round(q @ v.T, 9), -np.inf)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                at, nth = np.nonzero(np.take_along_axis(found, best, axis=1))
+                hit = best[at, nth]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[at]), pa.array(ids[hit]), pa.array(score[at, hit])], names=["query_vec", "vec_id", "score"])
+
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = _blocks(queries).select(F.col("ids").alias("asked"), F.col("rows").alias("q")).repartition(max(1, n // 6))
+    scored = _blocks(vectors).repartition(n).crossJoin(asked).mapInArrow(search, "query_vec long, vec_id long, score double")
     w = W.partitionBy("query_vec").orderBy(F.desc("score"), F.asc("vec_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
