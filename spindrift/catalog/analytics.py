@@ -519,17 +519,15 @@ def peek_lines(spark, sf_dir):
 
 @query("subquery_plan")
 def subquery_plan(spark, sf_dir):
-    rows = [(r.query_id, r.text) for r in asked(spark, sf_dir).orderBy("query_id").limit(50).collect()]  # a batch of questions
-    return planner.plan_table(spark, rows)
+    return planner.planned(asked(spark, sf_dir))
 
 
 @query("planned_retrieval")
 def planned_retrieval(spark, sf_dir):
     from ..operators.lexical import bm25
 
-    rows = [(r.query_id, r.text) for r in asked(spark, sf_dir).orderBy("query_id").limit(20).collect()]  # a batch of questions
     c = chunks(spark, sf_dir)
-    return planner.planned_retrieval(planner.plan_table(spark, rows), lambda q: bm25(c, q, k=20))
+    return planner.planned_retrieval(planner.planned(asked(spark, sf_dir)), lambda q: bm25(c, q, k=20, asked_only=True))
 
 
 @query("continuations", f"WITH {ASKED} SELECT query_id, regexp_matches(lower(text), 'what was (?:that|the) .+|(?:that|the) (?:same|previous) .+|as we discussed') AS hit FROM asked")

@@ -40,15 +40,19 @@ def bm25(
     k1: float = 1.2,
     b: float = 0.75,
     allowed: DataFrame | None = None,
+    asked_only: bool = False,
 ) -> DataFrame:
     """``query_id``, ``chunk_id``, ``score``, ``norm_score`` (by the query's
     best) and ``rank``. ``match='all'`` asks for every term of the query;
-    ``allowed`` (``file_path``) restricts the chunks."""
+    ``allowed`` (``file_path``) restricts the chunks; ``asked_only`` leaves
+    terms that no query has out of the postings, which changes no score."""
     if allowed is not None:
         chunks = chunks.join(allowed.select("file_path").distinct(), "file_path", "left_semi")
     posted = postings(chunks)
     stats = corpus_stats(chunks)
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    if asked_only:
+        posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
     weights = document_frequencies(posted.join(asked.select("term").distinct(), "term", "left_semi"), stats)
     hits = posted.join(asked, "term").join(weights, "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf")

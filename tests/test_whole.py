@@ -3,6 +3,7 @@
 import pytest
 
 from spindrift import catalog
+from spindrift.plans import planner
 
 
 def written(spark, folder, **tables):
@@ -16,3 +17,15 @@ def test_contracts_after_a_long_text(spark, tmp_path, name, column, expected):
     long = "word " * 2000
     sf = written(spark, tmp_path, documents=([(4, long + "\nclass Late(BaseModel):\n"), (11, long)], "doc_id long, text string"))
     assert {r.chunk_id: r[column] for r in catalog.QUERIES[name](spark, sf).collect()} == expected
+
+
+def test_all_questions_are_planned(spark, tmp_path):
+    texts = [(i, f"word{i} of a question") for i in range(120)]
+    docs = [(i, f"word{i} and more words", "en", "s") for i in range(120)]
+    sf = written(spark, tmp_path, benchmark=(texts, "item_id long, text string"), documents=(docs, "doc_id long, text string, lang string, source string"))
+    plan = catalog.QUERIES["subquery_plan"](spark, sf).collect()
+    asked = catalog.retrieval.asked(spark, sf).collect()
+    expected = planner.plan_table(spark, [(r.query_id, r.text) for r in asked]).drop("query_id").collect()
+    assert sorted(tuple(r)[1:] for r in plan) == sorted(map(tuple, expected))
+    assert len({r.query_id for r in plan}) == len(plan)
+    assert {r.query_id for r in catalog.QUERIES["planned_retrieval"](spark, sf).collect()} == set(range(120))
