@@ -134,7 +134,7 @@ def similarity_to_set(spark, sf_dir):
 @query("lsh_knn")
 def lsh_knn(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return vectors.lsh_knn(v, v.where("vec_id % 50 = 0"), k=5)
+    return vectors.lsh_knn(v, v.where("vec_id % 20 = 0"), k=5)
 
 
 @query("hashed_embeddings")
@@ -281,7 +281,7 @@ def crag_corrected(spark, sf_dir):
 @query("mmr_select")
 def mmr_select(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    near = vectors.knn(v, v.where("vec_id % 50 = 0"), k=50)
+    near = vectors.knn(v, v.where("vec_id % 20 = 0"), k=50)
     listed = near.join(v.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
     return ranking.mmr(listed.select(F.col("query_vec").alias("query_id"), F.col("vec_id").alias("chunk_id"), "score", "vector"), limit=10)
 

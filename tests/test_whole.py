@@ -1,10 +1,14 @@
 """Queries on planted rows that a cut of their input would lose."""
 
+import os
+
 import pytest
 
 from spindrift import catalog
 from spindrift.plans import planner
 
+SF = "/root/testdata/sf0.001"
+
 
 def written(spark, folder, **tables):
     for name, (rows, schema) in tables.items():
@@ -29,3 +33,10 @@ def test_all_questions_are_planned(spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in plan) == sorted(map(tuple, expected))
     assert len({r.query_id for r in plan}) == len(plan)
     assert {r.query_id for r in catalog.QUERIES["planned_retrieval"](spark, sf).collect()} == set(range(120))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize(("name", "column"), [("lsh_knn", "query_vec"), ("mmr_select", "query_id")])
+def test_every_twentieth_vector_is_searched(spark, name, column):
+    due = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert due and {r[column] for r in catalog.QUERIES[name](spark, SF).collect()} == due
