@@ -8,6 +8,8 @@ error, since a machine-local folder would lose data with its machine.
 from __future__ import annotations
 
 import atexit
+import logging
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = base.get() if base.isDefined() else None
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="shared-")
+            logging.getLogger(__name__).warning("spark.checkpoint.dir is not set: this machine's %s is used", base)
             sc.setCheckpointDir(base)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
@@ -50,7 +53,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def file_folder(spark: SparkSession, name: str) -> str:
+    """URI of a new, existing folder for files that tasks write themselves, as
+    pyarrow names it: the JVM's file system resolves mounts to what is behind."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(new_folder(spark, name))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    uri = re.sub("^file:/+", "file:///", str(fs.resolvePath(at).toString()))
+    uri = re.sub("^s3[an]://", "s3://", uri)
+    try:
+        file_system(uri)
+    except Exception as e:
+        raise ValueError(f"tasks cannot write files of their own to {uri}: {e}") from e
+    return uri
+
+
+def release(df: DataFrame) -> None:
+    """Removes a table of ``written`` that nothing reads any more."""
+    path = getattr(df, "_written_to", None)
+    if path is not None:
+        _removed(df.sparkSession, path)
+        _made[:] = [x for x in _made if x[1] != path]
+
+
+def _removed(spark: SparkSession, path: str) -> bool:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception as e:  # the session has ended, or the store refused: the files stay with the folder's owner
+        logging.getLogger(__name__).warning("%s could not be removed: %s", path, e)
+        return False
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -101,13 +138,7 @@ KEEP_FEW = {
 def remove_all() -> None:
     """Removes what ``new_folder`` has given out."""
     while _made:
-        spark, path = _made.pop()
-        try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # the session has ended: the files stay with the folder's owner
-            return
+        _removed(*_made.pop())
 
 
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

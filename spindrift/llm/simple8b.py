@@ -3,8 +3,11 @@
 A word has 64 bits: a selector in the top four and ids of equal width below.
 Selectors 0 to 13 pack 60 x 1 bit down to 1 x 60 bits, 14 stands for 120 zeros,
 and 15 escapes: the next word is one raw 64-bit value. Ids are packed in blocks
-of ``BLOCK``; a file keeps each block's first word, so blocks decode at once,
-by selector, without looking at one another.
+of ``BLOCK``; a file keeps each block's first word. Decoding starts every block
+at its own offset: all blocks of a request step through their words at the same
+time, escapes are taken where a block's cursor meets them, and what a block
+fills must end where the next one starts. A slice of the ids reads its own
+blocks only.
 
 A file: magic, words, block offsets, document ids, their validity, their
 lengths, then six counts and the magic again (all little endian). A writer
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_folder, tasks_for, written
+from .shared import file_folder, file_system, tasks_for, written
 from .word_bpe import WordEncoder, byte_slices
 
 MAGIC = b"S8BIDS01"
@@ -108,30 +111,44 @@ def _within(most: np.ndarray, reach: int, count: int) -> np.ndarray:
     return most
 
 
-def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    """The ``n`` values, all blocks at once."""
-    if not n:
+#: Ids of a word by its selector.
+_SIZES = np.array([c for c, _ in PACKS] + [120, 1])
+
+
+def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Values ``start`` to ``stop`` of the ``n``, from the blocks that hold them."""
+    stop = n if stop is None else min(stop, n)
+    if stop <= start:
         return np.zeros(0, np.uint64)
-    selector = (words >> np.uint64(60)).astype(np.int8)
-    raw = np.zeros(len(words), bool)
-    # an escape's next word is raw, whatever its top bits are
-    for i in np.flatnonzero(selector == ESCAPE).tolist():
-        if not raw[i]:
-            raw[i + 1] = True
-    heads = np.flatnonzero(~raw)
-    chosen = selector[heads]
-    sizes = np.array([c for c, _ in PACKS] + [120, 1])[chosen]
-    start = np.cumsum(sizes) - sizes
-    out = np.zeros(n, np.uint64)
+    lo, hi = start // block, -(-stop // block)
+    cursor, end = offsets[lo:hi].copy(), offsets[lo + 1 : hi + 1]
+    room = np.minimum(block, n - np.arange(lo, hi) * block)
+    filled, live = np.zeros(hi - lo, np.int64), np.arange(hi - lo)
+    heads, chosen, places = [], [], []
+    while len(live):
+        at = cursor[live]
+        if (at >= end[live]).any():
+            raise ValueError("a block ends before its ids")
+        selector = (words[at] >> np.uint64(60)).astype(np.int64)
+        heads.append(at)
+        chosen.append(selector)
+        places.append(live * block + filled[live])
+        filled[live] += _SIZES[selector]
+        cursor[live] = at + 1 + (selector == ESCAPE)
+        live = live[filled[live] < room[live]]
+    if (cursor != end).any() or (filled != room).any():
+        raise ValueError("a block does not end where the next one starts")
+    heads, chosen, places = np.concatenate(heads), np.concatenate(chosen), np.concatenate(places)
+    out = np.zeros(int(room.sum()), np.uint64)
     for s, (count, bits) in enumerate(PACKS):
         mine = chosen == s
         if mine.any():
-            w, at, mask = words[heads[mine]], start[mine], np.uint64((1 << bits) - 1)
+            w, at, mask = words[heads[mine]], places[mine], np.uint64((1 << bits) - 1)
             for i in range(count):
                 out[at + i] = (w >> np.uint64(i * bits)) & mask
     mine = chosen == ESCAPE
-    out[start[mine]] = words[heads[mine] + 1]
-    return out
+    out[places[mine]] = words[heads[mine] + 1]
+    return out[start - lo * block : stop - lo * block]
 
 
 def file_bytes(ids: np.ndarray, doc_ids: np.ndarray, valid: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -141,8 +158,8 @@ def file_bytes(ids: np.ndarray, doc_ids: np.ndarray, valid: np.ndarray, lengths:
     return MAGIC + b"".join(x.tobytes() for x in parts) + MAGIC
 
 
-def file_content(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, document ids, their validity and lengths of a file."""
+def _sections(data: bytes) -> tuple[list[np.ndarray], int, int]:
+    """Words, offsets, document ids, validity and lengths of a file; ids in it, ids of a block."""
     if data[:8] != MAGIC or data[-8:] != MAGIC:
         raise ValueError("not a token-id file, or cut short")
     n_words, n_offsets, n_docs, n_ids, block, version = np.frombuffer(data, "<u8", 6, len(data) - 56).astype(np.int64).tolist()
@@ -152,8 +169,20 @@ def file_content(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     for count, kind in ((n_words, "<u8"), (n_offsets, "<u8"), (n_docs, "<i8"), (n_docs, "u1"), (n_docs, "<i8")):
         out.append(np.frombuffer(data, kind, count, at))
         at += out[-1].nbytes
-    words, offsets, doc_ids, valid, lengths = out
-    return unpack(words.astype(np.uint64), offsets.astype(np.int64), n_ids, block), doc_ids, valid.astype(bool), lengths
+    out[1] = out[1].astype(np.int64)
+    return out, n_ids, block
+
+
+def file_content(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, document ids, their validity and lengths of a file."""
+    (words, offsets, doc_ids, valid, lengths), n_ids, block = _sections(data)
+    return unpack(words, offsets, n_ids, block), doc_ids, valid.astype(bool), lengths
+
+
+def file_slice(data: bytes, start: int, stop: int) -> np.ndarray:
+    """Ids ``start`` to ``stop`` of a file, without decoding the others."""
+    (words, offsets, *_), n_ids, block = _sections(data)
+    return unpack(words, offsets, n_ids, block, start, stop)
 
 
 def write_ids(
@@ -171,9 +200,12 @@ def write_ids(
 
     ``encoder()`` is called once a task and returns a function from an Arrow
     array of texts (null: empty) to all ids and each text's number of ids.
+    A text's ids are in memory at once, a file's are at most ``file_ids`` and
+    one text's more. An empty table gives no files. Repeated rows are written
+    each; columns other than the key and the text are not read.
     """
     spark = docs.sparkSession
-    folder = new_folder(spark, "token-ids")
+    folder = file_folder(spark, "token-ids")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tasks = tasks_for(source, task_bytes)
     order = source.withColumn("h", F.xxhash64("text")).repartitionByRange(tasks, "doc_id", "h").sortWithinPartitions("doc_id", "h")
@@ -187,7 +219,6 @@ def write_ids(
             nonlocal held, number
             ids, keys, valid, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
             path = f"{root}/{task:07d}-{number:05d}-{uuid.uuid4().hex}.s8b"
-            fs.create_dir(root, recursive=True)
             with fs.open_output_stream(path) as f:
                 f.write(file_bytes(ids, keys, valid, lengths))
             out = [[task], [number], [path], [len(ids)], [len(keys)]]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import file_system, new_folder, unique_ids, written
+from .shared import file_folder, file_system, unique_ids, written
 
 _BREAKS = re.compile(r"[\x00-\x20\x7f]")
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, payload binary, fields map<string,string>"
@@ -78,7 +78,7 @@ def write_archives(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, file_bytes: int = 32 << 20, date: str = "2025-01-01T00:00:00Z"
 ) -> DataFrame:
     """Writes all pages and returns the archive files: ``path``, ``folder``."""
-    folder = new_folder(pages.sparkSession, "warc")
+    folder = file_folder(pages.sparkSession, "warc")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
@@ -98,7 +98,6 @@ def write_archives(
             for batch in batches:
                 for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                     if out is None:
-                        fs.create_dir(root, recursive=True)
                         path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                         out = fs.open_output_stream(path)
                     size += out.write(capture_records(*row, date))

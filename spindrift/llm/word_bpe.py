@@ -1,10 +1,11 @@
-"""Encoding with a word-level vocabulary file of the tokenizers library.
-
-The pre-tokenizers of such files never join characters across white space, so
-a text encodes to its words' ids in order. A batch is cut at ASCII white
-space, each distinct word goes through the library once, and a bounded memo
-carries words from batch to batch. Words keep the library's own treatment of
-special strings, Unicode and punctuation.
+"""Encoding with a vocabulary file of the tokenizers library.
+
+Where the file's own steps show that white space is dropped and never joined
+(see ``drops_white_space``), a text encodes to its words' ids in order: a batch
+is cut at ASCII white space, each distinct word goes through the library once,
+and a memo bounded in bytes carries words from batch to batch. Words keep the
+library's own treatment of special strings, Unicode and punctuation. Texts of
+any other file go through the library whole.
 """
 
 from __future__ import annotations
@@ -42,13 +43,19 @@ class _Memo:
         self.ids = pa.array([], pa.large_list(pa.uint32()))
         self.pieces: dict[str, bytes] = {}
 
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ids.nbytes
+
 
 _memos: dict[str, _Memo] = {}
+#: Bytes of a dictionary entry of the memo beside its ids.
+_ENTRY = 200
 
 
-#: Steps before the merges for which plain words need only the library's merges:
-#: for printable ASCII without "<|" they lower the case and cut by this pattern.
-_PLAIN_STEPS = {
+#: Steps before the merges that drop white space: for printable ASCII without
+#: "<|" they lower the case and cut by this pattern.
+_STEPS = {
     "normalizer": ["NFC", "Replace", "Lowercase"],
     "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
@@ -56,40 +63,47 @@ _PLAIN_WORD = re.compile(r"[!-~]+")
 _PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
-def _plain(tokenizer) -> bool:
-    """Whether the vocabulary file has the steps above and byte-level merges."""
+def drops_white_space(tokenizer) -> bool:
+    """Whether the vocabulary file has the steps above, byte-level merges and
+    no added token that holds white space or takes any."""
     c = json.loads(tokenizer.to_str())
     try:
         split, byte = c["pre_tokenizer"]["pretokenizers"]
         return (
-            [n["type"] for n in c["normalizer"]["normalizers"]] == _PLAIN_STEPS["normalizer"]
-            and split["pattern"] == {"Regex": _PLAIN_STEPS["pattern"]}
+            [n["type"] for n in c["normalizer"]["normalizers"]] == _STEPS["normalizer"]
+            and split["pattern"] == {"Regex": _STEPS["pattern"]}
             and split["behavior"] == "Removed"
             and split["invert"]
             and byte["type"] == "ByteLevel"
             and not byte["use_regex"]
             and not byte["add_prefix_space"]
-            and all(t["content"].startswith("<|") for t in c["added_tokens"])
+            and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in c["added_tokens"])
         )
     except (KeyError, TypeError, ValueError):
         return False
 
 
-class WordEncoder:
-    """Ids or id counts of texts. One instance per task; the tasks of a worker
-    share a memo of at most ``memo_words`` words, each of ``memo_word_chars``
-    characters at most."""
+def open_tokenizer(path: str):
+    """The library's tokenizer of a file, without truncation or padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
 
-    def __init__(self, path: str, memo_words: int = 500_000, memo_word_chars: int = 24):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordEncoder:
+    """Ids of texts. One instance per task; the tasks of a worker share a memo
+    of about ``memo_bytes`` in all, for words of ``memo_word_chars`` characters
+    at most."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str, memo_bytes: int = 24 << 20, memo_word_chars: int = 24):
+        self.tokenizer = open_tokenizer(path)
         self.memo = _memos.setdefault(path, _Memo())
-        self.plain = _plain(self.tokenizer)
-        self.memo_words, self.memo_word_chars = memo_words, memo_word_chars
+        self.by_words = drops_white_space(self.tokenizer)
+        self.memo_bytes, self.memo_word_chars = memo_bytes // 2, memo_word_chars
         mark = self._ids([MARK])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
@@ -100,19 +114,18 @@ class WordEncoder:
         """Each word's ids. Words are encoded as one text, with a digit between
         them that becomes an id of its own; words with that digit go alone."""
         out: list = [None] * len(words)
-        if self.plain:
-            merges, pieces = self.tokenizer.model.tokenize, self.memo.pieces
-            for i, w in enumerate(words):
-                if _PLAIN_WORD.fullmatch(w) and "<|" not in w:
-                    parts = []
-                    for p in _PLAIN_PIECE.findall(w.lower()):
-                        ids = pieces.get(p)
-                        if ids is None:
-                            ids = b"".join([x.id.to_bytes(4, "little") for x in merges(p)])
-                            if len(pieces) < self.memo_words and len(p) <= self.memo_word_chars:
-                                pieces[p] = ids
-                        parts.append(ids)
-                    out[i] = parts[0] if len(parts) == 1 else b"".join(parts)
+        merges, pieces = self.tokenizer.model.tokenize, self.memo.pieces
+        for i, w in enumerate(words):
+            if _PLAIN_WORD.fullmatch(w) and "<|" not in w:
+                parts = []
+                for p in _PLAIN_PIECE.findall(w.lower()):
+                    ids = pieces.get(p)
+                    if ids is None:
+                        ids = b"".join([x.id.to_bytes(4, "little") for x in merges(p)])
+                        if len(pieces) * _ENTRY < self.memo_bytes and len(p) <= self.memo_word_chars:
+                            pieces[p] = ids
+                    parts.append(ids)
+                out[i] = parts[0] if len(parts) == 1 else b"".join(parts)
         joined = [i for i, w in enumerate(words) if out[i] is None and MARK not in w] if self.mark is not None else []
         for lo in range(0, len(joined), 10_000):
             part = joined[lo : lo + 10_000]
@@ -143,7 +156,7 @@ class WordEncoder:
         lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(fresh), np.uint32)))
         both = pa.concat_arrays([memo.ids, lists])
         at[at < 0] = len(memo.ids) + np.arange(len(missing))
-        if len(memo.words) < self.memo_words:
+        if memo.nbytes < self.memo_bytes:
             short = pc.less_equal(pc.binary_length(missing), self.memo_word_chars)
             memo.words = pa.concat_arrays([memo.words, missing.filter(short)])
             memo.ids = pa.concat_arrays([memo.ids, lists.filter(short)])
@@ -159,16 +172,11 @@ class WordEncoder:
         words = lists.flatten()
         return words.dictionary_encode(), offsets - offsets[0]
 
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """Number of ids of each text (null: 0)."""
-        coded, offsets = self._words(texts)
-        lists, at = self._looked_up(coded.dictionary)
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)[at]
-        sums = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()], dtype=np.int64)])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
-
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and each text's number of ids."""
+        """All ids in order, and each text's number of ids (null: 0)."""
+        if not self.by_words:
+            found = self._ids([t or "" for t in texts.to_pylist()])
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
         coded, offsets = self._words(texts)
         lists, at = self._looked_up(coded.dictionary)
         at = at[coded.indices.to_numpy()]

@@ -65,18 +65,39 @@ def test_word_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    encoder = word_bpe.WordEncoder(P.path("word_bpe_49k.json"), memo_words=200)
-    assert encoder.plain
+    encoder = word_bpe.WordEncoder(P.path("word_bpe_49k.json"), memo_bytes=20_000)
+    assert encoder.by_words
     for seed in range(6):
         texts = texts_of_any_kind(60, seed) + TEXTS
         want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
         column = pa.array(texts, pa.string())
-        assert encoder.counts(column).tolist() == [len(x) for x in want]
         ids, sizes = encoder.ids(column.slice(0))
         assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_files_that_keep_white_space_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encoder = word_bpe.WordEncoder(P.path("byte_bpe_50k.json"))
+    assert not encoder.by_words
+    texts = texts_of_any_kind(60, 9) + TEXTS + ["hello world  two"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, sizes = encoder.ids(pa.array(texts, pa.string()))
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_long_texts_are_split_at_safe_boundaries(name):
+    cut, whole = token_counts.Pieces(P.path(name), piece_chars=25), token_counts.Pieces(P.path(name), piece_chars=1 << 40)
+    words = ["The", "the", "cat's", "12", "été", "漢字", "don't", "!", "x", "<|endoftext|>", "\u2581", "a\u0301", "", "\n", "\x85b", "\t"]
+    rnd = random.Random(8)
+    texts = [*texts_of_any_kind(200, 3), *TEXTS, *(" ".join(rnd.choice(words) for _ in range(300)) for _ in range(50))]
+    assert sum(len(list(cut.of(t or ""))) for t in texts) > 2 * len(texts)
+    assert cut.counts(texts).tolist() == whole.counts(texts).tolist()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts(docs, name):
     got = token_counts.token_counts(docs, P.path(name), limit=20).collect()
     assert len(got) == len(TEXTS) + 2
@@ -109,6 +130,24 @@ def test_simple8b_packs_any_values():
         simple8b.file_content(b"S8BIDS01 cut")
 
 
+def test_simple8b_blocks_decode_from_their_offsets():
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 1 << 63, 9000, dtype=np.uint64) >> rng.integers(0, 63, 9000).astype(np.uint64)
+    v[3000:5000] = rng.integers(0, 1 << 63, 2000, dtype=np.uint64) + np.uint64(1 << 62)  # escapes
+    words, offsets = simple8b.pack(v)
+    data = simple8b.file_bytes(v, np.array([1]), np.array([1]), np.array([len(v)]))
+    for lo, hi in ((0, 1), (1023, 1025), (2048, 3072), (4000, 4001), (8999, 9000), (5, 5), (100, 20_000)):
+        assert (simple8b.unpack(words, offsets, len(v), start=lo, stop=hi) == v[lo:hi]).all()
+        assert (simple8b.file_slice(data, lo, hi) == v[lo:hi]).all()
+    # words of other blocks are not looked at
+    other = words.copy()
+    other[: offsets[3]] = other[offsets[4] :] if len(other) - offsets[4] == offsets[3] else np.uint64(7)
+    assert (simple8b.unpack(other, offsets, len(v), start=3 * 1024, stop=4 * 1024) == v[3 * 1024 : 4 * 1024]).all()
+    for bad in (np.zeros(0, np.int64), np.zeros_like(offsets), offsets + 1):
+        with pytest.raises((ValueError, IndexError)):
+            simple8b.unpack(words, bad, len(v))
+
+
 def test_id_files(spark, docs):
     from tokenizers import Tokenizer
 
