@@ -1,17 +1,23 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are n-gram indicators, hashed: words, and 1- to 3-grams of word shapes
-(letter case, last mark, length, repeat of the word before), the latter at
-several shares of the text, since one odd word says little about a long text.
-An indicator is scaled by its log-count ratio between the classes, and a linear
-hinge-loss model is fitted by dual coordinate descent; a logistic curve over
-the margins gives scores. Everything runs on a bounded sample of labelled rows,
-drawn by hash (``per_class`` rows of each label); scoring reads all rows.
+Features are n-gram indicators, hashed: words and pairs of words, and 1- to
+3-grams of word shapes (letter case, last mark, length, repeat of the word
+before), the latter at several shares of the text, since one odd word says
+little about a long text. An indicator is scaled by its log-count ratio between
+the classes, and a linear model is fitted on the hinge loss by dual coordinate
+descent until no row's optimality condition is off by more than a tolerance; a
+logistic curve over the margins gives scores. The fit runs on a bounded sample
+of labelled rows, drawn by hash (``per_class`` rows of each label), the curve
+on the same rows weighted by the class counts of the whole training fold, so
+the cap does not change what 0.5 stands for. Scoring reads all rows.
 
 Nothing but the text enters a score. Null and empty texts have no features and
 get the score of the intercept. Labels that are null are not used; of several
-labels of one document the largest counts. With one class only (or no labels)
-every score is that class's share (0.5 without any).
+labels of one document the largest counts; of rows that repeat an id and a text
+one is learned. With one class only (or no labels) every score is that class's
+share (0.5 without any). An empty table gives no rows; a column named ``score``
+is replaced, all others pass through. A text's words are in memory at once, its
+neighbours' in a batch are not.
 """
 
 from __future__ import annotations
@@ -101,8 +107,10 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     three = two[1:] & two[:-1]
     add(2, (shape[:-2][three] * 256 + shape[1:-1][three]) * 256 + shape[2:][three], doc[2:][three], LEVELS[1:])
     lower = pc.utf8_lower(names)
-    hashed = np.fromiter((_text_hash(w) for w in lower.to_pylist()), np.int64, len(names))
-    add(3, hashed[at], doc, LEVELS[:1])
+    word = np.fromiter((_text_hash(w) for w in lower.to_pylist()), np.int64, len(names))[at]
+    add(3, word, doc, LEVELS[:1])
+    pair = (word[:-1] * 0x9E3779B1 + word[1:]) & ((1 << 36) - 1)
+    add(3, (pair | 1 << 36)[two], doc[1:][two], LEVELS[:1])
     d, g = (np.concatenate(x) for x in zip(*found, strict=True))
     pairs = np.unique(d * (1 << BITS) + g)
     return pairs & ((1 << BITS) - 1), pairs >> BITS
@@ -114,48 +122,78 @@ def _text_hash(word: str) -> int:
     return zlib.crc32(word.encode())
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c: float = 1.0, passes: int = 12, seed: int = 7) -> Model:
-    """Log-count ratios, then dual coordinate descent on the squared hinge
-    loss, classes weighted evenly; rows are scaled to the root of their size."""
-    y = np.where(labels > 0, 1.0, -1.0)
-    share = float((y > 0).mean()) if len(y) else 0.5
-    if len(set(y.tolist())) < 2:
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
-    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), size)
-    pos = smooth + np.bincount(flat[y[owner] > 0], minlength=1 << BITS)
-    neg = smooth + np.bincount(flat[y[owner] < 0], minlength=1 << BITS)
-    ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
-    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
+def hinge(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cap: np.ndarray, size: int, tolerance: float = 1e-3, most_passes: int = 300, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the linear support vector machine
+    with hinge loss: least |w|^2 / 2 + b^2 / 2 + sum of cap * max(0, 1 - y * f).
+
+    Dual coordinate descent: each step solves the dual for one row within
+    0..cap. A row whose projected gradient is below ``tolerance`` rests; the
+    fit ends when all rows rest in one pass over all of them.
+    """
     squares = np.array([v @ v for v in values]) + 1.0
-    w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(y))
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * c
-    soft = 0.5 / weight
+    w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(seed)
-    for _ in range(passes):
-        for i in rng.permutation(len(y)):
-            g = y[i] * (w[rows[i]] @ values[i] + bias) - 1 + soft[i] * alpha[i]
-            new = max(alpha[i] - g / (squares[i] + soft[i]), 0.0)
-            if new != alpha[i]:
-                step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * values[i]
-                bias += step
-                alpha[i] = new
-    margin = np.array([w[r] @ v for r, v in zip(rows, values, strict=True)]) + bias
-    # logistic curve over the margins, by Newton steps
+    live, everyone = np.arange(len(y)), True
+    for _ in range(most_passes):
+        moving = []
+        for i in rng.permutation(live).tolist():
+            g = y[i] * (w[rows[i]] @ values[i] + bias) - 1
+            if abs(min(g, 0) if alpha[i] <= 0 else max(g, 0) if alpha[i] >= cap[i] else g) <= tolerance:
+                continue
+            moving.append(i)
+            new = min(max(alpha[i] - g / squares[i], 0.0), cap[i])
+            step = (new - alpha[i]) * y[i]
+            w[rows[i]] += step * values[i]
+            bias += step
+            alpha[i] = new
+        if moving:
+            live, everyone = np.array(moving), False
+        elif everyone:
+            break
+        else:
+            live, everyone = np.arange(len(y)), True
+    return w, bias, alpha
+
+
+def logistic(margin: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the weighted logistic curve over the margins, by Newton steps."""
     a, b = 1.0, 0.0
-    t = (y > 0).astype(float)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - t) * margin).sum() + 1e-2 * (a - 1), (p - t).sum() + 1e-2 * b])
-        r = p * (1 - p)
+        g = np.array([(weight * (p - target) * margin).sum() + 1e-2 * (a - 1), (weight * (p - target)).sum() + 1e-2 * b])
+        r = weight * p * (1 - p)
         h = np.array([[(r * margin * margin).sum() + 1e-2, (r * margin).sum()], [(r * margin).sum(), r.sum() + 1e-2]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
-    return Model((w * ratio).astype(np.float32), bias, float(a), float(b))
+    return float(a), float(b)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, totals: tuple[int, int] | None = None, smooth: float = 1.0, c: float = 1.0) -> Model:
+    """Log-count ratios, then the hinge-loss fit with evenly weighted classes;
+    rows are scaled to the root of their size. ``totals``: rows with and without
+    the label in all, for the scores' curve (default: those given)."""
+    y = np.where(labels > 0, 1.0, -1.0)
+    n = (int((y > 0).sum()), int((y < 0).sum()))
+    totals = totals or n
+    if not n[0] or not n[1]:
+        share = totals[0] / sum(totals) if sum(totals) else 0.5
+        p = min(max(share, 1e-6), 1 - 1e-6)
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
+    share = n[0] / len(y)
+    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows)), size)
+    pos = smooth + np.bincount(flat[y[owner] > 0], minlength=1 << BITS)
+    neg = smooth + np.bincount(flat[y[owner] < 0], minlength=1 << BITS)
+    ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
+    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
+    cap = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * c
+    w, bias, _ = hinge(rows, values, y, cap, 1 << BITS)
+    margin = np.array([w[r] @ v for r, v in zip(rows, values, strict=True)]) + bias
+    weight = np.where(y > 0, totals[0] / n[0], totals[1] / n[1])
+    a, b = logistic(margin, (y > 0).astype(float), weight * len(y) / weight.sum())
+    return Model((w * ratio).astype(np.float32), bias, a, b)
 
 
 def in_training(id_col: str = "doc_id", folds: int = 3, held_out: int = 1):
@@ -170,6 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & in_training(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     order = [F.xxhash64("_id").asc(), F.col("_id").asc()]
+    counts = known.agg(F.count_if(F.col("_label") > 0), F.count_if(F.col("_label") <= 0)).first()
     sample = known.where("_label > 0").orderBy(*order).limit(per_class).unionByName(known.where("_label <= 0").orderBy(*order).limit(per_class))
     # at most 2 * per_class rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id")
@@ -192,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
             seen.add((i, ids.tobytes()))
             rows.append(ids)
             y.append(label)
-    return fit(rows, np.array(y))
+    return fit(rows, np.array(y), (int(counts[0]), int(counts[1])))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

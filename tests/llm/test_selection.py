@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,51 @@ def test_quality(spark):
     assert {r.doc_id: r.score for r in nbsvm.quality(docs, flipped).collect()} == {i: r.score for i, r in got.items()}
 
 
+def test_hinge_fit_is_optimal():
+    rng = np.random.default_rng(3)
+    for c in (0.01, 0.3, 5.0):
+        x = rng.normal(size=(60, 8))
+        y = np.where(x @ rng.normal(size=8) + rng.normal(size=60) > 0, 1.0, -1.0)
+        cap = np.where(y > 0, 0.7, 1.3) * c
+        rows = [np.arange(8)] * 60
+        w, bias, alpha = nbsvm.hinge(rows, list(x), y, cap, 8, tolerance=1e-6, most_passes=5000)
+        f = x @ w + bias
+        assert np.allclose(w, (alpha * y) @ x) and bias == pytest.approx((alpha * y).sum())
+        assert (alpha >= 0).all() and (alpha <= cap).all()
+        # no gap between the primal and the dual: this is the linear hinge loss, not its square
+        primal = (w @ w + bias**2) / 2 + (cap * np.maximum(0, 1 - y * f)).sum()
+        dual = alpha.sum() - (w @ w + bias**2) / 2
+        assert primal - dual == pytest.approx(0, abs=1e-4 * (1 + primal))
+        assert (y * f >= 1 - 1e-4)[alpha == 0].all() and (y * f <= 1 + 1e-4)[alpha == cap].all()
+
+
+def test_scores_follow_the_class_counts():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 50, 6)) + i % 2 for i in range(200)]
+    labels = np.arange(200) % 2
+    even, rare = nbsvm.fit(rows, labels, (1000, 1000)), nbsvm.fit(rows, labels, (100, 1900))
+    assert (even.weights == rare.weights).all()
+    mean = lambda m: m.scores(np.concatenate(rows), np.repeat(np.arange(200), [len(r) for r in rows]), 200).mean()
+    assert mean(rare) < mean(even) - 0.05
+
+
+def naive_score(model, text):
+    """A score without batches: word pairs and words as they stand."""
+    ids, of = nbsvm.indicators(pa.array([text], pa.string()))
+    z = sum(float(model.weights[i]) for i in ids) / max(len(ids), 1) ** 0.5 + model.bias
+    return 1 / (1 + np.exp(-np.clip(model.slope * z + model.offset, -30, 30)))
+
+
+def test_batches_do_not_change_scores(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["one", "Two", "THREE!", "4", "five,"]) for _ in range(rnd.randint(0, 60))) for _ in range(80)] + [None, "", "x " * 50_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = nbsvm.train(docs, labels)
+    for r in nbsvm.score(docs, model).collect():
+        assert r.score == pytest.approx(naive_score(model, texts[r.doc_id]), abs=1e-5)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 2), (2, "", 2), (None, "text here", 2), (4, "x " * 3000, 2), (4, "again", 2)], "doc_id long, text string, score int")
     none = spark.createDataFrame([], "doc_id long, quality int")
