@@ -3,13 +3,21 @@
 A spot is a common word (an anchor); its signature is the anchor with the next
 two content words, whatever common words stand between. A text's fingerprint is
 the set of its signatures' 32-bit hashes, in order, as hexadecimal text.
-Likeness is the sets' Jaccard similarity; sets whose lengths alone rule out a
-wanted likeness are not compared, which is also what confines a join to
-neighbouring length partitions.
+Likeness is the sets' Jaccard similarity.
+
+``similar`` finds all pairs of a likeness. Equal fingerprints are one class.
+Classes are partitioned by set length, so that only a partition and the next
+longer one can hold a pair; in them classes meet through the signatures that
+they cannot do without (the rarest ones of each set), and a pair whose lengths
+or whose places in both sets leave too little to share is dropped before its
+sets are compared. ``edited_fingerprints`` compares given pairs, whatever their
+lengths, and has nothing to search for.
 
 A text without signatures (empty, null, no common words) is fingerprinted by
 all its runs of three words, or by its words as a whole when they are fewer,
-so equal texts always agree.
+so equal texts always agree. A text and its edit are in memory at once, however
+long. Columns other than the id and the text are not read; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import input_bytes, written
+from .shared import input_bytes, tasks_for, written
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -75,7 +83,8 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return jaccard if least <= 0 else F.when(F.least(m, n) < least * F.greatest(m, n), 0.0).otherwise(jaccard)
 
 
-#: Id ranges at most; beyond 512 GB a range grows with the table and its window spills.
+#: Id ranges at most. All rows are dealt to a range at any size; beyond 512 GB
+#: the ranges grow with the table, and their windows sort on disk.
 MOST_BUCKETS = 1 << 17
 
 
@@ -106,15 +115,16 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], bytes_per_bucket
         F.col("first").alias("_first"),
         F.coalesce(F.lead("_bucket").over(up), F.min("_bucket").over(W.partitionBy())).alias("_to"),
     )
-    # at most MOST_BUCKETS + 1 rows of five numbers
+    # at most MOST_BUCKETS + 1 rows of five numbers: 5 MB
     known = F.broadcast(written(heads, "range-heads"))
     marked = rows.join(known, (F.col("_bucket") == F.col("_own")) & (F.struct(key.alias("id"), tie.alias("tie")) == F.col("_first")), "left")
     places = F.when(F.col("_to").isNotNull(), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("x")), F.struct(F.col("_to").alias("b"), F.lit(1).alias("x")))).otherwise(
         F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("x")))
     )
-    dealt = marked.withColumn("_place", F.explode(places)).select(*docs.columns, "_place", key.alias("_key"), tie.alias("_tie"))
-    down = W.partitionBy("_place.b").orderBy(F.col("_place.x").asc(), F.desc("_key"), F.desc("_tie"))
-    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(down)).where(F.col("_place.x") == 0).drop("_place", "_key", "_tie")
+    dealt = marked.withColumn("_place", F.explode(places)).select(*docs.columns, F.col("_place.b").alias("_b"), F.col("_place.x").alias("_x"), key.alias("_key"), tie.alias("_tie"))
+    dealt = dealt.repartition(tasks_for(docs), "_b")
+    down = W.partitionBy("_b").orderBy(F.col("_x").asc(), F.desc("_key"), F.desc("_tie"))
+    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(down)).where(F.col("_x") == 0).drop("_b", "_x", "_key", "_tie")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,3 +146,48 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
+
+
+def similar(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", list_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """All links of likeness ``least`` or more: ``a``, ``b`` (class ids, the
+    shorter set first), ``likeness``; and the members: ``doc_id``, ``class_id``
+    (the smallest id of its equal fingerprint) of every row.
+
+    Null ids come back with a null class and link with nothing. Copies are not
+    expanded: a class stands for all of them. A list of sets that share a rare
+    signature is compared in parts of ``list_rows``, so no task holds a hot one.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed = with_signatures(texts, F.col("text"), "sigs").select("doc_id", "sigs").withColumn("same", F.sha2(fingerprint(F.col("sigs")), 256))
+    signed = written(signed, "signatures")
+    known = signed.where("doc_id is not null")
+    classes = written(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.any_value("sigs").alias("sigs")), "signature-classes")
+    members = signed.join(classes.select("same", F.col("id").alias("class_id")), "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+
+    each = classes.select("id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    held = each.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    rarest = W.partitionBy("id").orderBy("held", "sig")
+    needed = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    places = each.join(held, "sig", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("place", F.row_number().over(rarest))
+    # sets that share least of the longer one share one of the first few of each
+    lists = places.where((F.col("place") <= needed) & (F.col("held") > 1)).withColumn("part", length_partition(F.col("n"), least)).drop("held")
+    lists = written(lists, "signature-lists")
+    longer = lists.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") - 1)))
+    deals = lists.groupBy("sig", "part").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("deals"))
+    a = lists.join(deals, ["sig", "part"]).select("sig", "part", F.col("id").alias("a"), F.col("n").alias("m"), F.col("place").alias("at"), F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"))
+    b = longer.join(deals, ["sig", "part"]).select("sig", "part", F.col("id").alias("b"), "n", "place", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    shared = F.ceil((F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9)
+    left = F.least(F.col("m") - F.col("at"), F.col("n") - F.col("place")) + 1
+    ordered = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    met = a.join(b, ["sig", "part", "deal"]).where(ordered & (F.col("m") >= F.col("n") * least - 1e-9) & (left >= shared))
+    pairs = met.select("a", "b").distinct()
+    sets = lambda name: classes.select(F.col("id").alias(name), F.col("sigs").alias(f"{name}_sigs"))
+    compared = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", likeness(F.col("a_sigs"), F.col("b_sigs"), least).alias("likeness"))
+    return compared.where(F.col("likeness") >= least - 1e-12), members
+
+
+def length_partition(n: Column, least: float) -> Column:
+    """Partitions so wide that sets of likeness ``least`` are at most one apart."""
+    return F.floor(F.log(n) / F.log(F.lit(1 / min(least, 0.999))) + 1e-9).cast("int")

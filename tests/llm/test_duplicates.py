@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import components, ngram_join, repeats, spotsigs
 
@@ -172,3 +173,48 @@ def test_fingerprints_equal_brute_force(spark):
     one = spark.createDataFrame([(1, "the house tree")], "doc_id long, text string")
     assert spotsigs.edited_fingerprints(one).first().near_next == 1.0
     assert spotsigs.edited_fingerprints(one.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("least", "rows"), [(0.8, 4096), (0.5, 3), (1.0, 4096)])
+def test_similar_equals_brute_force(spark, least, rows):
+    rnd = random.Random(4)
+    words = ["the", "of", "and", "la", *(f"w{i}" for i in range(60))]
+    texts = [None, "", "the", "no common words here"]
+    for _ in range(8):
+        base = [rnd.choice(words) for _ in range(rnd.randint(20, 120))]
+        for _ in range(12):
+            x = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                x[rnd.randrange(len(x))] = rnd.choice(words)
+            texts.append(" ".join(x[: rnd.randint(len(x) - 6, len(x))]))
+    texts += texts[10:14]
+    ids = rnd.sample(range(10_000), len(texts))
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in zip(ids, texts, strict=True)] + [(None, texts[10], "y", 2)], "doc_id long, text string, sigs string, n int").repartition(3)
+    pairs, members = spotsigs.similar(docs, least, list_rows=rows)
+    sets = {i: frozenset(spots(t or "")) for i, t in zip(ids, texts, strict=True)}
+    first = {x: min(i for i, y in sets.items() if y == x) for x in sets.values()}
+    got = members.collect()
+    assert len(got) == len(texts) + 1 and all(r.class_id == (None if r.doc_id is None else first[sets[r.doc_id]]) for r in got)
+    want = {frozenset((first[x], first[y])): len(x & y) / len(x | y) for x in first for y in first if first[x] < first[y] and len(x & y) / len(x | y) >= least}
+    found = pairs.collect()
+    assert len(found) == len(want) and (least == 1.0 or len(want) > 20)
+    for r in found:
+        assert want[frozenset((r.a, r.b))] == pytest.approx(r.likeness) and len(sets[r.a]) <= len(sets[r.b])
+    assert spotsigs.similar(docs.limit(0))[0].count() == 0
+
+
+def test_partitions_of_length_hold_all_partners(spark):
+    for least in (0.8, 0.85, 0.5, 2 / 3):
+        n = spark.range(1, 3000).select(F.col("id").alias("n"), spotsigs.length_partition(F.col("id"), least).alias("p"))
+        p = {r.n: r.p for r in n.collect()}
+        assert all(p[min(2999, int(k / least + 1e-9))] - p[k] <= 1 and p[k] <= p.get(k + 1, 1 << 30) for k in range(1, 2999))
+
+
+def test_null_and_repeated_ids_have_an_order(spark):
+    """Descending ids, equal ones by the text's hash, null ids last; the last one's next is the first."""
+    docs = spark.createDataFrame([(5, "the a b"), (5, "of c d"), (None, "the x y"), (2, "and e f")], "doc_id long, text string")
+    rows = spotsigs.with_next(docs, "doc_id", ["text"]).collect()
+    h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    five = sorted(["the a b", "of c d"], key=lambda t: h[t], reverse=True)
+    order = [*five, "and e f", "the x y"]
+    assert {r.text: r["next"].text for r in rows} == {t: order[(i + 1) % 4] for i, t in enumerate(order)}
