@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import release, written
 
 
 class Forest:
@@ -77,19 +77,20 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node``, ``component`` (the smallest id it can reach) of every id in
-    ``links`` (``a``, ``b``: long, self-links and repeats allowed)."""
+    ``links`` (``a``, ``b``: long, self-links and repeats allowed). Rounds go on
+    until one changes nothing; a round's table is removed once the next stands.
+    No links, no rows; nulls link nothing."""
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
-    for _ in range(most_rounds):
-        print_of = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(print_of) == seen:
+    while True:
+        print_of = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if print_of == seen:
             break
-        seen = tuple(print_of)
+        seen, before = print_of, now
         now = written(_star(_star(now, True), False), "links")
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        release(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -6,24 +6,32 @@
    differ in at most H elements, H following from their sizes. The hash range
    is dealt into m > H buckets, and each set is keyed by its buckets' contents,
    per size band; with b buckets in use, such sets share r = b - H keys at
-   least. (Small sets are keyed by their elements.) So each set may leave out
-   the r - 1 of its keys that most sets hold, as in prefix filtering: keys of
-   shared passages fall away, and a set with fewer than r shared keys is done.
-   Star links join what is left of each key.
+   least. (Small sets, and those with no more than H buckets in use, are keyed
+   by their elements as well: a pair is safe if either of its sets has r > 0,
+   and meets by elements if neither has.) So each set may leave out the r - 1 of
+   its keys that most sets hold, as in prefix filtering: keys of shared passages
+   fall away, and a set with fewer than r shared keys is done. Star links join
+   what is left of each key.
 3. Linked candidates form groups of texts that must be compared. A group is
    compared in size-banded tiles: bit counts of hashed bitmap signatures bound
    the overlap from above, pairs that can still reach the threshold are decided
    by the exact intersection of sorted arrays, and pairs that are connected
-   already are passed over. Groups beyond ``tile_shingles`` are dealt into
-   several tiles, and every pair of tiles of compatible sizes meets.
+   already are passed over. A group beyond ``tile_shingles`` is dealt into
+   several tiles: each is compared by itself, then one text of each component
+   so found with those of the other tiles, and last the texts outside the
+   group's largest component with all texts of other components. Near copies
+   of one text thus meet tile by tile, not in every pair of tiles.
 4. Components of the confirmed links.
 
 No group is collected into one task beyond a tile pair, nothing is broadcast
-or sent to the driver, and every text takes part whole.
+but tables that the optimizer has measured, nothing is sent to the driver, and
+every text takes part whole.
 
 Null or empty texts have no shingles and link with nothing; texts shorter than
 n words have one shingle. Rows with a null id come back with a null component.
-Rows that repeat an id are one node (their links join).
+Rows that repeat an id are one node (their links join). A text's words and
+shingles are in memory at once, with those of one slice or tile. An empty table
+gives no rows; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +41,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import Forest, components, stars
-from .shared import KEEP_FEW, releasing, settings, tasks_for, written
+from .shared import KEEP_FEW, release, releasing, settings, tasks_for, unused, written
 from .word_bpe import byte_slices
 
 _RNG = np.random.default_rng(20240229)
@@ -48,7 +56,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GRAM = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _U = np.uint64
-#: Sets up to this size are keyed by their elements.
+#: Sets up to this size are always keyed by their elements.
 SMALL = 32
 #: A tag holds a number of keys and a band.
 _BANDS = 128
@@ -127,14 +135,13 @@ def keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray,
     keys that a partner shares at least, and the band."""
     found, owner, tag = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     wide: dict[int, list[int]] = {}
+    by_element: set[int] = set()
     for i, s in enumerate(sets):
         n = len(s)
         if not n:
             continue
         if n <= SMALL:
-            found.append(mixed(s + _U(1)))
-            owner.append(np.full(n, i))
-            tag.append(np.full(n, -(-bands.percent * n // 100) * _BANDS + _BANDS - 1))
+            by_element.add(i)
         for k in bands.of(n):
             # bands that hold small sets only are covered by the elements
             if int(bands.edges[k + 1]) - 1 > SMALL:
@@ -155,7 +162,13 @@ def keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray,
         partner = np.minimum(int(bands.edges[k + 1]) - 1, 100 * size // bands.percent)
         differ = (size + partner) * (100 - bands.percent) // (100 + bands.percent)
         used = np.bincount(mine, minlength=len(members))
+        by_element.update(np.array(members)[used <= differ].tolist())
         tag.append(np.maximum(1, used - differ)[mine] * _BANDS + k)
+    for i in sorted(by_element):
+        n = len(sets[i])
+        found.append(mixed(sets[i] + _U(1)))
+        owner.append(np.full(n, i))
+        tag.append(np.full(n, -(-bands.percent * n // 100) * _BANDS + _BANDS - 1))
     return np.concatenate(found), np.concatenate(owner), np.concatenate(tag)
 
 
@@ -320,15 +333,13 @@ def _compare(sets: list[np.ndarray], ids: list[int], side: list[int] | None, per
     sizes = np.array([len(sets[i]) for i in order])
     if len(order) < 2:
         return
-    small = len(order) <= 3
-    if not small:
-        bits = 64
-        while bits < 8 * int(sizes[-1]) and bits < 1 << 14:
-            bits *= 2
-        maps = np.zeros((len(order), bits // 64), np.uint64)
-        for r, i in enumerate(order):
-            at = (sets[i] >> _U(20)) & _U(bits - 1)
-            np.bitwise_or.at(maps[r], (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+    bits = 64
+    while bits < 8 * int(sizes[-1]) and bits < 1 << 14:
+        bits *= 2
+    maps = np.zeros((len(order), bits // 64), np.uint64)
+    for r, i in enumerate(order):
+        at = (sets[i] >> _U(20)) & _U(bits - 1)
+        np.bitwise_or.at(maps[r], (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
     sides = np.array([side[i] for i in order]) if side else None
     roots = np.array([forest.root(ids[i]) for i in order])
     for r in range(len(order) - 1):
@@ -338,7 +349,7 @@ def _compare(sets: list[np.ndarray], ids: list[int], side: list[int] | None, per
         rows = rows[roots[rows] != roots[r]]
         if sides is not None:
             rows = rows[sides[rows] != sides[r]]
-        if not small and len(rows):
+        if len(rows):
             most = (n + sizes[rows]) * (100 - percent) // (100 + percent)
             rows = rows[np.bitwise_count(maps[rows] ^ maps[r]).sum(axis=1) <= most]
         for s in rows.tolist():
@@ -359,7 +370,8 @@ def _contained(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _confirmed(grouped: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links of the groups that reach the threshold, as stars per tile."""
+    """Links of the cells that reach the threshold, as stars per block of cells.
+    ``label``: the component that a text is known to be in, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -367,6 +379,9 @@ def _confirmed(grouped: DataFrame, n: int, percent: int) -> DataFrame:
         def work(table: pa.Table) -> pa.RecordBatch:
             forest = Forest()
             cell, ids, side = table["cell"].to_numpy(), table["doc_id"].to_pylist(), table["side"].to_pylist()
+            for one, label in zip(ids, table["label"].to_pylist(), strict=True):
+                if label is not None:
+                    forest.union(one, label)
             texts = table["text"].combine_chunks()
             sets = []
             for lo, hi in byte_slices(texts, 4 << 20):
@@ -375,8 +390,7 @@ def _confirmed(grouped: DataFrame, n: int, percent: int) -> DataFrame:
             for lo, hi in zip([0, *ends], [*ends, len(cell)], strict=True):
                 mine = side[lo:hi]
                 _compare(sets[lo:hi], ids[lo:hi], mine if max(mine, default=0) else None, percent, forest)
-            nodes = list(forest.up)
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.root(x) for x in nodes], pa.int64())], ["a", "b"])
+            return stars(forest)
 
         for batch in batches:
             held.append(batch)
@@ -395,30 +409,99 @@ def _confirmed(grouped: DataFrame, n: int, percent: int) -> DataFrame:
     return grouped.mapInArrow(releasing(run), "a long, b long")
 
 
-def _tiled(members: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
-    """``doc_id``, ``cell``, ``side``: the cells in which a text is compared.
-    ``members``: doc_id, component, n_shingles."""
+_CELL = "struct<cell:bigint,side:int>"
+
+
+def _cell(*parts: Column | str, side: int = 0) -> Column:
+    return F.struct(F.xxhash64(*parts).alias("cell"), F.lit(side).alias("side")).cast(_CELL)
+
+
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _tiles(members: DataFrame, percent: int, tile_shingles: int, kind: Column | None = None) -> DataFrame:
+    """``members`` (doc_id, component, n_shingles, ...) with their size ``band``
+    and, for groups beyond a tile, ``tiles`` (a map: number of tiles by band, or
+    by band and ``kind``) and ``t``, the text's tile; both null for the others."""
     # neighbouring bands cover every pair of compatible sizes
-    band = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
-    members = members.withColumn("band", band)
-    bands = members.groupBy("component", "band").agg(F.sum("n_shingles").alias("n"))
-    whole = bands.groupBy("component").agg(F.sum("n").alias("total"), F.collect_list(F.struct("band", "n")).alias("bands"))
-    split = F.col("total") > tile_shingles
-    tiles_of = lambda b: F.coalesce(F.ceil(F.element_at(F.map_from_entries(F.col("bands")), b) * 2 / tile_shingles), F.lit(0)).cast("int")
-    joined = members.join(whole, "component")
-    t = F.pmod(F.xxhash64("doc_id"), tiles_of(F.col("band"))).cast("int")
-    cell = lambda b1, i, b2, j, side: F.struct(F.xxhash64("component", b1, i, b2, j).alias("cell"), side.alias("side"))
-    one = F.array(cell(F.lit(-1), F.lit(0), F.lit(-1), F.lit(0), F.lit(0)))
-    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    b = F.col("band")
+    band = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100.0 / min(percent, 99))) + F.lit(1e-9)).cast("int")
+    members = members.withColumn("band", band).withColumn("place", F.col("band") if kind is None else F.col("band") * 2 + kind.cast("int"))
+    bands = members.groupBy("component", "place").agg(F.sum("n_shingles").alias("n"))
+    tiles = F.map_from_entries(F.collect_list(F.struct("place", F.ceil(F.col("n") * 2 / tile_shingles).cast("int"))))
+    large = bands.groupBy("component").agg(F.sum("n").alias("total"), tiles.alias("tiles")).where(F.col("total") > tile_shingles)
+    large = written(large.drop("total"), "ngram-large")
+    t = F.pmod(F.xxhash64("doc_id"), F.element_at("tiles", F.col("place"))).cast("int")
+    return members.join(large, "component", "left").withColumn("t", t)
+
+
+def _tiled(members: DataFrame) -> DataFrame:
+    """Cells that hold all pairs of a group: ``members`` of ``_tiles``."""
+    b, t = F.col("band"), F.col("t")
+    tiles_of = lambda k: F.coalesce(F.element_at("tiles", k), F.lit(0))
     within = F.transform(
-        upto(tiles_of(b)),
-        lambda j: F.when(j == F.col("t"), cell(b, j, b, j, F.lit(0))).when(j < F.col("t"), cell(b, j, b, F.col("t"), F.lit(2))).otherwise(cell(b, F.col("t"), b, j, F.lit(1))),
+        _upto(tiles_of(b)),
+        lambda j: F.when(j == t, _cell("component", b, j, b, j)).when(j < t, _cell("component", b, j, b, t, side=2)).otherwise(_cell("component", b, t, b, j, side=1)),
     )
-    above = F.transform(upto(tiles_of(b + 1)), lambda j: cell(b, F.col("t"), b + 1, j, F.lit(1)))
-    below = F.transform(upto(tiles_of(b - 1)), lambda j: cell(b - 1, j, b, F.col("t"), F.lit(2)))
-    cells = F.when(split, F.concat(within, above, below)).otherwise(one)
-    return joined.withColumn("t", F.when(split, t).otherwise(0)).select("doc_id", F.explode(cells).alias("c")).select("doc_id", "c.cell", "c.side")
+    above = F.transform(_upto(tiles_of(b + 1)), lambda j: _cell("component", b, t, b + 1, j, side=1))
+    below = F.transform(_upto(tiles_of(b - 1)), lambda j: _cell("component", b - 1, j, b, t, side=2))
+    cells = F.when(F.col("tiles").isNull(), F.array(_cell("component"))).otherwise(F.concat(within, above, below))
+    return members.withColumn("c", F.explode(cells)).select("doc_id", "label", "c.cell", "c.side")
+
+
+def _crossed(members: DataFrame) -> DataFrame:
+    """Cells that hold all pairs of a group but those inside its largest
+    component: ``members`` of ``_tiles`` by the kind ``minor`` (boolean)."""
+    b, t, minor = F.col("band"), F.col("t"), F.col("minor")
+    tiles_of = lambda k, kind: F.coalesce(F.element_at("tiles", k * 2 + kind), F.lit(0))
+    steps = [F.lit(-1), F.lit(0), F.lit(1)]
+    mixed_cells = lambda kind, make: F.concat(*[F.transform(_upto(tiles_of(b + d, kind)), lambda j, d=d: make(d, j)) for d in steps])
+    others = mixed_cells(0, lambda d, j: _cell("component", F.lit(1), b, t, b + d, j, side=1))
+    to_minor = mixed_cells(1, lambda d, j: _cell("component", F.lit(1), b + d, j, b, t, side=2))
+    within = F.transform(
+        _upto(tiles_of(b, 1)),
+        lambda j: F.when(j == t, _cell("component", F.lit(2), b, j, b, j)).when(j < t, _cell("component", F.lit(2), b, j, b, t, side=2)).otherwise(_cell("component", F.lit(2), b, t, b, j, side=1)),
+    )
+    above = F.transform(_upto(tiles_of(b + 1, 1)), lambda j: _cell("component", F.lit(2), b, t, b + 1, j, side=1))
+    below = F.transform(_upto(tiles_of(b - 1, 1)), lambda j: _cell("component", F.lit(2), b - 1, j, b, t, side=2))
+    cells = F.when(F.col("tiles").isNull(), F.array(_cell("component"))).when(minor, F.concat(others, within, above, below)).otherwise(to_minor)
+    return members.withColumn("c", F.explode(cells)).select("doc_id", "label", "c.cell", "c.side")
+
+
+def _links(texts: DataFrame, members: DataFrame, n: int, percent: int, tile_shingles: int) -> DataFrame:
+    """Links of all groups (``members``: doc_id, component, n_shingles)."""
+    tasks = tasks_for(texts)
+
+    def compared(cells: DataFrame) -> DataFrame:
+        # the comparison always holds: it tells the optimizer that the cells select some of the texts
+        chosen = written(cells, "ngram-cells").where(F.col("doc_id") >= F.lit(-(1 << 63)))
+        grouped = texts.join(chosen, "doc_id").select("cell", "side", "label", "doc_id", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
+        return _confirmed(grouped, n, percent)
+
+    tiled = written(_tiles(members, percent, tile_shingles), "ngram-members")
+    own = _cell("component", F.coalesce("band", F.lit(0)), "t")
+    alone = _cell("component")
+    cells = tiled.withColumn("c", F.when(F.col("t").isNull(), alone).otherwise(own))
+    first = compared(cells.select("doc_id", F.lit(None).cast("long").alias("label"), "c.cell", "c.side"))
+    large = tiled.where("t is not null").select("doc_id", "component", "n_shingles")
+    if large.isEmpty():
+        return first
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+        return written(large.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "ngram-labels")
+
+    first = written(first, "ngram-first")
+    known = labelled(first)
+    heads = known.where(F.col("doc_id") == F.col("label"))
+    second = written(compared(_tiled(_tiles(heads, percent, tile_shingles))).unionByName(first), "ngram-second")
+    release(first)
+    known = labelled(second)
+    sizes = known.groupBy("component", "label").agg(F.sum("n_shingles").alias("n"))
+    largest = sizes.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    apart = known.join(written(largest, "ngram-largest"), "component").withColumn("minor", F.col("label") != F.col("major"))
+    apart = written(apart.select("doc_id", "component", "n_shingles", "label", "minor"), "ngram-apart")
+    return compared(_crossed(_tiles(apart, percent, tile_shingles, F.col("minor")))).unionByName(second)
 
 
 def join(
@@ -431,19 +514,15 @@ def join(
 ) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` of every row: texts link
     when 100 * intersection >= percent * union of their shingle sets."""
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be from 50 to 100")
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tasks = tasks_for(texts)
     passed = _pass(texts, n, Bands(percent))
     sizes = passed.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     groups = components(_candidates(passed))
     members = groups.join(sizes.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), F.col("node") == F.col("doc_id"))
-    cells = written(_tiled(members.select("doc_id", "component", "n_shingles"), percent, tile_shingles), "ngram-cells")
-    # the comparison always holds: it tells the optimizer that the cells select some of the texts
-    chosen = cells.where(F.col("doc_id") >= F.lit(-(1 << 63)))
-    grouped = texts.join(chosen, "doc_id").select("cell", "side", "doc_id", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
-    links = _confirmed(grouped, n, percent).unionByName(passed.where(F.col("kind") == EQUAL).select("a", "b"))
+    links = _links(texts, members.select("doc_id", "component", "n_shingles"), n, percent, tile_shingles)
+    links = links.unionByName(passed.where(F.col("kind") == EQUAL).select("a", "b"))
     with settings(texts.sparkSession, **KEEP_FEW):
         found = components(links)
     found = found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
@@ -451,11 +530,26 @@ def join(
     return out.select(F.col("doc_id").alias(id_col), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    found = join(docs, id_col=id_col, **how)
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "ngram-gone")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each component: that of its smallest id, and of rows that
+    repeat this id the one of the smallest text hash. Rows with a null id link
+    with nothing and stay; so do rows without a text, each a group of its own,
+    unless they repeat an id."""
+    found = join(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **how)
+    own, taken = F.col(id_col).cast("long"), docs.columns
+    gone, again, row = (unused(taken, x) for x in ("gone", "again", "row"))
+    lost = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "ngram-gone")
+    left = docs.join(lost, own == F.col(gone), "left_anti")
+    repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNotNull() & (F.col("n") > 1))
+    repeated = written(repeated.select(F.col(id_col).alias(again)), "ngram-again")
+    if repeated.isEmpty():
+        return left
+    marked = left.join(repeated, own == F.col(again), "left")
+    single = marked.where(F.col(again).isNull()).select(*taken)
+    # aggregated by task before the shuffle, so an id with very many rows is no hot key
+    first = F.min_by(F.struct(*taken), F.struct(F.xxhash64(text_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    one = marked.where(F.col(again).isNotNull()).groupBy(again).agg(first.alias(row))
+    return single.unionByName(one.select(f"{row}.*"))
 
 
 SQL = r"""

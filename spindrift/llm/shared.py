@@ -104,6 +104,14 @@ def tasks_for(df: DataFrame, task_bytes: int = 32 << 20) -> int:
     return max(least, min(1 << 20, -(-(input_bytes(df) or 0) // task_bytes)))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that is not taken (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unique_ids(df: DataFrame, id_col: str) -> bool:
     """Whether every row has an id of its own."""
     ids = df.select(F.col(id_col).cast("long").alias("id"))

@@ -46,7 +46,7 @@ def family(rnd, words, copies, edits):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize(("n", "percent", "tile"), [(4, 85, 1 << 21), (5, 80, 1 << 21), (4, 85, 600)])
+@pytest.mark.parametrize(("n", "percent", "tile"), [(4, 85, 1 << 21), (5, 80, 1 << 21), (4, 85, 600), (3, 50, 900), (4, 100, 600)])
 def test_join_equals_brute_force(spark, n, percent, tile):
     rnd = random.Random(percent + tile)
     texts = [None, "", "one", "one", "ONE", "Été two", "été two", "a b c", "A  b\tC"]
@@ -68,6 +68,67 @@ def test_join_equals_brute_force(spark, n, percent, tile):
             assert (r.n_shingles, r.component_id) == (len(want_sets[r.doc_id]), want[r.doc_id])
 
 
+def test_every_pair_at_the_threshold_shares_a_kept_key():
+    """No pair is left to chance: also with few elements to a bucket."""
+    rng = np.random.default_rng(1)
+    for percent in (10, 34, 50, 67, 80, 85, 97, 100):
+        bands = ngram_join.Bands(percent)
+        for n in (1, 5, 33, 41, 100, 700):
+            for _ in range(12):
+                a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+                cut = int(rng.integers(0, n - -(-n * percent // 100) + 1)) if percent < 100 else 0
+                b = a[cut:]
+                sets = [np.unique(a), np.unique(b), *(np.unique(rng.choice(a, n)) for _ in range(3))]
+                key, owner, tag = ngram_join.keys(sets, bands)
+                held = {k: int((key == k).sum()) for k in np.unique(key)}
+                kept = []
+                for i in (0, 1):
+                    mine = set()
+                    for band in np.unique(tag[owner == i] % 128):
+                        at = np.flatnonzero((owner == i) & (tag % 128 == band))
+                        at = at[np.lexsort((key[at].view(np.int64), [held[k] for k in key[at]]))]
+                        mine |= set(key[at[: len(at) - int(tag[at[0]] // 128) + 1]].tolist())
+                    kept.append(mine)
+                assert kept[0] & kept[1], (percent, n, cut)
+
+
+def test_bitmaps_bound_the_overlap_in_groups_of_any_size(monkeypatch):
+    rng = np.random.default_rng(2)
+    seen = []
+    exact = ngram_join._contained
+    monkeypatch.setattr(ngram_join, "_contained", lambda x, y: seen.append(1) or exact(x, y))
+    for n in (2, 3, 9):
+        sets = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(n)]
+        forest = components.Forest()
+        ngram_join._compare(sets, list(range(n)), None, 80, forest)
+        assert not forest.up and not seen
+    ngram_join._compare([sets[0], sets[0][:-2], sets[1]], [7, 8, 9], None, 80, forest)
+    assert forest.root(8) == 7 and forest.root(9) == 9 and len(seen) == 1
+
+
+def test_near_copies_do_not_meet_in_every_pair_of_tiles(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join([*base[:59], f"own{i}"]) for i in range(300)}
+    sent = []
+    monkeypatch.setattr(ngram_join, "written", lambda df, name, real=ngram_join.written: (lambda out: sent.append((name, out.count())) or out)(real(df, name)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = ngram_join.join(docs, n=4, percent=85, tile_shingles=1000).collect()
+    assert len(got) == 300 and {r.component_id for r in got} == {0}
+    # each text once in its own tile, then one of each tile, then nothing: far below 300 texts times 36 tiles
+    assert sum(n for name, n in sent if name == "ngram-cells") < 300 + 40 * 40
+
+
+def test_one_row_of_each_group_stays(spark):
+    t = "a b c d e f g"
+    rows = [(1, t, "x"), (1, t, "x"), (1, "other words " * 5, "y"), (2, t, "z"), (3, None, "n"), (3, None, "n"), (None, t, "k"), (None, t, "k"), (4, "", "e"), (5, "alone " * 9, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    kept = ngram_join.keep_one(docs).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 3, 4, 5]
+    assert kept[0].__fields__ == docs.columns
+    again = {(r.doc_id, r.text) for r in ngram_join.keep_one(docs.repartition(5)).collect()}
+    assert again == {(r.doc_id, r.text) for r in kept}
+
+
 def test_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.join(docs).count() == 0
