@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,28 @@ def test_repeats_of_repeated_ids_and_nothing(spark):
     assert {r.doc_id: r.text for r in repeats.without_repeats(cut).collect()} == {1: "", 2: "x"}
 
 
+def test_the_index_is_run_compressed():
+    """A corpus of copies: as many runs and samples as one copy has, and no text or suffix order."""
+    rnd = random.Random(9)
+    one = bytes(rnd.choice(b"abcdefgh") for _ in range(500))
+    few = repeats.RunLengthIndex(np.frombuffer(one * 2, np.uint8), np.array([500] * 2))
+    lots = repeats.RunLengthIndex(np.frombuffer(one * 100, np.uint8), np.array([500] * 100))
+    assert len(few) == 1002 and len(lots) == 50_100 and len(lots.heads) < 2 * len(few.heads)
+    assert sum(len(x) for x in vars(lots).values()) <= 6 * len(lots.heads) + 100
+    assert [m for b in lots.matching(block=77) for m in b.tolist()] == [500 - i for _ in range(100) for i in range(501)]
+
+
+def test_bytes_decide_not_hashes():
+    """Strings whose hashes agree are told apart by their bytes, before the shuffle and after it."""
+    flat = np.frombuffer(b"aaaabaaaaab", np.uint8)
+    a, b, n = np.array([0, 0, 3, 1]), np.array([5, 6, 8, 7]), np.array([4, 5, 3, 0])
+    assert repeats._equal_bytes(flat, a, b, np.maximum(n, 1)).tolist() == [True, True, False, True]
+    rows = pa.table({"h": [5] * 5, "g": [5] * 5, "key": [1, 2, 3, 4, 5], "s0": [10, 20, 30, 40, 50], "many": [False, False, False, True, False], "body": pa.array([b"xxxx", b"xxxy", b"xxxx", b"zzzz", b"yyyy"], pa.binary())})
+    settled, one = repeats._collapsed(rows, 3)
+    assert sorted(zip(*(settled.column(i).to_pylist() for i in (3, 4, 5)), strict=True)) == [(1, 10, 11), (3, 30, 31), (4, 40, 41)]
+    assert list(zip(one["key"].to_pylist(), one["many"].to_pylist(), strict=True)) == [(1, True), (2, False), (4, True), (5, False)]
+
+
 def test_run_length_index():
     rnd = random.Random(3)
     for _ in range(200):
