@@ -35,6 +35,8 @@ from .shared import releasing
 from .word_bpe import byte_slices
 
 BITS = 18
+#: Bytes of text whose indicators are in memory at once; a longer text goes alone.
+SLICE = 1 << 19
 #: Shares of a text's n-grams from which an indicator of that level is on.
 LEVELS = (0.0, 0.02, 0.1, 0.3, 0.6)
 
@@ -99,7 +101,7 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         share = count / n[d]
         for i, level in enumerate(levels):
             on = share > level
-            found.append((d[on], _mix(g[on] * 8 + i).astype(np.int64)))
+            found.append(d[on] * (1 << BITS) + _mix(g[on] * 8 + i).astype(np.int64))
 
     add(0, shape, doc, LEVELS)
     two = same
@@ -111,8 +113,7 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     add(3, word, doc, LEVELS[:1])
     pair = (word[:-1] * 0x9E3779B1 + word[1:]) & ((1 << 36) - 1)
     add(3, (pair | 1 << 36)[two], doc[1:][two], LEVELS[:1])
-    d, g = (np.concatenate(x) for x in zip(*found, strict=True))
-    pairs = np.unique(d * (1 << BITS) + g)
+    pairs = np.unique(np.concatenate(found))
     return pairs & ((1 << BITS) - 1), pairs >> BITS
 
 
@@ -215,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in byte_slices(batch.column(1), 2 << 20):
+            for lo, hi in byte_slices(batch.column(1), SLICE):
                 part = batch.slice(lo, hi - lo)
                 ids, of = indicators(part.column(1))
                 offsets = np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)
@@ -242,7 +243,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in byte_slices(batch.column(at), 2 << 20):
+            for lo, hi in byte_slices(batch.column(at), SLICE):
                 part = batch.slice(lo, hi - lo)
                 ids, of = indicators(part.column(at))
                 s = pa.array(model.scores(ids, of, part.num_rows), pa.float64())
