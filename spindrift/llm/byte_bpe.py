@@ -2,10 +2,17 @@
 
 Encoding runs tiktoken in Arrow batches. A text is first cut at safe
 boundaries: in front of white space that follows another character, no match
-of the pattern crosses. Very long runs of white space, on which the library's
+of the pattern crosses. (That holds for ``SPLITS``; texts of any other pattern
+are encoded whole.) Very long runs of white space, on which the library's
 regex engine overflows, are cut by the pattern's own rule (all but the last
 character match ``\\s+(?!\\S)``) and merged without the regex. Decoding joins
 the raw bytes of the ranks; the bytes need not be valid UTF-8 in between.
+
+Null and empty texts have no ids, null ids no bytes; an empty table gives no
+rows; repeated rows are answered each. A text and its ids are in memory at
+once, however long. ``encode``, ``decode`` and ``round_trip`` read the id and
+the text (or ids) only; ``encoded_rows`` passes other columns through and
+replaces those named like its results.
 """
 
 from __future__ import annotations
@@ -25,6 +32,8 @@ from .shared import releasing
 
 #: White space as the pattern's regex engine sees it.
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Fixed value: the pattern whose safe boundaries are known.
+SPLITS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LONG_SPACE = re.compile(SPACE + "{256,}")
 _CUT = re.compile(f"(?<!{SPACE})(?={SPACE})")
 
@@ -39,6 +48,7 @@ class RankCodec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.piece_chars = piece_chars
+        self.cuts = pattern == SPLITS
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
@@ -48,7 +58,7 @@ class RankCodec:
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Parts of a text that encode alone; True marks a part that is one match."""
-        if len(text) <= self.piece_chars and not _LONG_SPACE.search(text):
+        if not self.cuts or len(text) <= self.piece_chars and not _LONG_SPACE.search(text):
             yield text, False
             return
         at = 0

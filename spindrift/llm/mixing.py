@@ -2,8 +2,8 @@
 
 Sizes are summed per source, repetition rates follow from the targets, and a
 document is taken floor(rate) times plus one hash-seeded Bernoulli copy whose
-probability is the rate's fraction. Reruns agree: the draw depends on the seed
-and the document's id alone.
+probability is the rate's fraction. Reruns agree: the draw depends on the seed,
+the document's id and its text alone.
 
 Targets: sources ranked by code point (null is a source of its own, last) weigh
 ``weights`` in turn and share all words; a target stops at ``cap`` times its
@@ -12,10 +12,12 @@ size over weight the capped sources are a prefix, so running sums find them
 exactly, without iterating.
 
 Null or empty texts have size 0 and take 0 words; a null id draws as the text
-``null``; repeated rows are taken alike; further columns pass through ``mix``
-untouched. Only one row per source meets in a task; documents join it as the
-optimizer sees fit (broadcast below its threshold, else a shuffled join whose
-hot sources adaptive execution splits).
+``null``, so rows without an id are told apart by their texts; rows that repeat
+both are taken alike; further columns pass through ``mix`` untouched. An empty
+table gives no rows; a text is in memory by itself. Only one row per source
+meets in a task. The targets are a written table, so documents join it by its
+measured size: broadcast below the optimizer's threshold, without moving a
+text, else a shuffled join whose hot sources adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import unused, written
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -62,9 +64,13 @@ def targets(sized: DataFrame, source: str = "source", size: str = "size", weight
     )
 
 
-def _copies(id_col: str, seed: str, source_size: str = "source_size", target: str = "target") -> Column:
+def _text_digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def _copies(id_col: str, digest: Column, seed: str, source_size: str = "source_size", target: str = "target") -> Column:
     rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), digest))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
@@ -73,13 +79,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """One row per document: id, ``source``, ``size``, ``source_size``,
     ``target``, ``copies`` and ``taken`` (words, repeats counted)."""
     sized = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "sizes"
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), _text_digest(text_col).alias("digest")), "sizes"
     )
     return (
         sized.alias("d")
-        .join(targets(sized, **how).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("doc_id", F.col("d.source"), "size", "source_size", "target")
-        .withColumn("copies", _copies("doc_id", seed))
+        .join(written(targets(sized, **how), "targets").alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+        .select("doc_id", F.col("d.source"), "size", "source_size", "target", "digest")
+        .withColumn("copies", _copies("doc_id", F.col("digest"), seed))
+        .drop("digest")
         .withColumn("taken", F.col("copies") * F.col("size"))
         .withColumnRenamed("doc_id", id_col)
     )
@@ -87,16 +94,17 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is taken."""
-    sized = docs.select(F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
-    t = targets(sized, **how).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"))
-    joined = docs.join(t, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    copies = _copies(id_col, seed, "_mix_size", "_mix_target").cast("int")
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    names = [unused(docs.columns, x) for x in ("mix_source", "mix_size", "mix_target", "mix_copy")]
+    sized = docs.select(F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    t = written(targets(sized, **how), "targets").toDF(*names[:3])
+    joined = docs.join(t, F.col(source_col).cast("string").eqNullSafe(F.col(names[0])))
+    copies = _copies(id_col, _text_digest(text_col), seed, names[1], names[2]).cast("int")
+    return joined.withColumn(names[3], F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (
   SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM d GROUP BY source),
 w AS (
@@ -115,7 +123,7 @@ t AS (
     CASE WHEN capped THEN CAST(source_size * 3 AS DOUBLE) ELSE CAST(weight AS DOUBLE) * CAST(kept AS DOUBLE) / CAST(free AS DOUBLE) END AS target FROM f),
 j AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
+    CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM j
 """

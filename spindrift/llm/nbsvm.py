@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import releasing
+from .shared import releasing, unused
 from .word_bpe import byte_slices
 
 BITS = 18
@@ -235,11 +235,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
     return fit(rows, np.array(y), (int(counts[0]), int(counts[1])))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score`` (0 to 1, higher: label 1 likelier)."""
-    names = [c for c in docs.columns if c != "score"]
-    source = docs.select(*names, F.col(text_col).cast("string").alias("_scored_text"))
-    at, schema = len(names), source.drop("_scored_text").schema.add("score", "double")
+def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``score_col`` (0 to 1, higher: label 1 likelier)."""
+    names = [c for c in docs.columns if c != score_col]
+    body = unused(docs.columns, "body")
+    source = docs.select(*names, F.col(text_col).cast("string").alias(body))
+    at, schema = len(names), source.drop(body).schema.add(score_col, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +248,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 ids, of = indicators(part.column(at))
                 s = pa.array(model.scores(ids, of, part.num_rows), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], s], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], s], [*names, score_col])
 
     return source.mapInArrow(releasing(run), schema)
 

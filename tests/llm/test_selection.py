@@ -62,6 +62,7 @@ def brute_targets(sizes: dict, weights=(5, 2, 1), cap=3) -> dict:
 def test_mixture(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice(["b", "a", "Z", "é", None, "rare"] if i % 40 == 0 else ["b", "a", "Z", None]), " ".join("w" * rnd.randint(1, 4) for _ in range(rnd.randint(0, 40))), 3, "t") for i in range(1500)]
+    rows += [(None, "no ids", " ".join("x" * rnd.randint(1, 9) for _ in range(30)), 3, "t") for _ in range(400)]
     rows += [(1500, "a", None, 3, "t"), (1501, "empty", " \t ", 3, "t"), (None, "b", "x y", 3, "t"), (None, "b", "x y", 3, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size int, target string")
     got = mixing.mix_plan(docs).collect()
@@ -75,11 +76,14 @@ def test_mixture(spark):
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
         assert r.taken <= 3 * r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
-    for s in ("a", "b", "Z"):
+    for s in ("a", "b", "Z", "no ids"):
         assert taken[s] == pytest.approx(want[s], rel=0.15)
     again = {(r.doc_id, r.taken) for r in mixing.mix_plan(docs.repartition(7)).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
+    clash = docs.withColumn("mix_source", F.lit("x")).withColumn("MIX_COPY", F.lit(1))
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() == sum(r.copies for r in got)
     copies = mixing.mix(docs)
+    assert "Exchange" not in copies._jdf.queryExecution().sparkPlan().toString() and "SortMergeJoin" not in copies._jdf.queryExecution().executedPlan().toString()
     assert copies.columns == docs.columns and copies.count() == sum(r.copies for r in got)
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 

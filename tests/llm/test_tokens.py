@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 from spindrift.llm import byte_bpe, simple8b, token_counts, word_bpe  # noqa: E402
@@ -42,6 +43,32 @@ def test_byte_bpe_long_white_space():
     codec = byte_bpe.RankCodec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for t in (" " * 1_500_000, "\n" * 1_200_000 + "x"):
         assert codec.decode(codec.encode(t)) == t.encode()
+    # the pattern's own matches, as the library finds them in shorter runs
+    for t in (" " * 4000, "a" + " " * 4000 + "b", "\n" * 4000 + "x", " \n" * 2000 + "!  c"):
+        assert codec.encode(t).tolist() == codec.encoding.encode_ordinary(t)
+    run = "\n" * 1_200_000
+    assert list(codec.pieces(run + "x")) == [(run[:-1], True), ("\nx", False)] and list(codec.pieces(run)) == [(run, True)]
+
+
+def test_texts_of_other_patterns_are_not_cut():
+    import tiktoken
+
+    pattern = r"\p{L}+(?: \p{L}+)*|\s+|[^\s\p{L}]+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec = byte_bpe.RankCodec(P.path("byte_bpe_50k.tiktoken"), pattern, piece_chars=10)
+    text = "some words in a row, then more of them " * 9 + " " * 300 + "end"
+    assert P.PATTERN == byte_bpe.SPLITS and list(codec.pieces(text)) == [(text, False)]
+    assert codec.encode(text).tolist() == library.encode_ordinary(text)
+
+
+def test_null_ids_and_clashing_columns(spark, docs):
+    path = P.path("byte_bpe_50k.tiktoken")
+    coded = spark.createDataFrame([(1, None, "x"), (2, [], "x"), (None, [64, 65], "x")], "doc_id long, ids array<int>, bytes string")
+    assert {r.doc_id: bytes(r.bytes) for r in byte_bpe.decode(coded, path, P.PATTERN).collect()} == {1: b"", 2: b"", None: byte_bpe.RankCodec(path, P.PATTERN).decode(np.array([64, 65]))}
+    out = byte_bpe.encoded_rows(docs.withColumn("decodes", F.lit("old")).withColumn("lang", F.lit("en")), path, P.PATTERN)
+    assert out.columns == ["doc_id", "lang", "n_tokens", "ids", "decodes"]
+    assert all(r.decodes and r.lang == "en" and r.n_tokens == len(r.ids) for r in out.collect())
 
 
 def test_round_trip(docs):
