@@ -147,7 +147,7 @@ def test_components(spark):
     assert got == {x: forest.root(x) for a, b in links if a != b for x in (a, b)}
 
 
-def brute_repeats(texts, length):
+def brute_repeats(texts, length, as_text=False):
     bodies = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
     out = []
@@ -156,6 +156,9 @@ def brute_repeats(texts, length):
         for i in range(len(b) - length + 1):
             if count[b[i : i + length]] > 1:
                 m[i : i + length] = b"\1" * length
+        if as_text:
+            out.append(bytes(x for x, y in zip(b, m, strict=True) if not y).decode("utf-8", "ignore"))
+            continue
         spans = sum(1 for i in range(len(m)) if m[i] and (i == 0 or not m[i - 1]))
         out.append((len(b), sum(m), spans, hashlib.sha256(bytes(x for x, y in zip(b, m, strict=True) if not y)).hexdigest()))
     return out
