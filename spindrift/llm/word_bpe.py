@@ -99,7 +99,7 @@ class WordEncoder:
     of about ``memo_bytes`` in all, for words of ``memo_word_chars`` characters
     at most."""
 
-    def __init__(self, path: str, memo_bytes: int = 24 << 20, memo_word_chars: int = 24):
+    def __init__(self, path: str, memo_bytes: int = 64 << 20, memo_word_chars: int = 24):
         self.tokenizer = open_tokenizer(path)
         self.memo = _memos.setdefault(path, _Memo())
         self.by_words = drops_white_space(self.tokenizer)
