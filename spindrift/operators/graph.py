@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 @dataclass(frozen=True)
 class Hop:
@@ -104,28 +106,39 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 10, cut_ever
         idle = rank.where("exits is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("idle"))
         rank = base.join(got, "node", "left").crossJoin(F.broadcast(idle))  # one row
         rank = rank.select("node", "exits", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("idle") / n)).alias("rank"))
-        if (i + 1) % cut_every == 0 and edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            rank = rank.checkpoint()
+        if (i + 1) % cut_every == 0:
+            rank = cut(rank)
     return rank.select("node", F.round("rank", 9).alias("rank"))
 
 
-def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``node`` and ``component``: the smallest node connected to it, by
-    passing smallest labels on and jumping to the label's own, until stable."""
-    both = directed(edges, "both").select("a", "b").distinct()
-    label = both.select(F.col("a").alias("node")).union(both.select("b")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
-        new = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = new.select(F.col("node").alias("j"), F.col("component").alias("to"))
-        new = new.join(jump, F.col("component") == F.col("j"), "left").select("node", F.least("component", F.coalesce("to", "component")).alias("component"))
-        new = new.checkpoint() if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
-        before = label.select("node", F.col("component").alias("before"))
-        same = not new.join(before, "node").where("component <> before").limit(1).count()
-        label = new
-        if same:
+def _star(links: DataFrame, larger: bool) -> DataFrame:
+    """One star step over links ``u`` > ``v``: every larger (or smaller)
+    neighbour of a node is linked to the least node around it."""
+    both = links.select("u", "v")
+    if larger:
+        both = both.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
+    moved = both.join(least, F.col("u") == F.col("of"))
+    out = moved.where("v > u") if larger else moved
+    out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not larger:
+        out = out.unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v")))
+    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component``: the smallest node connected to it. Large and
+    small star steps alternate (Kiveris et al., 2014) until a round changes
+    nothing, so chains of any length come out whole."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
+    now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    seen = None
+    while True:
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if mark == seen:
             break
-    return label
+        seen, now = mark, cut(_star(_star(now, True), False))
+    return nodes.join(now, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -151,12 +164,14 @@ def resolved(references: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def related_contracts(implementors: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """Contracts within ``depth`` steps of a chunk over the table of contracts
-    (``contract_id``) and the chunks that implement them (``chunk_id``)."""
-    found = starts.join(implementors, "chunk_id").select(F.col("chunk_id").alias("start"), "contract_id").distinct().withColumn("depth", F.lit(1))
+    (``contract_id``) and the chunks that implement them (``chunk_id``). Steps
+    go from contract to contract, which are few, not over all chunks between."""
+    links = implementors.select("contract_id", "chunk_id").distinct()
+    steps = links.join(links.select(F.col("contract_id").alias("next"), "chunk_id"), "chunk_id").where("contract_id <> next").select("contract_id", "next").distinct()
+    found = starts.select("chunk_id").distinct().join(links, "chunk_id").select(F.col("chunk_id").alias("start"), "contract_id").withColumn("depth", F.lit(1))
     frontier = found
     for d in range(2, depth + 1):
-        chunks = frontier.join(implementors, "contract_id").select("start", "chunk_id").distinct()
-        step = chunks.join(implementors, "chunk_id").select("start", "contract_id").distinct()
+        step = frontier.join(steps, "contract_id").select("start", F.col("next").alias("contract_id")).distinct()
         frontier = step.join(found, ["start", "contract_id"], "left_anti").withColumn("depth", F.lit(d))
         found = found.unionByName(frontier)
     return found
