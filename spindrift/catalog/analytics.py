@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregates, metrics, packing, statistics
-from ..plans import planner
+from ..plans import correction, planner
 from ..sources import files
 from ..streaming import jobs
-from .base import BM25, chunks, flags, query, questions, table
+from .base import BM25, TERMS, chunks, flags, query, questions, table
 from .retrieval import ASKED, CANDIDATES, asked, candidates, hits
 
 # ---- list operators over nation and event names ----------------------------
@@ -157,13 +157,13 @@ def rlm_trigger(spark, sf_dir):
     return statistics.triggers(softmax_statistics(spark, sf_dir), 0.9).select("user_id", "trigger")
 
 
-@query("kl_divergence", """WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS pos, CAST(value AS DOUBLE) / 50 AS s FROM events),
-t AS (SELECT * FROM r WHERE pos <= 20), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY event_type)) AS e FROM t), p AS (SELECT event_type, pos, e / sum(e) OVER (PARTITION BY event_type) AS p FROM e)
+@query("kl_divergence", """WITH n AS (SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS pos, ln(count(*)) AS s FROM events GROUP BY ALL),
+e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY event_type)) AS e FROM n), p AS (SELECT event_type, pos, e / sum(e) OVER (PARTITION BY event_type) AS p FROM e)
 SELECT a.event_type AS a, b.event_type AS b, round(sum(-b.p * ln(a.p)), 6) AS cross_entropy, round(sum(a.p * ln(a.p / b.p)), 6) AS kl FROM p a JOIN p b ON a.pos = b.pos AND a.event_type <> b.event_type GROUP BY ALL""")
 def kl_divergence(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    rows = e.withColumn("pos", F.row_number().over(W.partitionBy("event_type").orderBy("event_id"))).where("pos <= 20").select("event_type", "pos", (F.col("value").cast("double") / 50).alias("score"))
-    return statistics.divergence(rows, "event_type", "pos", "score")
+    """The distributions of all events' values, in bins of ten, by type."""
+    e = table(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("value") / 10).cast("long").alias("pos")).agg(F.ln(F.count(F.lit(1))).alias("score"))
+    return statistics.divergence(e, "event_type", "pos", "score")
 
 
 HIT_STATS = f"""{BM25},
@@ -472,19 +472,20 @@ def contract_deps(spark, sf_dir):
     return coded(spark, sf_dir).select("chunk_id", F.array_join(T.contract_dependencies(F.col("content"), F.lit("python")), ",").alias("deps"))
 
 
-LEDGER_HEAD = "['DECISION: use ' || word || chr(10), '- [ ] write ' || word || chr(10) || '- [x] done' || chr(10), 'TODO: check ' || word || chr(10) || 'QUESTION: why ' || word || chr(10), '']"
+HEADS = ["DECISION: use {w}", "- [ ] write {w}\n- [x] done", "TODO: check {w}\nQUESTION: why {w}", "", "Ledger:\n- Decisions: [take {w}, none]\n- Todos: [see {w}]\n- Open questions: [how {w}]\n- Files touched: [a/{w}.py]\n"]
 
 
-@query("ledger_extract", f"""WITH c AS (SELECT conv_id, turn, regexp_extract(lower(text), '[a-z]+') AS word FROM conversations), h AS (SELECT conv_id, turn, word, turn % 4 AS k FROM c)
-SELECT conv_id, turn, 'decision' AS entry_type, 'use ' || word AS content, 0.95e0 AS confidence FROM h WHERE k = 0 UNION ALL SELECT conv_id, turn, 'todo', 'write ' || word, 0.9e0 FROM h WHERE k = 1
-UNION ALL SELECT conv_id, turn, 'todo', 'check ' || word, 0.95e0 FROM h WHERE k = 2 UNION ALL SELECT conv_id, turn, 'question', 'why ' || word, 0.95e0 FROM h WHERE k = 2""")
+@query("ledger_extract", r"""WITH c AS (SELECT conv_id, turn, turn % 5 AS k, regexp_extract(lower(text), '[a-z]+') AS w, text FROM conversations),
+t AS (SELECT conv_id, turn, k, w, replace((['DECISION: use {w}', '- [ ] write {w}' || chr(10) || '- [x] done', 'TODO: check {w}' || chr(10) || 'QUESTION: why {w}', '', ''])[k + 1], '{w}', w) || chr(10) || text || chr(10) || 'TODO: end ' || w AS text FROM c),
+l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM t)
+SELECT conv_id, turn, 'todo' AS entry_type, trim(regexp_extract(line, '^[-*][ 	]*\[ \][ 	]*(\S.*)$', 1)) AS content, 0.9e0 AS confidence FROM l WHERE regexp_matches(line, '^[-*][ 	]*\[ \][ 	]*\S')
+UNION ALL SELECT conv_id, turn, lower(regexp_extract(line, '^(DECISION|TODO|QUESTION):', 1)), trim(regexp_extract(line, '^[A-Z]+:[ 	]*(\S.*)$', 1)), 0.95e0 FROM l WHERE regexp_matches(line, '^(DECISION|TODO|QUESTION):[ 	]*\S')
+UNION ALL SELECT conv_id, turn, v.t, v.c || w || v.d, 1e0 FROM t, (VALUES ('decision', 'take ', ''), ('todo', 'see ', ''), ('question', 'how ', ''), ('file', 'a/', '.py')) v(t, c, d) WHERE k = 4""")
 def ledger_extract(spark, sf_dir):
+    """Entries in front of, inside and behind the turns' own texts."""
     c = table(spark, sf_dir, "conversations").withColumn("word", F.regexp_extract(F.lower("text"), "[a-z]+", 0))
-    w = F.col("word")
-    heads = F.array(
-        F.concat(F.lit("DECISION: use "), w), F.concat(F.lit("- [ ] write "), w, F.lit("\n- [x] done")), F.concat(F.lit("TODO: check "), w, F.lit("\nQUESTION: why "), w), F.lit("")
-    )
-    text = F.concat(F.element_at(heads, (F.pmod("turn", F.lit(4)) + 1).cast("int")), F.lit("\n"), F.regexp_replace("text", "[*-]", " "))
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.pmod("turn", F.lit(len(HEADS))) + 1).cast("int"))
+    text = F.concat_ws("\n", F.replace(head, F.lit("{w}"), F.col("word")), "text", F.concat(F.lit("TODO: end "), "word"))
     found = c.select("conv_id", "turn", F.explode(T.ledger_entries(text)).alias("e"))
     return found.select("conv_id", "turn", "e.entry_type", "e.content", "e.confidence")
 
@@ -517,9 +518,39 @@ def peek_lines(spark, sf_dir):
     return files.lines(d.select(F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("content")), 2, 4)
 
 
-@query("subquery_plan")
+#: Questions with a name in each of its forms.
+FORMS = ["DataStore", "load_file", '"big tree"', "src/main.py", "{w}"]
+ABOUT = ["how does {} work", "where is {} found", "implementation of {}", "tests for {} defined in spec", "what calls {}", "{}", "where is {} used"]
+
+
+def named(spark, sf_dir: str) -> DataFrame:
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod("query_id", F.lit(len(xs))) + 1).cast("int"))
+    word = F.element_at(T.terms(F.col("text")), 1)
+    return questions(spark, sf_dir).select("query_id", F.replace(pick(ABOUT), F.lit("{}"), F.replace(pick(FORMS), F.lit("{w}"), word)).alias("text"))
+
+
+_list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+NAMED = f"""q AS (SELECT item_id AS query_id, item_id % {len(FORMS)} AS form, {_list(FORMS)}[item_id % {len(FORMS)} + 1] AS e, {_list(ABOUT)}[item_id % {len(ABOUT)} + 1] AS about, {TERMS.format('text')}[1] AS w FROM benchmark),
+named AS (SELECT query_id, form, replace(about, '{{}}', replace(e, '{{w}}', w)) AS text, CASE WHEN form < 4 THEN replace(e, '"', '') END AS e FROM q)"""
+
+
+@query("subquery_plan", f"""WITH {NAMED}, f AS (SELECT query_id AS "of", text, e, CAST(e IS NOT NULL AS INT) AS n, CAST(regexp_matches(lower(text), 'implement|defined') AS INT) AS i, CAST(regexp_matches(lower(text), 'use|using|called|calls|caller') AS INT) AS u,
+  CAST(regexp_matches(lower(text), 'test|spec') AS INT) AS t, CAST(starts_with(lower(text), 'how') AS INT) AS h, CAST(starts_with(lower(text), 'where') AS INT) AS w FROM named),
+p AS (SELECT *, 10 - n - n * i - n * u - t AS p FROM f),
+r AS (SELECT "of", 0 AS step, 'definition of ' || e AS text, 'definition' AS query_type, 10 AS priority FROM p WHERE n = 1 UNION ALL SELECT "of", 1, 'implementation of ' || e, 'implementation', 9 FROM p WHERE n = 1 AND i = 1
+  UNION ALL SELECT "of", 2, 'usages of ' || e, 'usage', 9 - i FROM p WHERE n = 1 AND u = 1 UNION ALL SELECT "of", 3, 'tests for ' || text, 'test', 10 - n - n * i - n * u FROM p WHERE t = 1
+  UNION ALL SELECT "of", 4, 'interfaces and types related to ' || text, 'contract', p - 5 FROM p UNION ALL SELECT "of", 5, replace(text, 'how', 'implementation'), 'implementation', p FROM p WHERE h = 1 AND i = 0
+  UNION ALL SELECT "of", 6, replace(text, 'where', 'files containing'), 'usage', p FROM p WHERE w = 1 AND u = 0 UNION ALL SELECT "of", 7, text, 'related', 1 FROM p)
+SELECT "of" * 10 + row_number() OVER (PARTITION BY "of" ORDER BY priority DESC, step) - 1 AS query_id, "of", text, query_type, CAST(priority AS INT) AS priority FROM r""")
 def subquery_plan(spark, sf_dir):
-    return planner.planned(asked(spark, sf_dir))
+    return planner.planned(named(spark, sf_dir))
+
+
+@query("query_rewrites", f"""WITH {NAMED}, o AS (SELECT query_id, text, lower(text) AS low, CASE WHEN form < 2 THEN e END AS n, trim(trim(regexp_replace(lower(text), '^(?:how|what|where|when)\\s+(?:does|do|is|are)\\s+', ''), '?')) AS k FROM named),
+l AS (SELECT query_id, list_concat(CASE WHEN n IS NOT NULL THEN [n || ' implementation', n] ELSE [] END, list_concat(CASE WHEN regexp_matches(low, '^(how|what|where|when)') THEN [k] ELSE [] END, CASE WHEN contains(low, 'test') AND n IS NOT NULL THEN ['test ' || n] ELSE [] END))[1:3] AS l FROM o)
+SELECT query_id, array_to_string(l, ' | ') AS rewrites FROM l""")
+def query_rewrites(spark, sf_dir):
+    return named(spark, sf_dir).select("query_id", F.array_join(correction.rewrites(F.col("text")), " | ").alias("rewrites"))
 
 
 @query("planned_retrieval")
@@ -527,9 +558,15 @@ def planned_retrieval(spark, sf_dir):
     from ..operators.lexical import bm25
 
     c = chunks(spark, sf_dir)
-    return planner.planned_retrieval(planner.planned(asked(spark, sf_dir)), lambda q: bm25(c, q, k=20, asked_only=True))
+    return planner.planned_retrieval(planner.planned(named(spark, sf_dir)), lambda q: bm25(c, q, k=20))
+
+
+#: Questions that go back to something, one for each pattern, and some that do not.
+BACK = ["fix that function we wrote", "the class from before", "what was the {}", "continue with {}", "back to the {}", "as we discussed {}", "remember when {}", "like we mentioned {}", "the thing we were working on", "earlier we saw {}", "the same {}", "{}", "where is {}"]
 
 
-@query("continuations", f"WITH {ASKED} SELECT query_id, regexp_matches(lower(text), 'what was (?:that|the) .+|(?:that|the) (?:same|previous) .+|as we discussed') AS hit FROM asked")
+@query("continuations", f"""WITH b AS (SELECT item_id AS query_id, replace({_list(BACK)}[item_id % {len(BACK)} + 1], '{{}}', lower(text)) AS text FROM benchmark)
+SELECT query_id, regexp_matches(text, '{"|".join(T.CONTINUATIONS)}') AS hit FROM b""")
 def continuations(spark, sf_dir):
-    return asked(spark, sf_dir).select("query_id", T.is_continuation(F.col("text")).alias("hit"))
+    shape = F.element_at(F.array(*map(F.lit, BACK)), (F.pmod("query_id", F.lit(len(BACK))) + 1).cast("int"))
+    return questions(spark, sf_dir).select("query_id", T.is_continuation(F.replace(shape, F.lit("{}"), F.lower("text"))).alias("hit"))

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import token_estimate
+from ..functions import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("language"), F.col("source").alias("file_path"), token_estimate(F.col("text")).alias("tokens"))
+    return d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("language"), F.col("source").alias("file_path"), T.token_estimate(F.col("text")).alias("tokens"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +50,13 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: SQL of the common parts.
-TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
-BM25 = f"""
+TERMS = f"regexp_extract_all(translate(lower({{}}), '{T.ACCENTED}', '{T.FOLDED}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+
+
+def bm25_sql(k: int) -> str:
+    return f"""
 tok AS (SELECT doc_id AS chunk_id, {TERMS.format('text')} AS words FROM documents),
-stat AS (SELECT count(*) AS n_docs, avg(len(words)) AS avgdl FROM tok),
+stat AS (SELECT count(*) AS n_docs, avg(coalesce(len(words), 0)) AS avgdl FROM tok),
 post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(words) AS dl, unnest(words) AS term FROM tok) GROUP BY chunk_id, term),
 ask AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -62,4 +65,7 @@ part AS (SELECT a.query_id, p.chunk_id, greatest(1e-6, ln((n_docs - df + 0.5) /
 scored AS (SELECT query_id, chunk_id, round(sum(s), 9) AS score, count(*) AS matched FROM part GROUP BY query_id, chunk_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored),
 hits AS (SELECT query_id, chunk_id, score, rank, round(CASE WHEN max(score) OVER (PARTITION BY query_id) = 0 THEN score ELSE score / max(score) OVER (PARTITION BY query_id) END, 9) AS norm_score
-  FROM ranked WHERE rank <= 10)"""
+  FROM ranked WHERE rank <= {k})"""
+
+
+BM25 = bm25_sql(10)

@@ -97,12 +97,29 @@ def communities(spark, sf_dir):
     return graph.communities(edges(spark, sf_dir))
 
 
-@query("related_contracts", """WITH i AS (SELECT DISTINCT l_orderkey AS contract_id, l_partkey AS chunk_id FROM lineitem), s AS (SELECT DISTINCT l_partkey AS chunk_id FROM lineitem WHERE l_partkey % 400 = 7),
-d1 AS (SELECT DISTINCT s.chunk_id AS start, contract_id FROM s JOIN i USING (chunk_id)), c AS (SELECT DISTINCT start, chunk_id FROM d1 JOIN i USING (contract_id)), d2 AS (SELECT DISTINCT start, i.contract_id FROM c JOIN i USING (chunk_id))
+IMPLEMENTORS = """i AS (SELECT 'n' || c_nationkey AS contract_id, c_custkey AS chunk_id FROM customer UNION SELECT 'm' || c_mktsegment, c_custkey FROM customer)"""
+
+
+def implementors(spark, sf_dir: str) -> DataFrame:
+    """A customer implements the contracts of its nation and of its market."""
+    c = table(spark, sf_dir, "customer")
+    parts = [c.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("contract_id"), F.col("c_custkey").alias("chunk_id")) for p, k in (("n", "c_nationkey"), ("m", "c_mktsegment"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("related_contracts", f"""WITH {IMPLEMENTORS}, st AS (SELECT DISTINCT a.contract_id AS a, b.contract_id AS b FROM i a JOIN i b USING (chunk_id)), d1 AS (SELECT DISTINCT chunk_id AS start, contract_id FROM i), d2 AS (SELECT DISTINCT start, b AS contract_id FROM d1 JOIN st ON a = contract_id)
 SELECT start, contract_id, 1 AS depth FROM d1 UNION ALL SELECT start, contract_id, 2 FROM (SELECT * FROM d2 EXCEPT SELECT * FROM d1)""")
 def related_contracts(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contract_id"), F.col("l_partkey").alias("chunk_id")).distinct()  # noqa: E741
-    return graph.related_contracts(l, l.where("chunk_id % 400 = 7").select("chunk_id").distinct())
+    i = implementors(spark, sf_dir)
+    return graph.related_contracts(i, i.select("chunk_id"))
+
+
+@query("components_chain", """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 40 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY node""")
+def components_chain(spark, sf_dir):
+    """Chains of forty, where labels that move one step a round would need as many rounds."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 40 <> 0")
+    return graph.components(s.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 1).alias("dst")))
 
 
 @query("chunk_lines")

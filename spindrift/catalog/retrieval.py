@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import lexical, ranking, vectors
-from ..plans import correction, intent
-from .base import BM25, TERMS, chunks, flags, query, questions, table
+from ..operators import embedding, lexical, ranking, vectors
+from ..plans import correction, hybrid, intent
+from .base import BM25, TERMS, bm25_sql, chunks, flags, query, questions, table
 
 
-def hits(spark, sf_dir: str) -> DataFrame:
-    return lexical.bm25(chunks(spark, sf_dir), questions(spark, sf_dir), k=10)
+def hits(spark, sf_dir: str, k: int = 10) -> DataFrame:
+    return lexical.bm25(chunks(spark, sf_dir), questions(spark, sf_dir), k=k)
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, round(norm_score, 6) AS norm_score, rank FROM hits")
@@ -42,17 +42,38 @@ def term_df(spark, sf_dir):
     return lexical.document_frequencies(lexical.postings(c), lexical.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("snippet_window")
+@query("bm25_stemmed")
+def bm25_stemmed(spark, sf_dir):
+    """No stemmer in SQL here: the tests compare with stemmed texts."""
+    found = lexical.bm25(chunks(spark, sf_dir), questions(spark, sf_dir), k=10, stem=True)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "snippet_window",
+    f"""WITH {BM25}, b AS (SELECT h.query_id, h.chunk_id, t.words, list_distinct({TERMS.format('q.text')}) AS wanted FROM hits h JOIN tok t USING (chunk_id) JOIN benchmark q ON q.item_id = h.query_id),
+s AS (SELECT query_id, chunk_id, words, wanted, unnest(range(1, len(words) + 1)) AS p FROM b),
+n AS (SELECT query_id, chunk_id, p, len(list_intersect(words[p:p + 31], wanted)) AS n FROM s WHERE list_contains(wanted, words[p])),
+f AS (SELECT query_id, chunk_id, arg_min(p, struct_pack(a := -n, b := p)) AS p FROM n GROUP BY query_id, chunk_id)
+SELECT query_id, chunk_id, array_to_string(list_transform(words[coalesce(p, 1):coalesce(p, 1) + 31], lambda w: CASE WHEN list_contains(wanted, w) THEN '<b>' || w || '</b>' ELSE w END), ' ') AS snippet FROM b LEFT JOIN f USING (query_id, chunk_id)""",
+)
 def snippet_window(spark, sf_dir):
     return lexical.snippets(chunks(spark, sf_dir), questions(spark, sf_dir), hits(spark, sf_dir))
 
 
+#: Questions with the characters that full-text search takes for operators.
+OPERATORS = ["*{}:", 'a:b* "{}"', "({} & x) | y?", "  {}  ::", "{}"]
+
+
 @query(
     "query_sanitised",
-    """SELECT item_id AS query_id, trim(regexp_replace(replace(translate(text, '?()&|*:', '       '), '"', '""'), ' +', ' ', 'g')) AS clean FROM benchmark""",
+    f"""WITH q AS (SELECT item_id AS query_id, replace(([{', '.join(repr(x) for x in OPERATORS)}])[item_id % {len(OPERATORS)} + 1], '{{}}', text) AS text FROM benchmark)
+SELECT query_id, trim(regexp_replace(regexp_replace(replace(translate(text, '?()&|', '     '), '"', '""'), '^[*:]+|[*:]+$', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM q""",
 )
 def query_sanitised(spark, sf_dir):
-    return questions(spark, sf_dir).select("query_id", T.sanitised_query(F.col("text")).alias("clean"))
+    shape = F.element_at(F.array(*map(F.lit, OPERATORS)), (F.pmod("query_id", F.lit(len(OPERATORS))) + 1).cast("int"))
+    text = F.replace(shape, F.lit("{}"), F.col("text"))
+    return questions(spark, sf_dir).select("query_id", T.sanitised_query(text).alias("clean"))
 
 
 @query(
@@ -67,18 +88,33 @@ def text_search_score(spark, sf_dir):
     return lexical.text_search(chunks(spark, sf_dir), "and", k=50).select("chunk_id", "match_count", "score", "start_line")
 
 
+@query(
+    "text_search_regex",
+    r"""WITH m AS (SELECT doc_id AS chunk_id, len(regexp_extract_all(text, '(?i)[a-z]+tion[ .,;]')) AS match_count FROM documents)
+SELECT chunk_id, match_count, round(least(1e0, match_count * 0.1 + 0.3), 6) AS score FROM m WHERE match_count > 0 ORDER BY score DESC, chunk_id LIMIT 50""",
+)
+def text_search_regex(spark, sf_dir):
+    return lexical.text_search(chunks(spark, sf_dir), "[a-z]+tion[ .,;]", k=50, regex=True).select("chunk_id", "match_count", "score")
+
+
 @query(
     "word_overlap_score",
-    r"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS w FROM benchmark),
-d AS (SELECT doc_id AS chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')[1:1000]) AS w FROM documents),
+    r"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text || ' src ' || (item_id % 3)), '\s+'), lambda w: w <> '')) AS w FROM benchmark),
+d AS (SELECT d.doc_id AS chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')[1:1000]) AS w,
+  list_distinct(list_filter(regexp_split_to_array(lower('src/' || (d.doc_id % 3)), '[/_-]+|\s+'), lambda w: w <> '')) AS pw, 0.1 * greatest(0e0, 1 - (d.doc_id % 400) / 168e0) + CASE WHEN coalesce(toxic, 0) = 1 THEN 0.2 ELSE 0e0 END AS base
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 h AS (SELECT query_id, chunk_id, count(*) AS shared FROM (SELECT query_id, unnest(w) AS t FROM q) JOIN (SELECT chunk_id, unnest(w) AS t FROM d) USING (t) GROUP BY ALL),
-s AS (SELECT query_id, chunk_id, round(least(1.0, 0.5 * shared / greatest(len(q.w), 1)), 6) AS score FROM h JOIN q USING (query_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+p AS (SELECT query_id, chunk_id, count(*) AS in_path FROM (SELECT query_id, unnest(w) AS t FROM q) JOIN (SELECT chunk_id, unnest(pw) AS t FROM d) USING (t) GROUP BY ALL),
+s AS (SELECT q.query_id, d.chunk_id, round(least(1.0, 0.3 * coalesce(in_path, 0) / greatest(len(q.w), 1) + 0.5 * coalesce(shared, 0) / greatest(len(q.w), 1) + base), 6) AS score, coalesce(in_path, shared) IS NOT NULL OR base > 0 AS hit
+  FROM q CROSS JOIN d LEFT JOIN h ON h.query_id = q.query_id AND h.chunk_id = d.chunk_id LEFT JOIN p ON p.query_id = q.query_id AND p.chunk_id = d.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE hit)
 SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10""",
 )
 def word_overlap_score(spark, sf_dir):
-    c = chunks(spark, sf_dir).withColumn("file_path", F.lit("/"))
-    return lexical.word_overlap(c, questions(spark, sf_dir), k=10).select("query_id", "chunk_id", "score", "rank")
+    c = chunks(spark, sf_dir).join(flags(spark, sf_dir).select("chunk_id", F.col("is_contract").alias("pin")), "chunk_id", "left")
+    c = c.select("chunk_id", F.coalesce("content", F.lit("")).alias("content"), F.concat(F.lit("src/"), (F.col("chunk_id") % 3).cast("string")).alias("file_path"), (F.col("chunk_id") % 400).alias("age"), F.coalesce("pin", F.lit(False)).alias("pin"))
+    asked = questions(spark, sf_dir).select("query_id", F.concat("text", F.lit(" src "), (F.col("query_id") % 3).cast("string")).alias("text"))
+    return lexical.word_overlap(c, asked, k=10, hours="age", pinned="pin").select("query_id", "chunk_id", "score", "rank")
 
 
 KNN = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -89,26 +125,22 @@ s AS (SELECT q.vec_id AS query_vec, c.vec_id, c.label, q.label AS query_label,
 
 @query(
     "knn_cosine_topk",
-    f"""WITH {KNN.format(mod=50, more='')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY score DESC, vec_id) AS rank FROM s)
+    f"""WITH {KNN.format(mod=20, more='')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_vec, vec_id, score, rank FROM r WHERE rank <= 10""",
 )
 def knn_cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return _rounded_knn(vectors.knn(v, v.where("vec_id % 50 = 0"), k=20), 10)
-
-
-def _rounded_knn(found: DataFrame, k: int) -> DataFrame:
-    return lexical.ranked(found.select("query_vec", "vec_id", F.round("score", 6).alias("score")), k, "query_vec", "vec_id").select("query_vec", "vec_id", "score", "rank")
+    return vectors.knn(v, v.where("vec_id % 20 = 0"), k=10, digits=6)
 
 
 @query(
     "knn_filtered",
-    f"""WITH {KNN.format(mod=50, more='AND c.label = 3')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY score DESC, vec_id) AS rank FROM s)
+    f"""WITH {KNN.format(mod=20, more='AND c.label = 3')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_vec, vec_id, score, rank FROM r WHERE rank <= 5""",
 )
 def knn_filtered(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return _rounded_knn(vectors.knn(v, v.where("vec_id % 50 = 0"), k=15, keep=F.col("label") == 3), 5)
+    return vectors.knn(v, v.where("vec_id % 20 = 0"), k=5, keep=F.col("label") == 3, digits=6)
 
 
 @query(
@@ -124,11 +156,11 @@ def pairwise_avg_similarity(spark, sf_dir):
 @query(
     "similarity_to_set",
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-SELECT b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id = 0 AND b.vec_id % 10 = 1""",
+SELECT b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id = 0""",
 )
 def similarity_to_set(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return vectors.similar_ids(v, 0, v.where("vec_id % 10 = 1"))
+    return vectors.similar_ids(v, 0, v)
 
 
 @query("lsh_knn")
@@ -137,35 +169,111 @@ def lsh_knn(spark, sf_dir):
     return vectors.lsh_knn(v, v.where("vec_id % 20 = 0"), k=5)
 
 
-@query("hashed_embeddings")
+def _hashed_sql(source: str, key: str, width: int) -> str:
+    """Signed feature hashing by a word's md5 digest, length one."""
+    return f"""w AS (SELECT {key}, unnest({TERMS.format('text')}) AS w FROM {source}),
+c AS (SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {width} AS i, sum(CASE WHEN CAST('0x' || substr(md5(w), 9, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL),
+v AS (SELECT {key}, list(round(coalesce(x / n, 0e0), 6) ORDER BY i) AS embedding FROM (SELECT {key}, unnest(range({width})) AS i FROM {source}) LEFT JOIN c USING ({key}, i)
+  LEFT JOIN (SELECT {key}, sqrt(sum(x * x)) AS n FROM c GROUP BY {key} HAVING sum(x * x) > 0) USING ({key}) GROUP BY {key})"""
+
+
+@query("hashed_embeddings", f"WITH {_hashed_sql('benchmark', 'item_id', 32)} SELECT item_id AS query_id, md5(array_to_string(list_transform(embedding, lambda x: printf('%.4f', x + 0.0)), ',')) AS digest, list_sum(embedding) AS total FROM v")
 def hashed_embeddings(spark, sf_dir):
-    return questions(spark, sf_dir).select("query_id", vectors.hashed_embedding(F.col("text"), 32).alias("embedding"))
+    e = embedding.embedded(questions(spark, sf_dir), "text", dimension=32)
+    rounded = F.transform("embedding", lambda x: F.round(x, 6))
+    digest = F.md5(F.array_join(F.transform(rounded, lambda x: F.format_string("%.4f", x + 0.0)), ","))
+    return e.select("query_id", digest.alias("digest"), F.aggregate(rounded, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("vector_stats", "SELECT count(embedding) AS vectors, CAST(max(len(embedding)) AS BIGINT) AS dimension, CAST(sum(len(embedding)) * 4 AS BIGINT) AS bytes FROM embeddings")
+def vector_stats(spark, sf_dir):
+    return embedding.statistics(table(spark, sf_dir, "embeddings"))
+
+
+@query("vector_fetch", "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def vector_fetch(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return embedding.fetched(v, flags(spark, sf_dir).where("is_contract").select(F.col("chunk_id").alias("vec_id")), "vec_id").select("vec_id", "label")
+
+
+@query("mean_pooling", """WITH h AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS p, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS e, vec_id % 3 > 0 AS m FROM embeddings)
+SELECT label, round(sum(CASE WHEN m THEN e[1] ELSE 0e0 END) / greatest(count(*) FILTER (WHERE m), 1e-9), 6) AS first, round(sum(CASE WHEN m THEN e[4] ELSE 0e0 END) / greatest(count(*) FILTER (WHERE m), 1e-9), 6) AS last FROM h WHERE p <= 50 GROUP BY label""")
+def mean_pooling(spark, sf_dir):
+    """Fifty token states of four numbers a label, as a model would give them."""
+    from pyspark.sql import Window as W
+
+    v = table(spark, sf_dir, "embeddings").withColumn("p", F.row_number().over(W.partitionBy("label").orderBy("vec_id"))).where("p <= 50")
+    held = v.groupBy("label").agg(F.collect_list(F.struct(F.slice("embedding", 1, 4).alias("e"), (F.col("vec_id") % 3 > 0).cast("int").alias("m"))).alias("s"))
+    pooled = embedding.mean_pooled(F.transform("s", lambda x: x["e"]), F.transform("s", lambda x: x["m"]))
+    return held.select("label", F.round(pooled[0], 6).alias("first"), F.round(pooled[3], 6).alias("last"))
+
+
+@query("prefixed_texts", "SELECT item_id AS query_id, 'search_query: ' || text AS asked, 'search_document: ' || text AS stored FROM benchmark")
+def prefixed_texts(spark, sf_dir):
+    text = F.col("text")
+    return questions(spark, sf_dir).select("query_id", embedding.prefixed(text, "query").alias("asked"), embedding.prefixed(text, "document").alias("stored"))
+
+
+def described(spark, sf_dir: str) -> DataFrame:
+    """Chunks with the time of the event of their number and their flags."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("chunk_id"), F.col("ts").cast("timestamp").alias("updated_at"))
+    c = chunks(spark, sf_dir).join(e, "chunk_id", "left").join(flags(spark, sf_dir), "chunk_id", "left")
+    return c.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in ("is_contract", "is_pinned")})
+
+
+def stored_vectors(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def question_vectors(spark, sf_dir: str) -> DataFrame:
+    """The vector of a question: the table's one of its number."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return v.join(questions(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+
+
+def near_hits(spark, sf_dir: str, k: int = 100) -> DataFrame:
+    return hybrid.semantic_hits(stored_vectors(spark, sf_dir), question_vectors(spark, sf_dir), k)
 
 
 def candidates(spark, sf_dir: str) -> DataFrame:
-    """BM25 hits with the other scores: overlap as the vector score, age from
-    the id, labels as contracts and pins."""
-    h = hits(spark, sf_dir).select("query_id", "chunk_id", F.col("norm_score").alias("bm25_score"))
-    c = chunks(spark, sf_dir).select("chunk_id", "file_path", "tokens")
-    j = h.join(c, "chunk_id").join(flags(spark, sf_dir), "chunk_id", "left")
-    return j.select(
-        "query_id", "chunk_id", "bm25_score", "tokens", "file_path",
-        (F.pmod("chunk_id", F.lit(10)) / 10.0).alias("embedding_score"),
-        F.exp(-F.pmod("chunk_id", F.lit(60)) / 30.0).alias("recency_score"),
-        F.coalesce(F.col("is_contract"), F.lit(False)).cast("double").alias("contract_score"),
-        ranking.focus(F.col("file_path"), ["src1"]).alias("focus_score"),
-        F.coalesce(F.col("is_pinned"), F.lit(False)).cast("double").alias("pinned_score"),
-    )
-
-
-CANDIDATES = f"""{BM25},
-cand AS (SELECT h.query_id, h.chunk_id, norm_score AS bm25_score, length(coalesce(text, '')) // 4 AS tokens, source AS file_path, (h.chunk_id % 10) / 10.0 AS embedding_score, exp(-(h.chunk_id % 60) / 30.0) AS recency_score,
-  CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END AS contract_score, CASE WHEN contains(source, 'src1') THEN 1.0 ELSE 0.0 END AS focus_score,
-  CASE WHEN l.doc_id IS NOT NULL AND h.chunk_id % 7 = 0 THEN 1.0 ELSE 0.0 END AS pinned_score
-  FROM hits h JOIN documents d ON d.doc_id = h.chunk_id LEFT JOIN labels l ON l.doc_id = h.chunk_id)"""
+    """The union of 100 hits by words, 100 by vectors, and the pinned chunks,
+    with all score parts: age from the events' times, labels as contracts."""
+    c = described(spark, sf_dir)
+    pool = hybrid.pooled(hits(spark, sf_dir, 100), near_hits(spark, sf_dir), questions(spark, sf_dir), c.where("is_pinned").select("chunk_id"))
+    now = table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("_now"))
+    c = c.drop("content", "language", "selected").crossJoin(F.broadcast(now))  # one row
+    return hybrid.scored(pool, c, F.col("_now"), ["src1"]).drop("_now")
+
+
+NEAR = """u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
+sim AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] / q.n) * (c.e[i] / c.n))), 9) AS embedding_score FROM u q JOIN benchmark b ON b.item_id = q.vec_id CROSS JOIN u c),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY embedding_score DESC, chunk_id) AS n FROM sim) WHERE n <= 100)"""
+CANDIDATES = f"""{bm25_sql(100)}, {NEAR},
+pool AS (SELECT query_id, chunk_id, max(bm25_score) AS bm25_score, max(embedding_score) AS embedding_score FROM (SELECT query_id, chunk_id, norm_score AS bm25_score, NULL AS embedding_score FROM hits
+  UNION ALL SELECT query_id, chunk_id, NULL, embedding_score FROM near UNION ALL SELECT item_id, doc_id, NULL, NULL FROM benchmark, labels WHERE doc_id % 7 = 0) GROUP BY query_id, chunk_id),
+cand AS (SELECT p.query_id, p.chunk_id, coalesce(bm25_score, 0e0) AS bm25_score, coalesce(embedding_score, 0e0) AS embedding_score, length(coalesce(text, '')) // 4 AS tokens, source AS file_path,
+  coalesce(exp(-((SELECT epoch_us(max(ts)) FROM events) - epoch_us(e.ts)) / 86400e6 / 30), 0e0) AS recency_score, CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END AS contract_score, CASE WHEN contains(source, 'src1') THEN 1.0 ELSE 0.0 END AS focus_score,
+  CASE WHEN l.doc_id IS NOT NULL AND p.chunk_id % 7 = 0 THEN 1.0 ELSE 0.0 END AS pinned_score
+  FROM pool p JOIN documents d ON d.doc_id = p.chunk_id LEFT JOIN labels l ON l.doc_id = p.chunk_id LEFT JOIN events e ON e.event_id = p.chunk_id)"""
 FINAL = "round(0.4 * {m[0]} * embedding_score + 0.3 * {m[1]} * bm25_score + 0.1 * {m[3]} * recency_score + 0.1 * {m[2]} * contract_score + 0.05 * focus_score + 0.05 * pinned_score, 6)"
 
 
+@query("recency_score", "SELECT event_id, round(exp(-(epoch_us(TIMESTAMP '2030-01-01') - epoch_us(ts)) / 86400e6 / 30), 9) AS recency FROM events")
+def recency_score(spark, sf_dir):
+    now = F.lit("2030-01-01").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", F.round(ranking.recency(F.col("ts"), now), 9).alias("recency"))
+
+
+@query(
+    "hybrid_retrieve",
+    f"""WITH {CANDIDATES}, f AS (SELECT query_id, chunk_id, {FINAL.format(m=[1, 1, 1, 1])} AS final FROM cand), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM f)
+SELECT query_id, chunk_id, final, rank FROM r WHERE rank <= 20""",
+)
+def hybrid_retrieve(spark, sf_dir):
+    scored = ranking.hybrid_score(candidates(spark, sf_dir)).select("query_id", "chunk_id", F.round("final", 6).alias("score"))
+    return lexical.ranked(scored, 20).select("query_id", "chunk_id", F.col("score").alias("final"), "rank")
+
+
 @query(
     "hybrid_score",
     f"""WITH {CANDIDATES}, f AS (SELECT query_id, chunk_id, {FINAL.format(m=[1, 1, 1, 1])} AS final FROM cand)
@@ -321,48 +429,48 @@ def dir_coverage(spark, sf_dir):
 
 
 def lists(spark, sf_dir: str) -> DataFrame:
-    """Two ranked lists of documents: by length and by a hash of the id."""
-    d = table(spark, sf_dir, "documents")
-    a = d.select(F.col("doc_id").alias("chunk_id"), F.lit("a").alias("list"), (F.col("n_chars") / 20000.0).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(100)
-    b = d.select(F.col("doc_id").alias("chunk_id"), F.lit("b").alias("list"), ((F.pmod("doc_id", F.lit(97)) + 1) / 97.0).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(100)
+    """Two ranked lists a question: 100 hits by words and 100 by vectors."""
+    a = hits(spark, sf_dir, 100).select("query_id", "chunk_id", F.lit("a").alias("list"), F.col("norm_score").alias("score"))
+    b = near_hits(spark, sf_dir).select("query_id", "chunk_id", F.lit("b").alias("list"), F.col("embedding_score").alias("score"))
     from pyspark.sql import Window as W
 
-    both = a.unionByName(b)
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("list").orderBy(F.desc("score"), "chunk_id")))
+    both = a.unionByName(b).withColumn("score", F.round("score", 6))
+    return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "list").orderBy(F.desc("score"), "chunk_id")))
 
 
-LISTS = """a AS (SELECT doc_id AS chunk_id, 'a' AS list, n_chars / 20000.0 AS score FROM documents ORDER BY score DESC, chunk_id LIMIT 100),
-b AS (SELECT doc_id AS chunk_id, 'b' AS list, (doc_id % 97 + 1) / 97.0 AS score FROM documents ORDER BY score DESC, chunk_id LIMIT 100),
-l AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b))"""
+LISTS = f"""{bm25_sql(100)}, {NEAR},
+a AS (SELECT query_id, chunk_id, 'a' AS list, round(norm_score, 6) AS score FROM hits), b AS (SELECT query_id, chunk_id, 'b' AS list, round(embedding_score, 6) AS score FROM near),
+l AS (SELECT *, row_number() OVER (PARTITION BY query_id, list ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b))"""
 FUSIONS = {
     "boosted": "max(score) + CASE WHEN count(*) > 1 THEN 0.2 * log2(count(*)) ELSE 0.0 END + 0.1 * (count(DISTINCT list) - 1)",
     "max": "max(score)",
     "mean": "avg(score)",
     "rrf": "sum(1.0 / (60 + rank))",
     "weighted": "sum(score * CASE list WHEN 'a' THEN 0.7 ELSE 0.3 END) / sum(CASE list WHEN 'a' THEN 0.7 ELSE 0.3 END)",
-    "geometric": "exp(avg(CASE WHEN score > 0 THEN ln(score) END))",
+    "geometric": "coalesce(exp(avg(CASE WHEN score > 0 THEN ln(score) END)), 0e0)",
 }
 for _how, _sql in FUSIONS.items():
 
-    @query(f"fuse_{_how}", f"WITH {LISTS} SELECT chunk_id, round({_sql}, 6) AS score, count(*) AS n_scores FROM l GROUP BY chunk_id")
+    @query(f"fuse_{_how}", f"WITH {LISTS} SELECT query_id, chunk_id, round({_sql}, 6) AS score, count(*) AS n_scores FROM l GROUP BY query_id, chunk_id")
     def _fuse(spark, sf_dir, how=_how):
-        return ranking.fuse(lists(spark, sf_dir), how, weights={"a": 0.7, "b": 0.3} if how == "weighted" else None)
+        return ranking.fuse(lists(spark, sf_dir), how, weights={"a": 0.7, "b": 0.3} if how == "weighted" else None, by=("query_id",))
 
 
-@query("fuse_incremental", f"""WITH {LISTS}, j AS (SELECT coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.score AS sa, b.score AS sb FROM a FULL JOIN b ON a.chunk_id = b.chunk_id),
-s AS (SELECT chunk_id, round(CASE WHEN sa IS NOT NULL AND sb IS NOT NULL THEN greatest(sa, sb) + 0.3 ELSE coalesce(sa, sb) END, 6) AS score FROM j)
-SELECT chunk_id, score FROM s ORDER BY score DESC, chunk_id LIMIT 50""")
+@query("fuse_incremental", f"""WITH {LISTS}, j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.score AS sa, b.score AS sb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
+s AS (SELECT query_id, chunk_id, round(CASE WHEN sa IS NOT NULL AND sb IS NOT NULL THEN greatest(sa, sb) + 0.3 ELSE coalesce(sa, sb) END, 6) AS score FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s)
+SELECT query_id, chunk_id, score FROM r WHERE n <= 50""")
 def fuse_incremental(spark, sf_dir):
     both = lists(spark, sf_dir)
-    current = both.where("list = 'a'").select("chunk_id", F.round("score", 6).alias("score"), F.array(F.col("list")).alias("sources"))
-    batch = both.where("list = 'b'").select("chunk_id", F.round("score", 6).alias("score"), F.col("list").alias("source"))
-    return ranking.fuse_incremental(current, batch).select("chunk_id", F.round("score", 6).alias("score"))
+    current = both.where("list = 'a'").select("query_id", "chunk_id", "score", F.array(F.col("list")).alias("sources"))
+    batch = both.where("list = 'b'").select("query_id", "chunk_id", "score", F.col("list").alias("source"))
+    return ranking.fuse_incremental(current, batch, by=("query_id",)).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("merge_keep_first", f"""WITH {LISTS}, m AS (SELECT chunk_id, CASE WHEN bool_or(list = 'a') THEN max(CASE WHEN list = 'a' THEN score END) ELSE 0.5 END AS score FROM l GROUP BY chunk_id),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM m) SELECT 1 AS query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 120""")
+@query("merge_keep_first", f"""WITH {LISTS}, m AS (SELECT query_id, chunk_id, CASE WHEN bool_or(list = 'a') THEN max(CASE WHEN list = 'a' THEN score END) ELSE 0.5 END AS score FROM l GROUP BY query_id, chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 120""")
 def merge_keep_first(spark, sf_dir):
-    both = lists(spark, sf_dir).withColumn("query_id", F.lit(1)).select("query_id", "chunk_id", "score", "list")
+    both = lists(spark, sf_dir).select("query_id", "chunk_id", "score", "list")
     out = ranking.merged(both.where("list = 'a'").drop("list"), both.where("list = 'b'").drop("list"), 120, second_score=0.5)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -375,13 +483,13 @@ def coverage_by_type(spark, sf_dir):
 
 
 @query("adjacency_expand", """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS chunk_id, CAST(l_orderkey AS VARCHAR) AS file_path, l_linenumber * 4 AS start_line, l_linenumber * 4 + 2 AS end_line FROM lineitem),
-s AS (SELECT * FROM c WHERE chunk_id % 50 = 11)
+s AS (SELECT l_orderkey * 10 + l_linenumber AS chunk_id, CAST(l_orderkey AS VARCHAR) AS file_path, l_linenumber * 4 AS start_line, l_linenumber * 4 + 2 AS end_line FROM lineitem WHERE l_returnflag = 'R')
 SELECT DISTINCT s.chunk_id AS "of", c.chunk_id FROM s JOIN c ON s.file_path = c.file_path AND s.chunk_id <> c.chunk_id AND (abs(c.start_line - s.end_line) <= 5 OR abs(s.start_line - c.end_line) <= 5)
 WHERE c.chunk_id NOT IN (SELECT chunk_id FROM s)""")
 def adjacency_expand(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    c = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") * 4).alias("start_line"), (F.col("l_linenumber") * 4 + 2).alias("end_line"))
-    return ranking.adjacent(c.where("chunk_id % 50 = 11"), c)
+    c = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") * 4).alias("start_line"), (F.col("l_linenumber") * 4 + 2).alias("end_line"), (F.col("l_returnflag") == "R").alias("chosen"))
+    return ranking.adjacent(c.where("chosen"), c)
 
 
 @query("interval_overlap", """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS chunk_id, l_orderkey AS f, l_linenumber * 4 AS s, l_linenumber * 4 + 6 AS e, CAST(l_partkey % 3 AS VARCHAR) AS name FROM lineitem),

@@ -7,12 +7,14 @@ from functools import partial, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = "[\\p{L}\\p{N}]+"
+# Accented small letters and what they are folded to.
+ACCENTED, FOLDED = "àáâãäåāăąçćčďèéêëēėęěìíîïīłñńňòóôõöøōőřśšťùúûüūůűýÿźżž", "aaaaaaaaacccdeeeeeeeeiiiiilnnnoooooooorsstuuuuuuuyyzzz"
+NOT_WORD = "[^\\p{L}\\p{N}]+"
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Lower-case runs of letters and digits without their accents, in order."""
+    return F.array_remove(F.split(F.translate(F.lower(text), ACCENTED, FOLDED), NOT_WORD), "")
 
 
 def token_estimate(text: Column) -> Column:
@@ -22,15 +24,9 @@ def token_estimate(text: Column) -> Column:
 
 def sanitised_query(text: Column) -> Column:
     """A full-text query without operators: ?()&| give way to spaces, quotes
-    are doubled, * and : go, and blanks are collapsed."""
-    flat = F.translate(text, "?()&|*:", "     ")
-    return F.trim(F.regexp_replace(F.replace(flat, F.lit('"'), F.lit('""')), " +", " "))
-
-
-def snippet(words: Column, wanted: Column, width: int = 32) -> Column:
-    """``width`` words around the first wanted one."""
-    first = F.coalesce(F.array_min(F.filter(F.transform(wanted, lambda w: F.array_position(words, w)), lambda p: p > 0)), F.lit(1))
-    return F.array_join(F.slice(words, F.greatest(F.lit(1), (first - width // 2).cast("int")), width), " ")
+    are doubled, * and : go at both ends, and blanks are collapsed."""
+    flat = F.replace(F.translate(text, "?()&|", "     "), F.lit('"'), F.lit('""'))
+    return F.trim(F.regexp_replace(F.regexp_replace(flat, "^[*:]+|[*:]+$", ""), "\\s+", " "))
 
 
 def overlap(wanted: Column, present: Column) -> Column:

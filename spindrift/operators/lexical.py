@@ -1,8 +1,8 @@
 """Lexical retrieval: postings, BM25, text and word-overlap search.
 
 Queries come as a table, so any number of them is answered in one job. The
-postings side is the corpus; a query's terms are the small side, which the
-optimizer broadcasts when its size allows.
+postings side is the corpus; a query's terms are the small side, broadcast once
+they are counted and few.
 """
 
 from __future__ import annotations
@@ -12,22 +12,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stemming import stems
+from .lineage import cut
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """``chunk_id``, ``term``, ``tf`` and ``dl`` (the chunk's number of terms)."""
-    words = chunks.select(F.col(id_col).alias("chunk_id"), T.terms(F.col(text_col)).alias("words"))
-    return words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+#: Rows of short words and numbers that a broadcast may hold (some 50 MB).
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if its rows, counted here, are few enough;
+    otherwise as it is, for the optimizer to join as it sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", only: DataFrame | None = None) -> DataFrame:
+    """``chunk_id``, ``term``, ``tf`` and ``dl`` (the chunk's number of terms).
+    With ``only`` (``term``), other terms are left out before rows are moved,
+    and each chunk has a row of the empty term, for its length."""
+    words = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(T.terms(F.col(text_col)), F.array().cast("array<string>")).alias("words"))
+    if only is None:
+        rows = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    else:
+        rows = words.select("chunk_id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+        wanted = small(only.select("term").union(only.sparkSession.range(1).select(F.lit("").alias("term"))).distinct())
+        rows = rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """One row: ``n_docs`` and ``avgdl``, chunks without terms included."""
-    return chunks.select(F.size(T.terms(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
+    return chunks.select(F.size(F.coalesce(T.terms(F.col(text_col)), F.array().cast("array<string>"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def document_frequencies(posted: DataFrame, stats: DataFrame) -> DataFrame:
     """``term``, ``df`` and ``idf`` (floored at 1e-6)."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = posted.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(1e-6), F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     return df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))  # stats is one row
 
@@ -40,30 +60,47 @@ def bm25(
     k1: float = 1.2,
     b: float = 0.75,
     allowed: DataFrame | None = None,
-    asked_only: bool = False,
+    stem: bool = False,
 ) -> DataFrame:
     """``query_id``, ``chunk_id``, ``score``, ``norm_score`` (by the query's
     best) and ``rank``. ``match='all'`` asks for every term of the query;
-    ``allowed`` (``file_path``) restricts the chunks; ``asked_only`` leaves
-    terms that no query has out of the postings, which changes no score."""
+    ``allowed`` (``file_path``) restricts the chunks; ``stem`` matches words of
+    one stem.
+
+    The corpus is read once: its words meet the asked terms before anything is
+    moved, and what is left, with each chunk's length, is kept in the checkpoint
+    folder; frequencies, lengths and scores come from there."""
     if allowed is not None:
         chunks = chunks.join(allowed.select("file_path").distinct(), "file_path", "left_semi")
-    posted = postings(chunks)
-    stats = corpus_stats(chunks)
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    if asked_only:
-        posted = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = document_frequencies(posted.join(asked.select("term").distinct(), "term", "left_semi"), stats)
-    hits = posted.join(asked, "term").join(weights, "term").crossJoin(F.broadcast(stats))
+    if stem:
+        posted, asked = _stemmed_postings(chunks, asked)
+    else:
+        posted = postings(chunks, only=asked)
+    posted = cut(posted)
+    lengths = posted.where("term = ''")
+    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    weights = document_frequencies(posted, stats)
+    wanted = asked.join(weights, "term").crossJoin(F.broadcast(stats))  # stats is one row
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
+    scored = posted.join(small(wanted), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
     if match == "all":
-        wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-        scored = scored.join(wanted, "query_id").where("matched = wanted")
+        terms = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+        scored = scored.join(terms, "query_id").where("matched = wanted")
     return ranked(scored.select("query_id", "chunk_id", F.round("score", 9).alias("score")), k)
 
 
+def _stemmed_postings(chunks: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings by stem, and the asked stems: the corpus's distinct words are
+    stemmed once each, and those of an asked stem are looked for."""
+    asked = stems(asked, "term").select("query_id", F.col("stem").alias("term")).distinct()
+    words = chunks.select(F.explode(T.terms(F.col("content"))).alias("term")).distinct()
+    wanted = cut(stems(words, "term").join(small(asked.select(F.col("term").alias("stem")).distinct()), "stem", "left_semi"))
+    found = postings(chunks, only=wanted).join(small(wanted), "term", "left")
+    return found.groupBy("chunk_id", F.when(F.col("term") == "", "").otherwise(F.col("stem")).alias("term")).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl")), asked
+
+
 def ranked(scored: DataFrame, k: int, by: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """The k best items per query with ``norm_score`` and ``rank``; ties go to the smaller item."""
     w = W.partitionBy(by).orderBy(F.desc("score"), F.asc(item))
@@ -72,26 +109,39 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", item: str = "chunk_i
     return best.withColumn("norm_score", F.round(F.when(top == 0, F.col("score")).otherwise(F.col("score") / top), 9))
 
 
-def snippets(chunks: DataFrame, queries: DataFrame, hits: DataFrame, width: int = 32) -> DataFrame:
-    """The words around the first matching one of each hit."""
+def snippets(chunks: DataFrame, queries: DataFrame, hits: DataFrame, width: int = 32, marks: tuple[str, str] = ("<b>", "</b>")) -> DataFrame:
+    """Of each hit the ``width`` words, from a wanted one on, that hold most
+    different wanted words (the first such stretch), with the wanted ones marked."""
     asked = queries.select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("wanted"))
-    return hits.join(chunks, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", T.snippet(T.terms(F.col("content")), F.col("wanted"), width).alias("snippet"))
-
-
-def text_search(files: DataFrame, needle: str, k: int = 20, offset: int = 0, path_prefix: str | None = None, language: str | None = None) -> DataFrame:
-    """Literal search without regard to case: number of matches, score, line of
-    the first match, and 100 characters on each side of it."""
+    words = hits.select("query_id", "chunk_id").join(chunks.select("chunk_id", "content"), "chunk_id").join(small(asked), "query_id").select("query_id", "chunk_id", "wanted", T.terms(F.col("content")).alias("words"))
+    places = words.select("query_id", "chunk_id", "wanted", F.posexplode("words").alias("pos", "word")).where(F.array_contains("wanted", F.col("word")))
+    ahead = W.partitionBy("query_id", "chunk_id").orderBy("pos").rangeBetween(0, width - 1)
+    held = places.select("query_id", "chunk_id", "pos", F.size(F.collect_set("word").over(ahead)).alias("n"))
+    best = held.groupBy("query_id", "chunk_id").agg(F.min_by("pos", F.struct(-F.col("n"), F.col("pos"))).alias("at"))
+    shown = F.slice("words", F.coalesce("at", F.lit(0)) + 1, width)
+    marked = F.transform(shown, lambda w: F.when(F.array_contains("wanted", w), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w))
+    return words.join(best, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.array_join(marked, " ").alias("snippet"))
+
+
+def text_search(files: DataFrame, needle: str, k: int = 20, offset: int = 0, path_prefix: str | None = None, language: str | None = None, regex: bool = False) -> DataFrame:
+    """Search without regard to case, for a literal or a pattern: number of
+    matches, score, line of the first match, and 100 characters on each side."""
     if path_prefix:
         files = files.where(F.startswith(F.col("file_path"), F.lit(path_prefix)))
     if language:
         files = files.where(F.col("language") == language)
     low, word = F.lower("content"), needle.lower()
-    n = ((F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / max(1, len(word))).cast("long")
-    at = F.instr(low, word)
     name = F.lower(F.element_at(F.split("file_path", "/"), -1))
-    score = F.least(F.lit(1.0), F.least(F.lit(1.0), n * 0.1 + 0.3) + F.when(F.contains(name, F.lit(word)), 0.3).otherwise(0.0))
+    if regex:
+        pattern = F.lit(f"(?i){needle}")
+        n, at, named = F.regexp_count("content", pattern).cast("long"), F.regexp_instr("content", pattern), name.rlike(f"(?i){needle}")
+        hit = n > 0
+    else:
+        n = ((F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / max(1, len(word))).cast("long")
+        at, named, hit = F.instr(low, word), F.contains(name, F.lit(word)), F.contains(low, F.lit(word))
+    score = F.least(F.lit(1.0), F.least(F.lit(1.0), n * 0.1 + 0.3) + F.when(named, 0.3).otherwise(0.0))
     before = F.substring(F.col("content"), F.lit(1), (at - 1).cast("int"))
-    found = files.where(F.contains(low, F.lit(word))).select(
+    found = files.where(hit).select(
         "chunk_id",
         "file_path",
         n.alias("match_count"),
@@ -112,19 +162,18 @@ def word_overlap(sources: DataFrame, prompts: DataFrame, k: int = 10, hours: str
         "chunk_id",
         F.array_distinct(content).alias("words"),
         words(F.translate(F.col("file_path"), "/_-", "   ")).alias("path_words"),
-        (F.lit(0.0) if hours is None else F.greatest(F.lit(0.0), 1 - F.col(hours) / (24 * 7))).alias("recent"),
-        (F.lit(False) if pinned is None else F.col(pinned)).alias("is_pinned"),
-    )
-    # sources meet a prompt through shared words; what shares none scores by path, age and pin alone
-    hits = (
-        have.select("chunk_id", F.explode("words").alias("w"))
-        .join(asked.select("query_id", F.explode("wanted").alias("w")), "w")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        ((F.lit(0.0) if hours is None else 0.1 * F.greatest(F.lit(0.0), 1 - F.col(hours) / (24 * 7))) + (F.lit(0.0) if pinned is None else F.when(F.col(pinned), 0.2).otherwise(0.0))).alias("base"),
     )
-    joined = hits.join(have.drop("words"), "chunk_id").join(asked, "query_id")
+    terms = small(asked.select("query_id", F.explode("wanted").alias("w")))
+    met = lambda column, name: have.select("chunk_id", F.explode(column).alias("w")).join(terms, "w").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias(name))
+    # what shares no word scores by age and pin alone: only the k best of these can be among a prompt's k
+    alone = have.where("base > 0").orderBy(F.desc("base"), "chunk_id").limit(k).select("chunk_id").crossJoin(small(asked.select("query_id")))
+    pairs = met("words", "shared").join(met("path_words", "in_path"), ["query_id", "chunk_id"], "full")
+    pairs = pairs.unionByName(alone.join(pairs, ["query_id", "chunk_id"], "left_anti"), allowMissingColumns=True)
+    joined = pairs.join(have.select("chunk_id", "base"), "chunk_id").join(small(asked), "query_id")
     n = F.greatest(F.size("wanted"), F.lit(1))
-    score = 0.3 * F.size(F.array_intersect("wanted", "path_words")) / n + 0.5 * F.col("shared") / n + 0.1 * F.col("recent") + F.when(F.col("is_pinned"), 0.2).otherwise(0.0)
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    score = 0.3 * z("in_path") / n + 0.5 * z("shared") / n + F.col("base")
     return ranked(joined.select("query_id", "chunk_id", F.round(F.least(score, F.lit(1.0)), 6).alias("score")), k)
 
 

@@ -49,8 +49,8 @@ def min_max(scored: DataFrame, by: str = "query_id", score: str = "score", out:
     return scored.withColumn(out, (F.col(score) - low) / F.when(high == low, 1.0).otherwise(high - low))
 
 
-def fuse(lists: DataFrame, how: str = "boosted", k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
-    """One score per item from several lists (``chunk_id``, ``list``, ``rank``,
+def fuse(lists: DataFrame, how: str = "boosted", k: int = 60, weights: dict[str, float] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One score per item (and per ``by``) from several lists (``chunk_id``, ``list``, ``rank``,
     ``score``): ``boosted`` (the best, 0.2 * log2 of the number of scores, 0.1
     for each further source), ``max``, ``mean``, ``rrf`` (by rank),
     ``weighted`` (by list) or ``geometric`` (of positive scores)."""
@@ -70,20 +70,26 @@ def fuse(lists: DataFrame, how: str = "boosted", k: int = 60, weights: dict[str,
             "rrf": F.sum(1.0 / (k + F.col("rank"))),
             "geometric": F.coalesce(F.exp(F.avg(positive)), F.lit(0.0)),
         }[how]
-    return lists.groupBy("chunk_id").agg(F.round(fused, 6).alias("score"), F.count("score").alias("n_scores"))
+    return lists.groupBy(*by, "chunk_id").agg(F.round(fused, 6).alias("score"), F.count("score").alias("n_scores"))
 
 
-def fuse_incremental(current: DataFrame, batch: DataFrame, most: int = 50) -> DataFrame:
+def fuse_incremental(current: DataFrame, batch: DataFrame, most: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds a batch (``chunk_id``, ``score``, ``source``) to fused scores
     (``chunk_id``, ``score``, ``sources``): known items get the larger score
-    and 0.2, with 0.1 more from a new source; the ``most`` best stay."""
-    new = batch.groupBy("chunk_id").agg(F.max("score").alias("new_score"), F.min("source").alias("source"))
-    joined = current.join(new, "chunk_id", "full")
+    and 0.2, with 0.1 more from a new source; the ``most`` best (of each
+    ``by``) stay."""
+    key = [*by, "chunk_id"]
+    new = batch.groupBy(*key).agg(F.max("score").alias("new_score"), F.min("source").alias("source"))
+    joined = current.join(new, key, "full")
     known, hit = F.col("score").isNotNull(), F.col("new_score").isNotNull()
     extra = F.when(F.array_contains("sources", F.col("source")), 0.2).otherwise(0.3)
     score = F.when(known & hit, F.greatest("score", "new_score") + extra).when(known, F.col("score")).otherwise(F.col("new_score"))
     sources = F.when(known & hit, F.array_append("sources", F.col("source"))).when(known, F.col("sources")).otherwise(F.array("source"))
-    return joined.select("chunk_id", F.round(score, 9).alias("score"), sources.alias("sources")).orderBy(F.desc("score"), "chunk_id").limit(most)
+    out = joined.select(*key, F.round(score, 9).alias("score"), sources.alias("sources"))
+    if not by:
+        return out.orderBy(F.desc("score"), "chunk_id").limit(most)
+    n = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "chunk_id"))
+    return out.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
 
 
 def coverage(planned: DataFrame, answered: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,17 +28,73 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(dot(a, b) / both)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
-    """Exact nearest vectors by cosine, own id left out: ``query_vec``,
-    ``vec_id``, ``score``, ``rank``. Norms are taken once per row. The query
-    table is given and small; beyond the broadcast threshold it is dealt in
-    blocks that meet the vectors' blocks."""
+def _matrix(column) -> np.ndarray:
+    """Rows of a list column; shorter ones end in zeros."""
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    column = column.chunk(0) if hasattr(column, "chunks") and column.num_chunks else column
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(float))
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all():
+        return values.reshape(len(sizes), width)
+    out, row = np.zeros((len(sizes), width)), np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    return out
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(size == 0, 1, size)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None = None, digits: int = 9, own: bool = False, shard_rows: int = 1 << 16, block_rows: int = 1 << 14) -> DataFrame:
+    """Exact nearest vectors by cosine, the own id left out unless ``own``:
+    ``query_vec``, ``vec_id``, ``score`` (rounded to ``digits``, by which they
+    are ranked) and ``rank``; ties go to the smaller id, null vectors take no
+    part, null components count as zero.
+
+    Vectors are dealt into shards and queries into blocks; each shard meets each
+    block in one task and keeps ``k`` rows a query, which a window merges."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     if keep is not None:
         vectors = vectors.where(keep)
-    v = vectors.select("vec_id", normalised(F.col("embedding")).alias("v"))
-    q = queries.select(F.col("vec_id").alias("query_vec"), normalised(F.col("embedding")).alias("q"))
-    pairs = v.join(q, F.col("vec_id") != F.col("query_vec"))
-    scored = pairs.select("query_vec", "vec_id", F.round(dot(F.col("v"), F.col("q")), 9).alias("score"))
+    vectors, queries = (x.where("vec_id is not null and embedding is not null").select("vec_id", "embedding") for x in (vectors, queries))
+    least = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards, blocks = max(least, -(-vectors.count() // shard_rows)), max(1, -(-queries.count() // block_rows))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("shard", deal(shards)).withColumn("block", every(blocks))
+    right = queries.withColumn("block", deal(blocks)).withColumn("shard", every(shards))
+    kind = dict(vectors.dtypes)["vec_id"]
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and asked.num_rows:
+            rows = rows.take(pc.sort_indices(rows["vec_id"]))
+            ids, names = rows["vec_id"].combine_chunks(), asked["vec_id"].combine_chunks()
+            v, q = _unit(_matrix(rows["embedding"])), _unit(_matrix(asked["embedding"]))
+            width = max(v.shape[1], q.shape[1])
+            v, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (v, q))
+            itself = pc.index_in(names, value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False)
+            for lo in range(0, len(q), 64):
+                score = np.round(q[lo : lo + 64] @ v.T, digits) + 0.0
+                if not own:
+                    mine = itself[lo : lo + 64]
+                    score[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+                # the k best by score; of those that tie with the last, the first by id
+                cut = np.sort(np.partition(-score, min(k, len(ids)) - 1, axis=1)[:, : min(k, len(ids))], axis=1)[:, -1:]
+                at, hit = np.nonzero((-score <= cut) & np.isfinite(score))
+                order = np.lexsort((hit, -score[at, hit], at))
+                at, hit = at[order], hit[order]
+                first = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, hit = at[first], hit[first]
+                out.append((names.take(pa.array(at + lo)), ids.take(pa.array(hit)), pa.array(score[at, hit])))
+        schema = pa.schema([("query_vec", asked.schema.field("vec_id").type), ("vec_id", rows.schema.field("vec_id").type), ("score", pa.float64())])
+        return pa.concat_tables([schema.empty_table(), *(pa.Table.from_arrays(list(x), schema=schema) for x in out)])
+
+    scored = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, f"query_vec {kind}, vec_id {kind}, score double")
     w = W.partitionBy("query_vec").orderBy(F.desc("score"), F.asc("vec_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -54,9 +111,9 @@ def average_pairwise(vectors: DataFrame, group: str) -> DataFrame:
 
 def similar_ids(vectors: DataFrame, one: int, others: DataFrame) -> DataFrame:
     """Similarity of one vector to those in ``others``; zero vectors are skipped."""
-    q = vectors.where(F.col("vec_id") == one).select(F.col("embedding").alias("q"))
+    q = vectors.where(F.col("vec_id") == one).select(F.col("embedding").alias("q")).limit(1)
     t = vectors.join(others.select("vec_id"), "vec_id", "left_semi")
-    return t.crossJoin(q).where((norm(F.col("embedding")) > 0) & (norm(F.col("q")) > 0)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return t.crossJoin(F.broadcast(q)).where((norm(F.col("embedding")) > 0) & (norm(F.col("q")) > 0)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
 #: Vectors in a block.
@@ -84,7 +141,6 @@ def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 6,
     that are nearest to it, by the squared projections whose signs differ; only
     vectors found there are scored. Blocks of vectors meet blocks of queries,
     and each meeting gives ``k`` rows a query at most."""
-    import numpy as np
     import pyarrow as pa
 
     masks = np.arange(1 << bits)
@@ -117,12 +173,3 @@ def lsh_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 6,
     scored = _blocks(vectors).repartition(n).crossJoin(asked).mapInArrow(search, "query_vec long, vec_id long, score double")
     w = W.partitionBy("query_vec").orderBy(F.desc("score"), F.asc("vec_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def hashed_embedding(text: Column, width: int = 64) -> Column:
-    """A text vector without a model: signed feature hashing of its words, length one."""
-    from ..functions.text import terms
-
-    cells = F.transform(terms(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(width)).alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["i"] == i), F.lit(0.0), lambda a, c: a + c["s"]))
-    return normalised(raw)

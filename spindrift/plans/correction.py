@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,23 +52,31 @@ def verdict(evaluated: DataFrame, queries: DataFrame, top: int = 10) -> DataFram
     return j.select("query_id", F.round(F.col("m") + 1e-9, 6).alias("avg_relevance"), quality.alias("quality"), F.round(sure + 1e-9, 6).alias("confidence"))
 
 
-def rewrites(query: str, most: int = 3) -> list[str]:
-    """Other ways to ask: names alone, questions as keywords, tests of names."""
-    names = re.findall(r"[A-Z][a-z]+(?:[A-Z][a-z]+)+", query) + re.findall(r"[a-z]+(?:_[a-z]+)+", query)
-    names = [n for n in names if n.lower() not in GENERAL_WORDS]
-    out = [x for n in names[:2] for x in (f"{n} implementation", n)]
-    low = query.lower()
-    if low.startswith(("how", "what", "where", "when")):
-        words = re.sub(r"^(?:how|what|where|when)\s+(?:does|do|is|are)\s+", "", low).strip("?")
-        if words and words not in GENERAL_WORDS:
-            out.append(words)
-    if "test" in low and names:
-        out.append("test " + " ".join(names[:2]))
-    first: dict[str, str] = {}
-    for x in (y.strip() for y in out):
-        if x:
-            first.setdefault(x.lower(), x)
-    return list(first.values())[:most]
+# Forms of names in a query, and the question that gives way to its keywords.
+NAME = "[A-Z][a-z]+(?:[A-Z][a-z]+)+", "[a-z]+(?:_[a-z]+)+"
+QUESTION = "^(?:how|what|where|when)\\s+(?:does|do|is|are)\\s+"
+#: Names that are asked for, and rewrites of a query at most.
+NAMES, MOST = 2, 3
+
+
+def rewrites(query: Column) -> Column:
+    """Other ways to ask, at most ``MOST``: each name with "implementation" and
+    alone, a question's keywords, tests of the names. Equal ones (but for case)
+    count once."""
+    general = F.array(*map(F.lit, sorted(GENERAL_WORDS)))
+    found = F.concat(*[F.regexp_extract_all(query, F.lit(p), F.lit(0)) for p in NAME])
+    names = F.slice(F.filter(found, lambda w: ~F.array_contains(general, F.lower(w))), 1, NAMES)
+    low = F.lower(query)
+    keywords = F.trim(F.regexp_replace(F.regexp_replace(low, QUESTION, ""), "^[?]+|[?]+$", ""))
+    asks = low.rlike("^(?:how|what|where|when)") & ~F.array_contains(general, keywords)
+    none = F.array().cast("array<string>")
+    options = F.concat(
+        F.flatten(F.transform(names, lambda w: F.array(F.concat(w, F.lit(" implementation")), w))),
+        F.when(asks, F.array(keywords)).otherwise(none),
+        F.when(F.contains(low, F.lit("test")) & (F.size(names) > 0), F.array(F.concat(F.lit("test "), F.array_join(names, " ")))).otherwise(none),
+    )
+    lower = F.transform(options, lambda x: F.lower(x))
+    return F.slice(F.filter(options, lambda x, i: (x != "") & (F.array_position(lower, F.lower(x)) == i + 1)), 1, MOST)
 
 
 def corrected(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], evaluate: Callable[[DataFrame, DataFrame], DataFrame], limit: int = 20) -> DataFrame:
@@ -82,8 +89,7 @@ def corrected(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], ev
     """
     first = retrieve(queries)
     judged = evaluate(first, queries)
-    again = F.udf(rewrites, "array<string>")  # string rules over the query table, which is small
-    asked = queries.join(judged.where("quality <> 'correct'"), "query_id").select("query_id", F.posexplode(again("text")).alias("n", "text"))
+    asked = queries.join(judged.where("quality <> 'correct'"), "query_id").select("query_id", F.posexplode(rewrites(F.col("text"))).alias("n", "text"))
     asked = asked.select(F.concat_ws("#", "query_id", "n").alias("query_id"), F.col("query_id").alias("of"), "text")
     second = retrieve(asked.select("query_id", "text"))
     scores = evaluate(second, asked.select("query_id", "text")).join(asked.select("query_id", "of"), "query_id")

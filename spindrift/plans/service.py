@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import aggregates, graph, lexical, packing, ranking, statistics
+from ..operators import aggregates, graph, lexical, packing, statistics
 from ..sources import files as file_sources
-from . import intent, planner
+from . import hybrid, planner
 
 
 def within(name: str, value: int, low: int, high: int) -> int:
@@ -32,35 +32,27 @@ COMMANDS = {"Makefile": "(?m)^([A-Za-z][\\w-]*):", "package.json": '"([\\w:-]+)"
 @dataclass
 class Engine:
     """``files``: file_path, content, language, size; ``chunks``: chunk_id,
-    file_path, content, start_line, end_line, symbol_name, language, is_contract."""
+    file_path, content, start_line, end_line, symbol_name, language, is_contract
+    and if known updated_at; ``vectors``: chunk_id, embedding (by the built-in
+    embedding if not given)."""
 
     spark: SparkSession
     files: DataFrame
     chunks: DataFrame
     edges: DataFrame | None = None
     pins: DataFrame | None = None
+    vectors: DataFrame | None = None
     started: float = field(default_factory=time.time)
 
-    def retrieve(self, queries: DataFrame, k: int = 20, focus: list[str] | None = None) -> DataFrame:
-        """BM25 hits with hybrid scores whose weights follow each query's intent."""
+    def retrieve(self, queries: DataFrame, k: int = 20, focus: list[str] | None = None, now: Column | None = None) -> DataFrame:
+        """Hybrid hits: words, vectors, recency, contracts, focus and pins, with
+        weights that follow each query's intent."""
         within("k", k, 1, 1000)
-        hits = lexical.bm25(self.chunks, queries, k=max(100, k)).select("query_id", "chunk_id", F.col("norm_score").alias("bm25_score"))
-        rows = hits.join(self.chunks, "chunk_id")
-        pinned: Column = F.lit(0.0)
+        chunks = self.chunks.drop("is_pinned")
         if self.pins is not None:
-            rows = rows.join(self.pins.select(F.col("source_id").alias("chunk_id")).distinct().withColumn("_pin", F.lit(1.0)), "chunk_id", "left")
-            pinned = F.coalesce(F.col("_pin"), F.lit(0.0))
-        scored = rows.withColumns(
-            {
-                "embedding_score": F.lit(0.0),
-                "recency_score": F.lit(0.0),
-                "contract_score": F.coalesce(F.col("is_contract"), F.lit(False)).cast("double"),
-                "focus_score": ranking.focus(F.col("file_path"), focus or []),
-                "pinned_score": pinned,
-            }
-        )
-        weights = intent.multipliers(intent.classified(queries))
-        return ranking.hybrid_score(scored, multipliers=weights).where(F.col("rank") <= k)
+            pinned = self.pins.select(F.col("source_id").alias("chunk_id")).distinct().withColumn("is_pinned", F.lit(True))
+            chunks = chunks.join(pinned, "chunk_id", "left")
+        return hybrid.retrieve(chunks, queries, self.vectors, now=now, pool=max(100, k), limit=k, focus=focus)
 
     def memory_pack(self, queries: DataFrame, budget_tokens: int = 4000, k: int = 20, focus_paths: list[str] | None = None) -> DataFrame:
         """``query_id``, ``pack_markdown``, ``mode``, ``entropy``, ``used_tokens``."""

@@ -1,10 +1,12 @@
 """Small cases with numbers worked out by hand, and invariants."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions import stemming
 from spindrift.functions import text as T
 from spindrift.operators import aggregates, graph, lexical, metrics, packing, ranking, statistics, vectors
 from spindrift.plans import correction, intent, planner
@@ -99,14 +101,62 @@ def test_intents_and_plans(spark):
     q = spark.createDataFrame([(1, "what is class Foo"), (2, "zzz"), (3, "where is foo_bar used")], "query_id long, text string")
     got = {r.query_id: r for r in intent.classified(q).collect()}
     assert (got[1].intent, got[2].intent, got[3].intent) == ("definition", "general", "usage") and got[2].confidence == 0.5
-    assert correction.rewrites("how does RequestHandler work")[:2] == ["RequestHandler implementation", "RequestHandler"]
-    plan = planner.sub_queries("how is DataStore used in load_file")
-    assert plan[0].text == "definition of DataStore" and plan[-1].query_type in ("related", "contract") and len(plan) <= 10
+    asked = ["how does RequestHandler work", "Where is the test of load_file and parse_line?", "what is interface", "plain words", None]
+    ways = spark.createDataFrame([(n, t) for n, t in enumerate(asked)], "n int, t string").select("n", correction.rewrites(F.col("t")).alias("r")).collect()
+    assert {r.n: r.r for r in ways} == {
+        0: ["RequestHandler implementation", "RequestHandler", "requesthandler work"],
+        1: ["load_file implementation", "load_file", "parse_line implementation"], 2: [], 3: [], 4: None,
+    }
+    plan = planner.plan_table(spark, [(7, "how is DataStore used in load_file"), (8, "AaBb CcDd EeFf GgHh IiJj KkLl usage defined tests"), (9, None)]).orderBy("query_id").collect()
+    assert [(r.text, r.query_type, r.priority) for r in plan if r.of == 7] == [
+        ("definition of DataStore", "definition", 10), ("definition of load_file", "definition", 9), ("usages of DataStore", "usage", 8), ("usages of load_file", "usage", 7),
+        ("implementation is DataStore used in load_file", "implementation", 6), ("interfaces and types related to how is DataStore used in load_file", "contract", 1), ("how is DataStore used in load_file", "related", 1),
+    ]
+    assert [r.priority for r in plan if r.of == 8] == [10, 9, 8, 7, 6, 5, 4, 3, 2, 1] and not [r for r in plan if r.of == 9]
+    known = spark.createDataFrame([(7, ["DataStore"])], "query_id long, names array<string>")
+    again = planner.planned(spark.createDataFrame([(7, "how is DataStore used in load_file")], "query_id long, text string"), known).collect()
+    assert [r.text for r in again][:2] == ["definition of load_file", "usages of load_file"]
     assert planner.next_allocation(1000, 0, 0, 2) == 500 and planner.next_allocation(1000, 1000, 1, 2) == 0
     done = planner.run_program([planner.Operation("a", lambda _: q), planner.Operation("b", lambda d: d["a"].where("query_id = 1"), ("a",)), planner.Operation("c", lambda _: 1 / 0), planner.Operation("d", lambda d: q, ("c",))])
     assert sorted(done) == ["a", "b"] and done["b"].count() == 1
 
 
+def test_long_chains_are_one_component(spark):
+    """A path of ten thousand shuffled nodes, a ring, and a node that only meets itself."""
+    rnd = random.Random(2)
+    order = rnd.sample(range(20_000), 10_000)
+    edges = [*zip(order, order[1:], strict=False), *((30_000 + i, 30_000 + (i + 1) % 50) for i in range(50)), (5 + 40_000, 5 + 40_000)]
+    got = graph.components(spark.createDataFrame(edges, "src long, dst long")).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {min(order): 10_000, 30_000: 50, 40_005: 1}
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_knn_ties_own_and_nulls(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [3.0]), (7, [1.0, 1e-9])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    near = lambda **how: [(r.vec_id, r.score) for r in vectors.knn(v, v.where("vec_id = 1"), shard_rows=2, block_rows=1, **how).orderBy("rank").collect()]
+    assert near(k=3) == [(2, 1.0), (6, 1.0), (7, 1.0)] and near(k=2, own=True) == [(1, 1.0), (2, 1.0)]
+    assert near(k=9) == [(2, 1.0), (6, 1.0), (7, 1.0), (3, 0.0), (5, 0.0)]
+    plan = vectors.knn(v, v)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    names = spark.createDataFrame([("b", [1.0, 1.0]), ("a", [1.0, 1.0]), ("c", [1.0, 0.0])], "vec_id string, embedding array<double>")
+    assert [r.vec_id for r in vectors.knn(names, names.where("vec_id = 'c'"), k=2).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_stems_meet_in_bm25(spark):
+    assert [stemming.porter(w) for w in ("relational", "hopping", "happy", "sky", "ponies", "electricity", "été", "x1")] == ["relat", "hop", "happi", "sky", "poni", "electr", "été", "x1"]
+    chunks = spark.createDataFrame([(1, "The connection was connected", "a"), (2, "Éléphants connecting", "b"), (3, "nothing here", "b"), (4, None, "b")], "chunk_id long, content string, file_path string")
+    asked = spark.createDataFrame([(1, "connect"), (2, "ELEPHANTS"), (3, "absent")], "query_id long, text string")
+    plain = {(r.query_id, r.chunk_id) for r in lexical.bm25(chunks, asked).collect()}
+    stemmed = {(r.query_id, r.chunk_id): r.score for r in lexical.bm25(chunks, asked, stem=True).collect()}
+    assert plain == {(2, 2)} and stemmed.keys() == {(1, 1), (1, 2), (2, 2)}
+    # a text of stems has the same scores without a stemmer
+    words = {"the": "the", "connection": "connect", "was": "wa", "connected": "connect", "éléphants": "eleph", "connecting": "connect", "nothing": "noth", "here": "here"}
+    by_hand = spark.createDataFrame([(r.chunk_id, " ".join(words[w] for w in (r.content or "").lower().split()), r.file_path) for r in chunks.collect()], chunks.schema)
+    want = lexical.bm25(by_hand, spark.createDataFrame([(1, "connect"), (2, "eleph")], "query_id long, text string")).collect()
+    assert {(r.query_id, r.chunk_id): r.score for r in want} == pytest.approx(stemmed)
+
+
 def test_files_and_chunks(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules" / "x").mkdir(parents=True)
