@@ -130,13 +130,12 @@ class RunLengthIndex:
     def __init__(self, flat: np.ndarray, sizes: np.ndarray):
         total = len(flat) + len(sizes)
         self.ends = np.cumsum(sizes + 1) - 1
-        text = np.empty(total, np.int64)
+        text = np.zeros(total, np.int64)
         inner = np.ones(total, bool)
         inner[self.ends] = False
-        text[inner] = flat.astype(np.int64) + len(sizes)
-        text[self.ends] = np.arange(len(sizes))
-        levels = [_ranked(text)]  # ranks by the first 1, 2, 4, ... symbols
-        depth, longest = 1, int(sizes.max(initial=0)) + 1
+        text[inner] = flat.astype(np.int64) + 1
+        levels = [_first_ranks(text, self.ends)]  # ranks by the first FIRST, 2 * FIRST, ... symbols
+        depth, longest = FIRST, int(sizes.max(initial=0)) + 1
         while depth < longest and int(levels[-1].max(initial=0)) + 1 < total:
             pairs = levels[-1].astype(np.int64) * (total + 1)
             pairs[:-depth] += levels[-1][depth:] + 1
@@ -144,13 +143,15 @@ class RunLengthIndex:
             depth *= 2
         suffixes = np.empty(total, np.int64)
         suffixes[levels[-1]] = np.arange(total)
-        before = np.where(suffixes > 0, text[suffixes - 1], -1)
+        # end marks differ from one another: a string's first suffix never goes on its neighbour's run
+        text[self.ends] = -1 - np.arange(len(sizes))
+        before = np.where(suffixes > 0, text[suffixes - 1], 0)
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.heads = np.concatenate([[0], change])
         self.symbols = before[self.heads]
         # on both sides of each change of runs: the suffix, and its match across it
         own = np.concatenate([suffixes[change], suffixes[change - 1]])
-        match = _common(levels, suffixes[change], suffixes[change - 1])
+        match = _common(levels, text, suffixes[change], suffixes[change - 1])
         order = np.argsort(own, kind="stable")
         self.at, self.reach = own[order], np.concatenate([match, match])[order]
 
@@ -182,16 +183,43 @@ def _ranked(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _common(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+#: Symbols that the first sort compares at once: nine bits each.
+FIRST = 7
+
+
+def _first_ranks(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ranks by the first symbols, ends lowest. Suffixes that reach their end
+    differ from all others; of equal ones the earlier string's comes first."""
+    n = len(text)
+    key, closed = text.copy(), text == 0
+    for i in range(1, FIRST):
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(0, n - i)] = text[i:]
+        ahead[closed] = 0
+        key = key << 9 | ahead
+        closed |= ahead == 0
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | closed[order][1:]]), dtype=np.int32)
+    return rank
+
+
+def _common(levels: list[np.ndarray], text: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Length of the common prefixes of suffixes ``i`` and ``j``."""
-    out, n = np.zeros(len(i), np.int64), len(levels[0])
+    out, n = np.zeros(len(i), np.int64), len(text)
     for level in range(len(levels) - 1, -1, -1):
         rank = levels[level]
         inside = (i < n) & (j < n)
         same = np.zeros(len(i), bool)
         same[inside] = rank[i[inside]] == rank[j[inside]]
-        step = same * (1 << level)
+        step = same * (FIRST << level)
         out, i, j = out + step, i + step, j + step
+    going = np.ones(len(i), bool)
+    for _ in range(FIRST - 1):
+        going &= (i < n) & (j < n)
+        going[going] = text[i[going]] == text[j[going]]
+        out, i, j = out + going, i + going, j + going
     return out
 
 
@@ -235,7 +263,7 @@ def _equal_bytes(flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     start = 0
     while start < len(a):
         base = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + (1 << 22), side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + (1 << 19), side="right")))
         n = size[start:stop]
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         same = flat[np.repeat(a[start:stop], n) + step] == flat[np.repeat(b[start:stop], n) + step]
@@ -397,6 +425,11 @@ def _decided(contexts: DataFrame, length: int, index_bytes: int) -> DataFrame:
     def index(t: pa.Table) -> Iterator[pa.RecordBatch]:
         settled, t = _collapsed(t, length)
         yield from _in_parts(settled)
+        # equal windows have equal anchors: one whose contents are all settled has nothing to decide
+        settled_by, h = t["many"].to_numpy(), t["h"].to_numpy()
+        t = t.filter(pa.array(np.isin(h, h[~settled_by])))
+        if not t.num_rows:
+            return
         flat, sizes = _flat(t["body"].combine_chunks())
         marked = repeated_windows(flat, sizes, length)
         starts = np.cumsum(sizes) - sizes
