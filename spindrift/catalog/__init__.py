@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, graphs, retrieval
+from . import analytics, graphs, retrieval, stores
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "graphs", "retrieval"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "graphs", "retrieval", "stores"]

@@ -454,7 +454,7 @@ def coded(spark, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("chunk_id"), F.concat(F.replace(head, F.lit("{i}"), F.col("doc_id").cast("string")), F.col("text")).alias("content"))
 
 
-CODED = "coded AS (SELECT doc_id AS chunk_id, replace((['class A{i}(ABC):' || chr(10), 'class P{i}(Protocol, object):' || chr(10), '@dataclass' || chr(10), 'typedef' || chr(10), '', 'an interface of ', 'class S{i}(BaseModel):' || chr(10)])[doc_id % 7 + 1], '{i}', CAST(doc_id AS VARCHAR)) || substring(text, 1, 300) AS content FROM documents)"
+CODED = "coded AS (SELECT doc_id AS chunk_id, replace((['class A{i}(ABC):' || chr(10), 'class P{i}(Protocol, object):' || chr(10), '@dataclass' || chr(10), 'typedef' || chr(10), '', 'an interface of ', 'class S{i}(BaseModel):' || chr(10)])[doc_id % 7 + 1], '{i}', CAST(doc_id AS VARCHAR)) || text AS content FROM documents)"
 
 
 @query("contract_detect", f"""WITH {CODED} SELECT chunk_id, CASE WHEN regexp_matches(content, 'class\\s+\\w+\\s*\\([^)]*ABC[^)]*\\)|@abstractmethod|from\\s+abc\\s+import') THEN 'abstract_class'

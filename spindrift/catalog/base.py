@@ -53,9 +53,9 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS = f"regexp_extract_all(translate(lower({{}}), '{T.ACCENTED}', '{T.FOLDED}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
 
 
-def bm25_sql(k: int) -> str:
+def bm25_sql(k: int, docs: str = "(SELECT doc_id AS chunk_id, text FROM documents)") -> str:
     return f"""
-tok AS (SELECT doc_id AS chunk_id, {TERMS.format('text')} AS words FROM documents),
+tok AS (SELECT chunk_id, {TERMS.format('text')} AS words FROM {docs}),
 stat AS (SELECT count(*) AS n_docs, avg(coalesce(len(words), 0)) AS avgdl FROM tok),
 post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(words) AS dl, unnest(words) AS term FROM tok) GROUP BY chunk_id, term),
 ask AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark),

@@ -143,3 +143,122 @@ def budget_states(iterations: DataFrame, most_iterations: int, tokens: int, by:
         .when(few & F.coalesce(few_before, F.lit(False)), "no_new_results")
     )
     return iterations.withColumn("tokens_used", used).withColumn("stop_reason", why)
+
+
+# ---- sessions, trends, suggestions ---------------------------------------------
+
+
+def trend(rows: DataFrame, value: str, by: str, order: str, window: int = 10) -> DataFrame:
+    """The last ``window`` values of each group, newest first: ``by``, ``place``, ``value``."""
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.desc(order)))
+    return rows.withColumn("place", place).where(F.col("place") <= window).select(by, "place", F.col(value).alias("value"))
+
+
+def session_waste(queries: DataFrame, by: str, order: str = "seq") -> DataFrame:
+    """Pooled waste of each session over its queries (``explored``, ``used``),
+    and the mean, deviation, least and greatest of theirs, with those of the last
+    three and of up to seven before."""
+    own = F.when(F.col("explored") > 0, (F.col("explored") - F.col("used")) / F.col("explored")).otherwise(0.0)
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.desc(order)))
+    rows = queries.withColumn("_e", own).withColumn("_p", place)
+    pooled = F.when(F.sum("explored") > 0, (F.sum("explored") - F.sum("used")) / F.sum("explored")).otherwise(0.0)
+    r = lambda c: F.round(c, 6)
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("queries"), r(pooled).alias("session_ewr"), r(F.avg("_e")).alias("mean_ewr"), r(F.stddev_pop("_e")).alias("std_ewr"), r(F.min("_e")).alias("min_ewr"), r(F.max("_e")).alias("max_ewr"),
+        r(F.avg(F.when(F.col("_p") <= 3, F.col("_e")))).alias("recent"), r(F.avg(F.when((F.col("_p") > 3) & (F.col("_p") <= 10), F.col("_e")))).alias("older"),
+    )
+
+
+def suggestions(stats: DataFrame, by: str) -> DataFrame:
+    """``by`` and ``advice`` (an array of codes) from ``session_waste``."""
+    few = F.col("queries") < 5
+    older = F.coalesce("older", "recent")
+    rules = [
+        (F.col("session_ewr") > 0.7, "retrieve_less"), (F.col("max_ewr") > 0.9, "review_queries"),
+        ((F.col("queries") >= 3) & (F.col("recent") > older * 1.2), "waste_grows"), ((F.col("queries") >= 3) & (F.col("recent") < older * 0.8), "waste_falls"),
+    ]
+    said = F.filter(F.array(*[F.when(c, F.lit(x)) for c, x in rules]), lambda x: x.isNotNull())
+    return stats.select(by, F.when(few, F.array(F.lit("more_data"))).when(F.size(said) == 0, F.array(F.lit("none"))).otherwise(said).alias("advice"))
+
+
+def wasteful_kinds(retrieved: DataFrame, by: list[str], kind: str = "symbol_type", least: float = 0.9) -> DataFrame:
+    """Kinds of chunks whose tokens are nearly all unused."""
+    return exploration_waste(retrieved.withColumn(kind, F.coalesce(F.col(kind), F.lit("unknown"))), [*by, kind]).where(F.col("ewr") > least)
+
+
+def session_misses(queries: DataFrame, by: str) -> DataFrame:
+    """Pooled misses of each session over its queries (``retrieved``,
+    ``impactful``, ``hit``: counts) and the mean and deviation of theirs."""
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    own = ratio(F.col("impactful") - F.col("hit"), F.col("impactful"))
+    miss = ratio(F.sum("impactful") - F.sum("hit"), F.sum("impactful"))
+    precision = ratio(F.sum("hit"), F.sum("retrieved"))
+    f1 = F.when(precision + 1 - miss > 0, 2 * precision * (1 - miss) / (precision + 1 - miss)).otherwise(0.0)
+    r = lambda c: F.round(c, 6)
+    return queries.groupBy(by).agg(F.count(F.lit(1)).alias("queries"), r(miss).alias("imr"), r(precision).alias("precision"), r(1 - miss).alias("recall"), r(f1).alias("f1"), r(F.avg(own)).alias("mean_imr"), r(F.stddev_pop(own)).alias("std_imr"))
+
+
+def miss_patterns(missed: DataFrame, pattern: str) -> DataFrame:
+    """How often missed items show each pattern; unknown ones count as such."""
+    return missed.groupBy(F.coalesce(F.col(pattern), F.lit("unknown")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def response_metrics(entries: DataFrame, responses: DataFrame, by: list[str]) -> DataFrame:
+    """Length of each response and its ledger entries, in all and by type."""
+    kinds = entries.groupBy(*by, "entry_type").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sum("n").alias("entries"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "entry_type", F.col("n").cast("string")))), ";").alias("by_type"))
+    return responses.select(*by, F.length("text").cast("long").alias("response_length")).join(kinds, by, "left").withColumns({"entries": F.coalesce("entries", F.lit(0)), "by_type": F.coalesce("by_type", F.lit(""))})
+
+
+# ---- features, the learning job, synthetic queries --------------------------------
+
+
+def chunk_features(chunks: DataFrame) -> DataFrame:
+    """``chunk_id`` and its ``features``: symbol type, kind of file, contract."""
+    path = F.lower("file_path")
+    found = F.array(
+        F.concat(F.lit("symbol_"), F.coalesce("symbol_type", F.lit("unknown"))), F.when(F.contains(path, F.lit("test")), F.lit("file_test")),
+        F.when(F.contains(path, F.lit("config")), F.lit("file_config")), F.when(F.col("is_contract"), F.lit("is_contract")),
+    )
+    return chunks.select("chunk_id", F.filter(found, lambda x: x.isNotNull()).alias("features"))
+
+
+def query_features(events: DataFrame) -> DataFrame:
+    """``event_id``, the intent as a feature, and the query's number of words."""
+    words = F.size(F.filter(F.split("query", "\\s+"), lambda w: w != ""))
+    return events.select("event_id", F.concat(F.lit("intent_"), "query_intent").alias("intent"), words.cast("long").alias("query_length"))
+
+
+def learn(events: DataFrame, chunks: DataFrame, now: Column, rate: float = 0.01, model: str = "model") -> DataFrame:
+    """The learning job: outcomes from the sessions' gaps where none is given,
+    pairs of used and unused chunks, and ordered updates of feature weights, per
+    ``model``. ``events``: event_id, session_id, ts, retrieved, selected, outcome, model."""
+    told = outcomes(events.withColumnRenamed("outcome", "_given"), now, session="session_id")
+    told = told.withColumn("outcome", F.coalesce("_given", "outcome"))
+    pairs = contrastive_pairs(told).join(events.select("event_id", model), "event_id")
+    features = chunk_features(chunks).withColumn("chunk_id", F.col("chunk_id").cast(dict(pairs.dtypes)["positive"]))
+    side = lambda c: features.select(F.col("chunk_id").alias(c), F.col("features").alias(f"{c}_features"))
+    rows = pairs.join(side("positive"), "positive").join(side("negative"), "negative")
+    seq = F.row_number().over(W.partitionBy(model).orderBy("event_id", "positive", "negative"))
+    rows = rows.withColumn("seq", seq).select(model, "seq", F.col("positive_features").alias("positive"), F.col("negative_features").alias("negative"))
+    return learned_weights(rows, rate, model)
+
+
+# Questions about a symbol, by type.
+TEMPLATES = {
+    "definition": ["What is {}?", "{} class", "definition of {}", "{} interface"],
+    "implementation": ["How does {} work?", "{} implementation", "{} function", "{} method"],
+}
+
+
+def synthetic_queries(symbols: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
+    """``n`` questions with known answers: symbols in the order of a seeded
+    digest, the question's type by the symbol's, its form by the digest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("chunk_id").cast("string")))
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    kind = F.lower(F.coalesce("symbol_type", F.lit("")))
+    has = lambda *parts: kind.rlike("|".join(parts))
+    query_type = F.when(has("class", "interface"), "definition").when(has("function", "method"), "implementation").when(number % 2 == 0, "definition").otherwise("implementation")
+    forms = {k: F.element_at(F.array(*map(F.lit, v)), ((F.floor(number / 2) % len(v)) + 1).cast("int")) for k, v in TEMPLATES.items()}
+    form = F.when(F.col("query_type") == "definition", forms["definition"]).otherwise(forms["implementation"])
+    chosen = symbols.where("symbol_name is not null").withColumn("_d", digest).orderBy("_d", "chunk_id").limit(n).withColumn("query_type", query_type)
+    return chosen.select(F.replace(form, F.lit("{}"), F.col("symbol_name")).alias("query"), F.col("chunk_id").alias("expected_chunk_id"), F.col("symbol_name").alias("expected_symbol"), "query_type")

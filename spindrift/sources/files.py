@@ -37,17 +37,41 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return path.rlike(one) | F.concat(F.lit("/"), path).rlike(one) | F.exists(parts, lambda x: x.rlike(one)) | F.exists(above, lambda x: x.rlike(one))
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Text files below a folder: ``file_path`` (relative), ``content``,
-    ``language``, ``content_hash``, ``size``, ``modified``. Bytes that are not
-    UTF-8 leave a file out, like its size or an ignore rule."""
+def listed(spark: SparkSession, root: str, patterns: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Every file below a folder: ``file_path`` (relative), ``size``,
+    ``modified``, ``content`` (bytes; of files that are not left out by rule or
+    size) and ``skipped``: ignored, too large, not text, or null."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("full"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     clean = re.sub("^file:/+", "/", root).rstrip("/")
     rel = F.when(F.startswith("full", F.lit(clean + "/")), F.substring("full", len(clean) + 2, 1 << 30)).otherwise(F.col("full"))
-    files = base.withColumn("file_path", rel).where((F.col("size") <= most_bytes) & ~ignored(F.col("file_path"), [*IGNORED, *(patterns or [])]))
-    text = F.col("content").cast("string")
-    return files.where(F.is_valid_utf8(text)).select("file_path", text.alias("content"), language(F.col("file_path"), "text").alias("language"), F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), "size", "modified")
+    rows = base.withColumn("file_path", rel)
+    rule = F.when(ignored(F.col("file_path"), [*IGNORED, *(patterns or [])]), "ignored").when(F.col("size") > most_bytes, "too large")
+    text = F.is_valid_utf8(F.col("content").cast("string"))
+    return rows.select("file_path", "size", "modified", F.when(rule.isNull(), F.col("content")).alias("content"), F.when(rule.isNotNull(), rule).when(~text, "not text").alias("skipped"))
+
+
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Text files below a folder: ``file_path`` (relative), ``content``,
+    ``language``, ``content_hash``, ``size``, ``modified``. What is left out and
+    why is in ``skipped``."""
+    found = listed(spark, root, patterns, most_bytes).where("skipped is null")
+    return found.select("file_path", F.col("content").cast("string").alias("content"), language(F.col("file_path"), "text").alias("language"), F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), "size", "modified")
+
+
+def skipped(spark: SparkSession, root: str, patterns: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The files that a scan leaves out: ``file_path``, ``size``, ``skipped``."""
+    return listed(spark, root, patterns, most_bytes).where("skipped is not null").select("file_path", "size", "skipped")
+
+
+def first_files(found: DataFrame, limit: int, extensions: list[str], focus: list[str] | None = None) -> DataFrame:
+    """The first files of a scan by path, of some extensions and below focus
+    folders: three times ``limit``, for a search without an index."""
+    rows = found.where(F.lower(F.regexp_extract("file_path", "\\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
+    for n, prefix in enumerate(focus or []):
+        hit = F.startswith(F.col("file_path"), F.lit(prefix))
+        near = hit if n == 0 else near | hit
+    return (rows.where(near) if focus else rows).orderBy("file_path").limit(3 * limit)
 
 
 def upsert(current: DataFrame, batch: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:

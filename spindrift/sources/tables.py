@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMAS = {
@@ -25,28 +27,63 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+_VERSION = re.compile(r"^v=(\d+)(?:\.(.*))?$")
+
+
+def versions(spark: SparkSession, path: str, complete: bool = True) -> list[tuple[int, str]]:
+    """Numbers and folder names of a table's versions, in order; of those whose
+    writer has finished, or of all."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return []
+    out = []
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        found = _VERSION.match(name)
+        if found and (not complete or fs.exists(_fs(spark, f"{path}/{name}/_SUCCESS")[1])):
+            out.append((int(found[1]), name))
+    return sorted(out)
+
+
+def commit(df: DataFrame, path: str, mark: str = "", keep: int = 2) -> str:
+    """Writes ``df`` as the next version of a table folder. A reader takes the
+    last version whose writer has finished, so a crash loses nothing and a table
+    may be read while it is replaced; the ``keep`` last ones stay. ``mark``: a
+    version so marked that is there already is not written again."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    done = versions(spark, path)
+    if mark and any(name.endswith(f".{mark}") for _, name in done):
+        return next(name for _, name in done if name.endswith(f".{mark}"))
+    number = max((n for n, _ in versions(spark, path, complete=False)), default=-1) + 1
+    name = f"v={number:08d}" + (f".{mark}" if mark else "")
+    df.write.parquet(f"{path}/{name}")
+    for _, old in done[: max(0, len(done) + 1 - keep)]:
+        fs, at = _fs(spark, f"{path}/{old}")
+        fs.delete(at, True)
+    return name
+
+
+def current(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The last complete version of a table folder; empty before the first.
+    Anything else that goes wrong raises."""
+    done = versions(spark, path.rstrip("/"))
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{done[-1][1]}") if done else spark.createDataFrame([], schema)
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of a store folder; one that was never written is empty."""
-    path = f"{root.rstrip('/')}/{name}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return empty(spark, name)
-    return spark.read.schema(SCHEMAS[name]).parquet(path)
+    return current(spark, f"{root.rstrip('/')}/{name}", SCHEMAS[name])
 
 
 def write(df: DataFrame, root: str, name: str) -> None:
-    """Writes a new version beside the old one, then puts it in its place, so a
-    table may be read while it is replaced."""
-    spark = df.sparkSession
-    path = f"{root.rstrip('/')}/{name}"
-    df.select(*[c.split()[0] for c in _columns(name)]).write.mode("overwrite").parquet(path + "_next")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    fs.rename(hadoop(path + "_next"), hadoop(path))
+    """Writes a table of a store folder, as its next version."""
+    commit(df.select(*[c.split()[0] for c in _columns(name)]), f"{root.rstrip('/')}/{name}")
 
 
 def _columns(name: str) -> list[str]:
-    import re
-
     return re.split(r",\s+(?=\w+ )", SCHEMAS[name])

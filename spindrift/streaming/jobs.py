@@ -6,6 +6,8 @@ be compared with its batch twin.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.lineage import shared_folder
+from ..sources import tables
 from ..sources.files import upsert
 
 
@@ -57,34 +61,73 @@ def sessions(turns: DataFrame, by: str = "session_id", order: str = "turn") -> D
 
 
 def upserting(changes: DataFrame, path: str, key: list[str], order: str, checkpoint: str, schema: str) -> StreamingQuery:
-    """Keeps a Parquet table up to date with a stream of rows (``op``: upsert or
-    delete). Each batch writes a new version and then names it, so a repeated
-    batch gives the same table."""
+    """Keeps a table folder up to date with a stream of rows (``op``: upsert or
+    delete). Each batch commits the table's next version, marked with the
+    stream's and the batch's number, so a repeated batch changes nothing; a
+    table that cannot be read stops the stream."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        now = tables.current(spark, path, schema)
+        columns = now.columns
         last = batch.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
-        try:
-            current = spark.read.schema(schema).parquet(f"{path}/v={epoch - 1}") if epoch else spark.createDataFrame([], schema)
-        except Exception:  # noqa: BLE001  the first version after a restart without one
-            current = spark.createDataFrame([], schema)
-        columns = current.columns
-        merged = upsert(current, last.where("op <> 'delete'").select(*columns), key).join(last.where("op = 'delete'").select(*key), key, "left_anti")
-        merged.select(*columns).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        merged = upsert(now, last.where("op <> 'delete'").select(*columns), key).join(last.where("op = 'delete'").select(*key), key, "left_anti")
+        tables.commit(merged.select(*columns), path, mark=f"{stream}-{epoch}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def appending(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends a stream to a Parquet folder in micro-batches (buffered metrics,
+    event logs); the sink's own log makes each batch count once."""
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def collected(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a bounded stream to its end into a table in memory (tests, small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a bounded stream to its end: its last complete result, or in another
+    ``mode`` all rows it gave, as a table in the shared folder."""
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        tables.commit(batch, f"{folder}/out", mark=str(epoch), keep=1 if mode == "complete" else 1 << 30)
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if mode == "complete":
+        return tables.current(spark, f"{folder}/out", stream.schema)
+    parts = [f"{folder}/out/{v}" for _, v in tables.versions(spark, f"{folder}/out")]
+    return spark.read.schema(stream.schema).parquet(*parts) if parts else spark.createDataFrame([], stream.schema)
+
+
+class Watch:
+    """A stream that is started and stopped by name; starting twice is an error."""
+
+    def __init__(self, make: Callable[[], StreamingQuery]):
+        self._make, self._query = make, None
+
+    @property
+    def running(self) -> bool:
+        return self._query is not None and self._query.isActive
+
+    def start(self) -> StreamingQuery:
+        if self.running:
+            raise RuntimeError("the watch is running already")
+        self._query = self._make()
+        return self._query
+
+    def stop(self) -> None:
+        if self._query is not None:
+            self._query.stop()
+            self._query = None
 
 
 def history(rows: DataFrame, most: int, by: str | None, order: str) -> DataFrame:
-    """The last ``most`` rows of each group."""
-    w = (W.partitionBy(by) if by else W.partitionBy()).orderBy(F.desc(order))
+    """The last ``most`` rows (of each group)."""
+    if by is None:
+        return rows.orderBy(F.desc(order)).limit(most)
+    w = W.partitionBy(by).orderBy(F.desc(order))
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
