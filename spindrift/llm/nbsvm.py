@@ -22,6 +22,7 @@ neighbours' in a batch are not.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import releasing, unused
+from .shared import hand_back, releasing, unused
 from .word_bpe import byte_slices
 
 BITS = 18
@@ -131,7 +132,7 @@ def hinge(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cap:
     0..cap. A row whose projected gradient is below ``tolerance`` rests; the
     fit ends when all rows rest in one pass over all of them.
     """
-    squares = np.array([v @ v for v in values]) + 1.0
+    squares = np.array([np.dot(v, v) for v in values], float) + 1.0
     w, bias, alpha = np.zeros(size), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(seed)
     live, everyone = np.arange(len(y)), True
@@ -183,12 +184,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, totals: tuple[int, int] | No
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
     share = n[0] / len(y)
-    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), size)
-    pos = smooth + np.bincount(flat[y[owner] > 0], minlength=1 << BITS)
-    neg = smooth + np.bincount(flat[y[owner] < 0], minlength=1 << BITS)
-    ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
-    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
+    held = np.full((2, 1 << BITS), smooth)
+    for r, positive in zip(rows, y > 0, strict=True):
+        held[int(positive)][r] += 1
+    ratio = np.log((held[1] / held[1].sum()) / (held[0] / held[0].sum()))
+    values = [(ratio[r] / np.sqrt(max(len(r), 1))).astype(np.float32) for r in rows]
     cap = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * c
     w, bias, _ = hinge(rows, values, y, cap, 1 << BITS)
     margin = np.array([w[r] @ v for r, v in zip(rows, values, strict=True)]) + bias
@@ -227,12 +227,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
     # rows of one id with equal texts are one example
     seen, rows, y = set(), [], []
     for i, label, ids in zip(got["id"].to_pylist(), got["label"].to_pylist(), got["ids"], strict=True):
-        ids = np.asarray(ids.values.to_numpy(zero_copy_only=False), np.int64)
-        if (i, ids.tobytes()) not in seen:
-            seen.add((i, ids.tobytes()))
+        ids = ids.values.to_numpy(zero_copy_only=False)
+        mark = (i, hashlib.sha256(ids.tobytes()).digest())
+        if mark not in seen:
+            seen.add(mark)
             rows.append(ids)
             y.append(label)
-    return fit(rows, np.array(y), (int(counts[0]), int(counts[1])))
+    model = fit(rows, np.array(y), (int(counts[0]), int(counts[1])))
+    del got, rows, seen
+    hand_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

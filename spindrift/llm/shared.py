@@ -8,6 +8,8 @@ error, since a machine-local folder would lose data with its machine.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import logging
 import re
 import tempfile
@@ -15,6 +17,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,23 +152,23 @@ def remove_all() -> None:
         _removed(*_made.pop())
 
 
+def hand_back() -> None:
+    """Returns this process's freed memory to the system."""
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library: nothing to hand back
+
+
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task function that hands freed memory back when it ends: workers are
     reused, and what one step has freed would count against the next."""
 
     def task(batches: Iterator) -> Iterator:
         yield from run(batches)
-        import ctypes
-        import gc
-
-        import pyarrow
-
-        gc.collect()
-        pyarrow.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            return  # another C library: nothing to hand back
+        hand_back()
 
     return task
 
