@@ -128,20 +128,45 @@ def chunk_lines(spark, sf_dir):
     return chunking.chunks(c.select(F.concat("file_path", F.lit("/"), F.col("chunk_id").cast("string"), F.lit(".txt")).alias("file_path"), "content", F.lit("text").alias("language")))
 
 
-#: Two small files of code, for the parsers.
-CODE = [
-    ("app/shapes.py", "from base import Area\n\nclass Shape(Area):\n    def area(self):\n        return scale(1)\n\ndef scale(x):\n    return x\n", "python"),
-    ("app/base.py", "class Area:\n    def area(self):\n        return 0\n\ndef total(xs):\n    return sum(x.area() for x in xs)\n", "python"),
-]
+def code_files(spark, sf_dir: str) -> DataFrame:
+    """A Python file for every document: a class that inherits from another
+    one's, a method that calls another one's function, an import, a call at the
+    top, and the whole text as comments."""
+    n, text = F.col("doc_id"), F.concat(F.lit("# "), F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]", "\n# "))
+    put = lambda form, **of: _filled(F.lit(form), of)
+    content = put(
+        "from mod import Base{c}\n\nclass Base{i}(Base{b}):\n    def area(self):\n        return make{a}()\n\ndef make{i}():\n    return 1\n\nmake{b}()\n",
+        i=n, a=F.floor(n * 7 / 10).cast("long"), b=F.floor(n / 2).cast("long"), c=F.floor(n / 3).cast("long"),
+    )
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("app/f"), n.cast("string"), F.lit(".py")).alias("file_path"), F.concat(content, text, F.lit("\n")).alias("content"), F.lit("python").alias("language"))
 
 
-@query("code_graph")
+def _filled(form, of: dict):
+    for k, v in of.items():
+        form = F.replace(form, F.lit(f"{{{k}}}"), v.cast("string"))
+    return form
+
+
+CODE_EDGES = """d AS (SELECT doc_id AS i, CAST(floor(doc_id * 7 / 10) AS BIGINT) AS a, CAST(floor(doc_id / 2) AS BIGINT) AS b, CAST(floor(doc_id / 3) AS BIGINT) AS c FROM documents),
+k AS (SELECT *, 'file:app/f' || i || '.py' AS f, 'class:app/f' || i || '.py:Base' || i AS k, 'method:app/f' || i || '.py:Base' || i || '.area' AS m, 'function:app/f' || i || '.py:make' || i AS g FROM d),
+ce AS (SELECT f AS src, k AS dst, 'CONTAINS' AS edge_type FROM k UNION ALL SELECT k, m, 'CONTAINS' FROM k UNION ALL SELECT f, g, 'CONTAINS' FROM k UNION ALL SELECT x.f, y.k, 'IMPORTS' FROM k x JOIN k y ON y.i = x.c
+  UNION ALL SELECT x.k, y.k, 'INHERITS' FROM k x JOIN k y ON y.i = x.b AND y.i <> x.i UNION ALL SELECT x.m, y.g, 'CALLS' FROM k x JOIN k y ON y.i = x.a UNION ALL SELECT x.f, y.g, 'CALLS' FROM k x JOIN k y ON y.i = x.b)"""
+
+
+@query("code_graph", f"WITH {CODE_EDGES} SELECT src, dst, edge_type FROM ce")
 def code_graph(spark, sf_dir):
-    return chunking.graph(spark.createDataFrame(CODE, "file_path string, content string, language string"))[1]
+    return chunking.graph(code_files(spark, sf_dir))[1]
+
+
+@query("code_nodes", f"""WITH {CODE_EDGES} SELECT node_type, count(*) AS n, min(start_line) AS first, max(start_line) AS last FROM (SELECT 'file' AS node_type, 1 AS start_line FROM k UNION ALL SELECT 'class', 3 FROM k UNION ALL SELECT 'method', 4 FROM k UNION ALL SELECT 'function', 7 FROM k) GROUP BY node_type""")
+def code_nodes(spark, sf_dir):
+    n = chunking.graph(code_files(spark, sf_dir))[0]
+    return n.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"), F.min("start_line").alias("first"), F.max("start_line").alias("last"))
 
 
-@query("code_symbols")
+@query("code_symbols", """WITH s AS (SELECT 'app/f' || doc_id || '.py' AS file_path, 'Base' || doc_id AS name, 3 AS line, 'class' AS symbol_type FROM documents UNION ALL SELECT 'app/f' || doc_id || '.py', 'area', 4, 'function' FROM documents UNION ALL SELECT 'app/f' || doc_id || '.py', 'make' || doc_id, 7, 'function' FROM documents),
+r AS (SELECT *, CASE WHEN lower(name) = 'base1' THEN 1e0 WHEN starts_with(lower(name), 'base1') THEN 0.9e0 WHEN contains(lower(name), 'base1') THEN 0.7e0 END AS score FROM s) SELECT file_path, name, line, symbol_type, score FROM r WHERE score IS NOT NULL ORDER BY score DESC, file_path, line LIMIT 30""")
 def code_symbols(spark, sf_dir):
     from ..operators.lexical import symbol_search
 
-    return symbol_search(spark.createDataFrame(CODE, "file_path string, content string, language string"), "area")
+    return symbol_search(code_files(spark, sf_dir), "base1").select("file_path", "name", "line", "symbol_type", "score")

@@ -118,10 +118,23 @@ def chunks(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content", "language").mapInPandas(run, CHUNK).dropDuplicates(["chunk_id"])
 
 
+# What a definition's first word makes it, and references by language.
+KINDS = {"class": "class", "interface": "interface", "trait": "interface", "type": "type", "enum": "type", "struct": "type", "impl": "type", "function": "function", "func": "function", "fn": "function"}
+BASES = re.compile(r"\b(extends|implements)\s+([\w,\s]+?)\s*(?=\{|\bimplements\b|$)", re.M)
+IMPORTED = {
+    "typescript": re.compile(r"import\s+(?:type\s+)?\{([^}]*)\}|import\s+(\w+)\s+from"), "javascript": re.compile(r"import\s+\{([^}]*)\}|import\s+(\w+)\s+from"),
+    "go": re.compile(r'^\s*(?:import\s+)?"[^"]*?([\w-]+)"', re.M), "rust": re.compile(r"^use\s+[\w:]*?(?:\{([^}]*)\}|(\w+));", re.M), "java": re.compile(r"^import\s+[\w.]*?(\w+);", re.M),
+}
+CALL = re.compile(r"\b(\w+)\s*\(")
+NO_CALLS = {"if", "for", "while", "switch", "match", "return", "catch", "func", "fn", "function", "class", "interface", "type", "enum", "struct", "trait", "impl", "new", "super", "constructor"}
+
+
 def graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of Python files: files, classes, functions and methods,
-    what they contain, import, call and inherit. References are resolved in a
-    join over all symbols, so their order does not matter."""
+    """Nodes and edges of code files: files, classes, functions, methods,
+    interfaces and types, what they contain, import, call, inherit and
+    implement. Python is parsed, other languages go by the forms of their outer
+    definitions. References are resolved in a join over all symbols, so the
+    order of files does not matter."""
     schema = "kind string, src string, name string, node_id string, node_type string, file_path string, start_line int, end_line int"
 
     def run(batches):
@@ -130,20 +143,47 @@ def graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         for pdf in batches:
             rows = []
             for f in pdf.itertuples(index=False):
-                rows += _file_graph(f.file_path, f.content or "")
+                rows += _file_graph(f.file_path, f.content or "") if f.language == "python" else _outline_graph(f.file_path, f.content or "", f.language)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    rows = files.where("language = 'python'").select("file_path", "content").mapInPandas(run, schema)
+    rows = files.where(F.col("language").isin("python", *STARTS)).select("file_path", "content", "language").mapInPandas(run, schema)
     nodes = rows.where("kind = 'node'").select("node_id", "node_type", "name", "file_path", "start_line", "end_line")
     from ..operators.graph import resolved
 
     symbols = nodes.where("node_type <> 'file'").withColumn("name", F.element_at(F.split("name", "\\."), -1))
     contains = rows.where("kind = 'CONTAINS'").select("src", F.col("node_id").alias("dst"), F.lit("CONTAINS").alias("edge_type"))
-    refs = rows.where("kind IN ('CALLS', 'IMPORTS', 'INHERITS')").select("src", "name", "file_path", F.col("kind").alias("edge_type"))
-    found = resolved(refs, symbols).where("src <> dst").select("src", "dst", "edge_type")
+    refs = rows.where("kind IN ('CALLS', 'IMPORTS', 'INHERITS', 'IMPLEMENTS')").select("src", "name", "file_path", F.col("kind").alias("edge_type"))
+    found = resolved(refs, symbols).where("src <> dst").select("src", "dst", "edge_type").distinct()
     return nodes, contains.unionByName(found)
 
 
+def _outline_graph(path: str, content: str, language: str) -> list[tuple]:
+    """Nodes and references of a file by the forms of its outer definitions."""
+    file_id = f"file:{path}"
+    lines = content.split("\n")
+    rows = [("node", None, path, file_id, "file", path, 1, len(lines))]
+    if language in IMPORTED:
+        for found in IMPORTED[language].finditer(content):
+            for name in re.findall(r"\w+", " ".join(x for x in found.groups() if x)):
+                rows.append(("IMPORTS", file_id, name, None, None, path, 1, 1))
+    for first, last, name, word in spans(content, language):
+        kind = KINDS[word]
+        if language == "go" and kind == "type":
+            kind = "interface" if re.search(r"\binterface\b", lines[first - 1]) else "type"
+        node = f"{kind}:{path}:{name}"
+        body = "\n".join(lines[first - 1 : last])
+        rows.append(("node", None, name, node, kind, path, first, last))
+        if kind not in ("interface", "type"):
+            rows.append(("CONTAINS", file_id, None, node, None, path, first, first))
+        for how, bases in BASES.findall(lines[first - 1]):
+            edge = "INHERITS" if how == "extends" else "IMPLEMENTS"
+            rows += [(edge, node, base, None, None, path, first, first) for base in re.findall(r"\w+", bases)]
+        if kind in ("function", "class"):
+            called = dict.fromkeys(c for c in CALL.findall(body) if c not in NO_CALLS and c != name)
+            rows += [("CALLS", node, c, None, None, path, first, first) for c in called]
+    return rows
+
+
 def _file_graph(path: str, content: str) -> list[tuple]:
     try:
         module = ast.parse(content)
@@ -180,4 +220,6 @@ def _file_graph(path: str, content: str) -> list[tuple]:
             fid = f"function:{path}:{n.name}"
             rows += [("node", None, n.name, fid, "function", path, n.lineno, n.end_lineno), ("CONTAINS", file_id, None, fid, None, path, n.lineno, n.lineno)]
             refs(fid, n)
+        else:
+            refs(file_id, n)
     return rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spindrift.operators import metrics, packing, ranking, snapshots, vectors
 from spindrift.operators import graph as graph_operators
 from spindrift.plans import iterative, planner
-from spindrift.sources import files, indexing, stores, tables
+from spindrift.sources import chunking, files, indexing, stores, tables
 from spindrift.streaming import jobs
 
 
@@ -319,3 +319,22 @@ def test_contracts_ledger_and_filters(spark):
     assert {x.entry_id for x in stores.search_entries(led, q, ["todo"]).collect()} == {1, 3}
     assert stores.remove_entries(led, led.where("entry_id = 3")).count() == 2
     assert [x.vec_id for x in vectors.similar_ids(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>"), 1, spark.createDataFrame([(2,)], "vec_id long")).collect()] == [2]
+
+
+def test_code_graph_of_other_languages(spark):
+    code = [
+        ("a.ts", "import { Token } from './b'\nexport class Handler extends Base implements Token {\n  run() { return check(1) }\n}\nexport type Id = string;\nfunction check(x) { return x }\n", "typescript"),
+        ("b.ts", "export interface Token {\n  id: Id\n}\nexport class Base {\n}\n", "typescript"),
+        ("c.go", 'package c\nimport "x/store"\ntype Box struct {\n  a int\n}\ntype Store interface {\n  Get() int\n}\nfunc Open() {\n  Close()\n}\nfunc Close() {\n}\n', "go"),
+        ("d.rs", "use crate::shape::Area;\npub trait Area {\n}\npub fn area() {\n  helper()\n}\nfn helper() {\n}\n", "rust"),
+        ("e.txt", "class Nothing {}", "text"),
+    ]
+    nodes, edges = chunking.graph(spark.createDataFrame(code, "file_path string, content string, language string"))
+    assert {(r.node_type, r.name) for r in nodes.where("node_type <> 'file'").collect()} == {
+        ("class", "Handler"), ("type", "Id"), ("function", "check"), ("interface", "Token"), ("class", "Base"), ("type", "Box"), ("interface", "Store"), ("function", "Open"), ("function", "Close"), ("interface", "Area"), ("function", "area"), ("function", "helper"),
+    }
+    short = lambda x: x.split(":")[-1]
+    assert {(short(r.src), short(r.dst), r.edge_type) for r in edges.where("edge_type <> 'CONTAINS'").collect()} == {
+        ("a.ts", "Token", "IMPORTS"), ("Handler", "Base", "INHERITS"), ("Handler", "Token", "IMPLEMENTS"), ("Handler", "check", "CALLS"), ("Open", "Close", "CALLS"), ("d.rs", "Area", "IMPORTS"), ("area", "helper", "CALLS"),
+    }
+    assert {short(r.dst) for r in edges.where("edge_type = 'CONTAINS'").collect()} == {"Handler", "check", "Base", "Open", "Close", "area", "helper"}
