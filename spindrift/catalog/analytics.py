@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregates, metrics, packing, statistics
+from ..operators.lexical import bm25, small
 from ..plans import correction, planner
-from ..sources import files
+from ..sources import files, stores
 from ..streaming import jobs
 from .base import BM25, TERMS, chunks, flags, query, questions, table
 from .retrieval import ASKED, CANDIDATES, asked, candidates, hits
@@ -96,7 +97,7 @@ def ids_by_filter(spark, sf_dir):
 @query("retrieve_by_ids", "SELECT i.pos, d.doc_id AS chunk_id FROM (SELECT unnest([7, 3, 99999999, 12, 5]) AS id, unnest([0, 1, 2, 3, 4]) AS pos) i JOIN documents d ON d.doc_id = i.id")
 def retrieve_by_ids(spark, sf_dir):
     ids = spark.range(1).select(F.posexplode(F.array(*map(F.lit, [7, 3, 99999999, 12, 5]))).alias("pos", "chunk_id"))
-    return chunks(spark, sf_dir).join(F.broadcast(ids), "chunk_id").select("pos", "chunk_id").orderBy("pos")
+    return stores.by_ids(chunks(spark, sf_dir), ids).select("pos", "chunk_id")
 
 
 @query("store_stats", """SELECT 'chunks' AS metric, CAST(count(*) AS DOUBLE) AS value FROM documents UNION ALL SELECT 'contracts', CAST(count(*) FILTER (WHERE toxic = 1) AS DOUBLE) FROM labels
@@ -349,13 +350,15 @@ TRUTH = "truth AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM bench
 
 
 def truth(spark, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage whole: BM25 hits and more, by the
-    passage's first words as the join key, then the passage itself."""
-    q = questions(spark, sf_dir).withColumn("key", F.array_join(F.slice(T.terms(F.col("text")), 2, 4), " "))
+    """Documents that hold a benchmark passage whole. Four of a passage's words
+    are its key; a document's words meet the keys' first words, broadcast once
+    counted, and the passages so found are looked for in the text."""
+    q = questions(spark, sf_dir).withColumn("key", F.slice(T.terms(F.col("text")), 2, 4))
     words = chunks(spark, sf_dir).select("chunk_id", "content", T.terms(F.col("content")).alias("w"))
-    grams = words.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    near = grams.join(q.select("query_id", "key"), "key").select("query_id", "chunk_id").distinct()
-    both = near.join(words.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "text"), "query_id")
+    keys = small(q.select("query_id", "key", F.get("key", F.lit(0)).alias("first")))
+    places = words.select("chunk_id", "w", F.posexplode("w").alias("pos", "first")).join(keys, "first").where(F.slice("w", F.col("pos") + 1, 4) == F.col("key"))
+    near = places.select("query_id", "chunk_id").distinct()
+    both = words.select("chunk_id", "content").join(near, "chunk_id").join(small(q.select("query_id", "text")), "query_id")
     return both.where(F.contains("content", F.col("text"))).select("query_id", "chunk_id")
 
 
@@ -555,8 +558,6 @@ def query_rewrites(spark, sf_dir):
 
 @query("planned_retrieval")
 def planned_retrieval(spark, sf_dir):
-    from ..operators.lexical import bm25
-
     c = chunks(spark, sf_dir)
     return planner.planned_retrieval(planner.planned(named(spark, sf_dir)), lambda q: bm25(c, q, k=20))
 

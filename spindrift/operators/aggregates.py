@@ -6,10 +6,13 @@ takes a limit; order is by first appearance unless the operator sorts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lexical import small
+from .lineage import cut
+
 
 def extract_regex(inputs: DataFrame, pattern: str, limit: int = 100, group: int = 0) -> DataFrame:
     found = inputs.select("pos", F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(group))).alias("at", "value"))
@@ -68,16 +71,32 @@ def aggregate(op: str, inputs: DataFrame, **params) -> DataFrame:
     return OPERATIONS[op](inputs, **params)
 
 
+def running_total(items: DataFrame, value: Column, order: list[Column], by: str | None = None, out: str = "total") -> DataFrame:
+    """``items`` and the running sum of a value in an order (of each ``by``),
+    without a group or the table in one task: rows are dealt into ranges of the
+    order, each range sums its own, and the ranges' sums are few rows."""
+    key = [F.col(by)] if by else []
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = items.withColumn("_v", value).repartitionByRange(n, *key, *order).withColumn("_p", F.spark_partition_id())
+    dealt = cut(dealt)  # a range keeps its number from here on
+    ranges = dealt.groupBy("_p", *([by] if by else [])).agg(F.sum("_v").alias("_s"))
+    before = (W.partitionBy(by) if by else W.partitionBy()).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("_p", *([F.col(by).alias("_by")] if by else []), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    on = [F.col("a._p") == F.col("r._p"), *([F.col(f"a.{by}").eqNullSafe(F.col("r._by"))] if by else [])]
+    joined = dealt.alias("a").join(small(ranges).alias("r"), on)
+    inside = W.partitionBy(F.col("a._p"), *key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return joined.withColumn(out, F.sum("_v").over(inside) + F.col("_before")).select(*[F.col(f"a.{c}") for c in items.columns], out)
+
+
 def within_budget(items: DataFrame, tokens: str, order: list, budget: int, by: str | None = None, overhead: int = 2, each: int = 1) -> DataFrame:
     """Adds ``cum_tokens`` and ``kept``: the prefix of items whose tokens, with
     ``each`` more per item and ``overhead`` for all, stay within the budget."""
-    w = (W.partitionBy(by) if by else W.partitionBy()).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum(F.col(tokens) + each).over(w) + overhead
-    return items.withColumn("cum_tokens", total).withColumn("kept", total <= budget)
+    summed = running_total(items, F.col(tokens) + each, order, by, "_total")
+    return summed.withColumn("cum_tokens", F.col("_total") + overhead).withColumn("kept", F.col("cum_tokens") <= budget).drop("_total")
 
 
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """A page of rows with the cursor of the next one (null at the end)."""
-    n = rows.count()
-    cursor = F.lit(None).cast("string") if offset + limit >= n else F.base64(F.to_json(F.struct(F.lit(offset + limit).alias("offset"), F.lit(limit).alias("limit"))).cast("binary"))
+    more = not rows.orderBy(*order).offset(offset + limit).limit(1).isEmpty()
+    cursor = F.lit(None).cast("string") if not more else F.base64(F.to_json(F.struct(F.lit(offset + limit).alias("offset"), F.lit(limit).alias("limit"))).cast("binary"))
     return rows.orderBy(*order).offset(offset).limit(limit).withColumn("next_cursor", cursor)
