@@ -26,11 +26,25 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Texts up to this size (by the optimizer) are dealt out by chunk first.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(texts: DataFrame, key: str) -> DataFrame:
+    """A small table of texts, dealt to all cores by its key: its files may hold
+    too few blocks to keep them busy, and what groups by the key needs no further
+    exchange. A large one has blocks enough, and its texts stay where they are."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores, key) if size <= SPREAD_BYTES else texts
+
+
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", only: DataFrame | None = None) -> DataFrame:
     """``chunk_id``, ``term``, ``tf`` and ``dl`` (the chunk's number of terms).
     With ``only`` (``term``), other terms are left out before rows are moved,
     and each chunk has a row of the empty term, for its length."""
-    words = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(T.terms(F.col(text_col)), F.array().cast("array<string>")).alias("words"))
+    texts = spread(chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")), "chunk_id")
+    words = texts.select("chunk_id", F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")).alias("words"))
     if only is None:
         rows = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     else:
