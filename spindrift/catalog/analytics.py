@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregates, metrics, packing, statistics
-from ..operators.lexical import bm25, small
+from ..operators.lexical import bm25, small, spread
 from ..plans import correction, planner
 from ..sources import files, stores
 from ..streaming import jobs
@@ -350,15 +350,17 @@ TRUTH = "truth AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM bench
 
 
 def truth(spark, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage whole. Four of a passage's words
-    are its key; a document's words meet the keys' first words, broadcast once
+    """Documents that hold a benchmark passage whole. Two of a passage's words
+    are its key; pairs of a document's words meet the keys, broadcast once
     counted, and the passages so found are looked for in the text."""
-    q = questions(spark, sf_dir).withColumn("key", F.slice(T.terms(F.col("text")), 2, 4))
-    words = chunks(spark, sf_dir).select("chunk_id", "content", T.terms(F.col("content")).alias("w"))
-    keys = small(q.select("query_id", "key", F.get("key", F.lit(0)).alias("first")))
-    places = words.select("chunk_id", "w", F.posexplode("w").alias("pos", "first")).join(keys, "first").where(F.slice("w", F.col("pos") + 1, 4) == F.col("key"))
-    near = places.select("query_id", "chunk_id").distinct()
-    both = words.select("chunk_id", "content").join(near, "chunk_id").join(small(q.select("query_id", "text")), "query_id")
+    q = questions(spark, sf_dir)
+    pair = lambda a, b: F.concat_ws(" ", a, b)
+    asked = q.select("query_id", T.terms(F.col("text")).alias("w")).select("query_id", pair(F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("key"))
+    c = spread(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    words = c.select("chunk_id", F.coalesce(T.terms(F.col("content")), F.array().cast("array<string>")).alias("w"))
+    pairs = words.select("chunk_id", F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), pair)).alias("key"))
+    near = pairs.join(small(asked), "key").select("query_id", "chunk_id").distinct()
+    both = c.join(near, "chunk_id").join(small(q), "query_id")
     return both.where(F.contains("content", F.col("text"))).select("query_id", "chunk_id")
 
 

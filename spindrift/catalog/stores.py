@@ -673,3 +673,64 @@ def context_packs(spark, sf_dir):
 @query("simple_edges", f"WITH {graphs.EDGES} SELECT src, dst, max(edge_type) AS edge_type FROM edges GROUP BY src, dst")
 def simple_edges(spark, sf_dir):
     return indexing.simple_edges(graphs.edges(spark, sf_dir))
+
+
+# ---- forms of packs, rounds, summaries -----------------------------------------------------
+
+
+def pack_rows(spark, sf_dir: str) -> DataFrame:
+    h = hits(spark, sf_dir).join(chunks(spark, sf_dir), "chunk_id").join(flags(spark, sf_dir), "chunk_id", "left")
+    marks = {f: F.coalesce(F.col(f), F.lit(False)) for f in ("is_contract", "is_pinned")}
+    return h.withColumns(marks | {"start_line": F.lit(1), "end_line": F.size(F.split("content", "\n")), "symbol_name": F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("S<"), F.col("chunk_id").cast("string")))})
+
+
+PACK_ROWS = f"""{BM25}, pr AS (SELECT h.query_id, h.chunk_id, h.rank, d.text AS content, d.source AS file_path, len(string_split(d.text, chr(10))) AS last, CASE WHEN h.chunk_id % 2 = 0 THEN 'S<' || h.chunk_id END AS symbol, coalesce(toxic, 0) = 1 AS contract, l.doc_id IS NOT NULL AND h.chunk_id % 7 = 0 AS pinned,
+  row_number() OVER (PARTITION BY h.query_id ORDER BY d.source, h.chunk_id) AS n FROM hits h JOIN documents d ON d.doc_id = h.chunk_id LEFT JOIN labels l ON l.doc_id = h.chunk_id)"""
+
+
+@query("pack_xml", f"""WITH {PACK_ROWS}, p AS (SELECT *, '<chunk id="' || n || '" lines="1-' || last || '"' || coalesce(' symbol="S&lt;' || chunk_id || '"', '') || CASE WHEN contract THEN ' contract="true"' ELSE '' END || CASE WHEN pinned THEN ' pinned="true"' ELSE '' END || '><![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]></chunk>' AS part FROM (SELECT * REPLACE (CASE WHEN symbol IS NOT NULL THEN chunk_id END AS chunk_id) FROM pr)),
+f AS (SELECT query_id, file_path, min(n) AS first, '<file path="' || file_path || '">' || chr(10) || string_agg(part, chr(10) ORDER BY n) || chr(10) || '</file>' AS text FROM p GROUP BY query_id, file_path)
+SELECT query_id, md5('<context>' || chr(10) || string_agg(text, chr(10) ORDER BY first) || chr(10) || '</context>') AS digest FROM f GROUP BY query_id""")
+def pack_xml(spark, sf_dir):
+    from ..operators import packing
+
+    return packing.xml(pack_rows(spark, sf_dir)).select("query_id", F.md5("pack_xml").alias("digest"))
+
+
+@query("pack_compact", f"""WITH {PACK_ROWS} SELECT query_id, string_agg('[' || n || '] ' || file_path || ':1' || coalesce(' ' || symbol, '') || ' | ' || substr(trim(regexp_extract(content, '^\\s*([^\\n]*)', 1)), 1, 80), chr(10) ORDER BY n) AS pack_text FROM pr GROUP BY query_id""")
+def pack_compact(spark, sf_dir):
+    from ..operators import packing
+
+    return packing.compact(pack_rows(spark, sf_dir))
+
+
+@query("pack_diff", f"""WITH {PACK_ROWS}, a AS (SELECT * FROM pr WHERE rank <= 6), b AS (SELECT * FROM pr WHERE rank >= 3), x AS (SELECT query_id, '+ ' AS mark, file_path || ':1' AS place, chunk_id FROM a WHERE rank < 3 UNION ALL SELECT query_id, '- ', file_path || ':1', chunk_id FROM b WHERE rank > 6)
+SELECT query_id, string_agg(mark || place, chr(10) ORDER BY mark, place, chunk_id) AS diff FROM x GROUP BY query_id""")
+def pack_diff(spark, sf_dir):
+    from ..operators import packing
+
+    p = pack_rows(spark, sf_dir)
+    return packing.diff_text(p.where("rank <= 6"), p.where("rank >= 3"))
+
+
+@query("new_chunk_counts", """WITH r AS (SELECT user_id AS session, CAST(floor(event_id / 200) AS BIGINT) AS seq, event_id % 37 AS chunk_id FROM events), f AS (SELECT session, chunk_id, min(seq) AS seq FROM r GROUP BY ALL), n AS (SELECT session, seq, count(*) AS n FROM f GROUP BY ALL)
+SELECT DISTINCT r.session, r.seq, coalesce(n, 0) AS new_chunks FROM r LEFT JOIN n ON n.session = r.session AND n.seq = r.seq""")
+def new_chunk_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return metrics.new_counts(e.select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 200).cast("long").alias("seq"), (F.col("event_id") % 37).alias("chunk_id")))
+
+
+@query("recent_summary", "SELECT event_type AS name, count(value) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS greatest, round(stddev_pop(value), 6) AS std FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 72 HOUR FROM events) GROUP BY event_type")
+def recent_summary(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "name")
+    last = e.agg((F.max("ts") - F.expr("INTERVAL '72' HOUR")).alias("_since"))
+    return metrics.summary(e.crossJoin(F.broadcast(last)), ["name"], since=F.col("_since"))
+
+
+@query("files_matching", """WITH f AS (SELECT page_id, (['src/a', 'src/dist/b', 'docs/c', 'test/d'])[page_id % 4 + 1] || page_id || (['.py', '.md'])[page_id % 2 + 1] AS p FROM pages) SELECT page_id FROM f WHERE (starts_with(p, 'src/') OR ends_with(p, '.md')) AND NOT contains(p, '/dist/')""")
+def files_matching(spark, sf_dir):
+    from ..sources import files
+
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("page_id") % n + 1).cast("int"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(pick(["src/a", "src/dist/b", "docs/c", "test/d"], 4), F.col("page_id").cast("string"), pick([".py", ".md"], 2)).alias("file_path"))
+    return files.matching(p, ["src/*", "*.md"], ["dist"]).select("page_id")

@@ -57,8 +57,10 @@ def estimated_missed(words: Column, retrieved: Column, total: Column) -> Column:
     return F.greatest(F.lit(0), F.floor(retrieved * (1 + F.least(F.lit(1.0), words / 10)) * (1 - F.least(F.lit(1.0), 10 * retrieved / F.greatest(total, F.lit(1)))) * 0.1)).cast("long")
 
 
-def summary(points: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Count, sum, mean, least, greatest and population deviation."""
+def summary(points: DataFrame, by: list[str], value: str = "value", since: Column | None = None, ts: str = "ts") -> DataFrame:
+    """Count, sum, mean, least, greatest and population deviation of the points
+    since a time (all without one)."""
+    points = points if since is None else points.where(F.col(ts) >= since)
     return points.groupBy(*by).agg(
         F.count(value).alias("n"), F.round(F.sum(value), 6).alias("total"), F.round(F.avg(value), 6).alias("mean"),
         F.round(F.min(value), 6).alias("least"), F.round(F.max(value), 6).alias("greatest"), F.round(F.stddev_pop(value), 6).alias("std"),
@@ -145,6 +147,13 @@ def budget_states(iterations: DataFrame, most_iterations: int, tokens: int, by:
     return iterations.withColumn("tokens_used", used).withColumn("stop_reason", why)
 
 
+def new_counts(found: DataFrame, by: str = "session", order: str = "seq", item: str = "chunk_id") -> DataFrame:
+    """How many items each round (``by``, ``order``) brought that none before it had."""
+    first = found.groupBy(by, item).agg(F.min(order).alias(order))
+    new = first.groupBy(by, order).agg(F.count(F.lit(1)).alias("new_chunks"))
+    return found.select(by, order).distinct().join(new, [by, order], "left").withColumn("new_chunks", F.coalesce("new_chunks", F.lit(0)))
+
+
 # ---- sessions, trends, suggestions ---------------------------------------------
 
 

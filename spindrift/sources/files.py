@@ -102,9 +102,16 @@ def reindex(indexed: DataFrame, present: DataFrame, most: int = 50, key: str = "
     return s.where(F.col("status").isin("stale", "new")).orderBy(order, key).limit(most)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A log of JSON lines; lines that do not parse are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str, order: str | None = None, last: int | None = None) -> DataFrame:
+    """A log of JSON lines; lines that do not parse are left out. With ``last``
+    the last so many in an ``order``."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return rows if last is None or order is None else rows.orderBy(F.desc(order)).limit(last)
+
+
+def append_jsonl(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines, as files of their own."""
+    rows.write.mode("append").json(path)
 
 
 def export(points: DataFrame, path: str, kind: str = "json", tags: str = "tags") -> None:
@@ -125,6 +132,12 @@ def lines(files: DataFrame, start: int, end: int, most: int = 200) -> DataFrame:
     return rows.where(F.col("pos").between(start - 1, stop - 1)).select("file_path", (F.col("pos") + 1).alias("line"), F.concat(F.lpad((F.col("pos") + 1).cast("string"), 6, " "), F.lit("  "), "text").alias("numbered"), F.lit(stop < end).alias("truncated"))
 
 
+def matching(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Files that fit one of the globs of ``include`` (all without any) and none of ``exclude``."""
+    out = files.where(ignored(F.col("file_path"), include)) if include else files
+    return out.where(~ignored(F.col("file_path"), exclude)) if exclude else out
+
+
 def tree(files: DataFrame, depth: int = 3) -> DataFrame:
     """Folders and files to a depth: ``path``, ``parent``, ``depth``, ``files``, ``bytes``."""
     parts = F.split("file_path", "/")
