@@ -12,7 +12,7 @@ from ..operators.lexical import bm25, small, spread
 from ..plans import correction, planner
 from ..sources import files, stores
 from ..streaming import jobs
-from .base import BM25, TERMS, chunks, flags, query, questions, table
+from .base import BM25, TERMS, bm25_sql, chunks, flags, query, questions, table
 from .retrieval import ASKED, CANDIDATES, asked, candidates, hits
 
 # ---- list operators over nation and event names ----------------------------
@@ -285,11 +285,20 @@ def dac_pack(spark, sf_dir):
     return packing.with_dependencies(items, near.select(F.col("a.chunk_id").alias("chunk_id"), F.col("b.chunk_id").alias("needs")), 4000)
 
 
-@query("pack_markdown")
+@query(
+    "pack_markdown",
+    f"""WITH {UTILITY}, r AS (SELECT u.query_id, u.chunk_id, u.file_path, d.text AS content, string_split(d.text, chr(10)) AS lines, CASE WHEN contract_score = 1 THEN 'contract' END AS c, CASE WHEN pinned_score = 1 THEN 'pinned' END AS p,
+  row_number() OVER (PARTITION BY u.query_id ORDER BY u.file_path, u.chunk_id) AS n FROM ut u JOIN cand USING (query_id, chunk_id) JOIN documents d ON d.doc_id = u.chunk_id WHERE d.text IS NOT NULL),
+m AS (SELECT query_id, file_path, n, concat_ws(' ', '[' || n || ']', 'L1-' || len(lines), CASE WHEN coalesce(c, p) IS NOT NULL THEN '[' || concat_ws(', ', c, p) || ']' END) || chr(10) || chr(10) || '```' || chr(10) || array_to_string(lines[1:100], chr(10)) || chr(10) || '```' || chr(10) AS part FROM r),
+f AS (SELECT query_id, file_path, min(n) AS first, '## ' || file_path || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY n) AS text FROM m GROUP BY query_id, file_path)
+SELECT query_id, md5(string_agg(text, chr(10) ORDER BY first)) AS digest FROM f GROUP BY query_id""",
+)
 def pack_markdown(spark, sf_dir):
-    full = pack_items(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "content"), "chunk_id")
+    c = chunks(spark, sf_dir).where("content is not null").select("chunk_id", "content")
+    full = pack_items(spark, sf_dir).join(c, "chunk_id")
     lines = F.size(F.split("content", "\n"))
-    return packing.markdown(full.withColumn("start_line", F.lit(1)).withColumn("end_line", lines).withColumn("symbol_name", F.lit(None).cast("string")))
+    packs = packing.markdown(full.withColumn("start_line", F.lit(1)).withColumn("end_line", lines).withColumn("symbol_name", F.lit(None).cast("string")))
+    return packs.select("query_id", F.md5("pack_markdown").alias("digest"))
 
 
 # ---- telemetry, feedback, quality --------------------------------------------
@@ -539,14 +548,17 @@ NAMED = f"""q AS (SELECT item_id AS query_id, item_id % {len(FORMS)} AS form, {_
 named AS (SELECT query_id, form, replace(about, '{{}}', replace(e, '{{w}}', w)) AS text, CASE WHEN form < 4 THEN replace(e, '"', '') END AS e FROM q)"""
 
 
-@query("subquery_plan", f"""WITH {NAMED}, f AS (SELECT query_id AS "of", text, e, CAST(e IS NOT NULL AS INT) AS n, CAST(regexp_matches(lower(text), 'implement|defined') AS INT) AS i, CAST(regexp_matches(lower(text), 'use|using|called|calls|caller') AS INT) AS u,
+PLAN = f"""{NAMED}, f AS (SELECT query_id AS "of", text, e, CAST(e IS NOT NULL AS INT) AS n, CAST(regexp_matches(lower(text), 'implement|defined') AS INT) AS i, CAST(regexp_matches(lower(text), 'use|using|called|calls|caller') AS INT) AS u,
   CAST(regexp_matches(lower(text), 'test|spec') AS INT) AS t, CAST(starts_with(lower(text), 'how') AS INT) AS h, CAST(starts_with(lower(text), 'where') AS INT) AS w FROM named),
 p AS (SELECT *, 10 - n - n * i - n * u - t AS p FROM f),
 r AS (SELECT "of", 0 AS step, 'definition of ' || e AS text, 'definition' AS query_type, 10 AS priority FROM p WHERE n = 1 UNION ALL SELECT "of", 1, 'implementation of ' || e, 'implementation', 9 FROM p WHERE n = 1 AND i = 1
   UNION ALL SELECT "of", 2, 'usages of ' || e, 'usage', 9 - i FROM p WHERE n = 1 AND u = 1 UNION ALL SELECT "of", 3, 'tests for ' || text, 'test', 10 - n - n * i - n * u FROM p WHERE t = 1
   UNION ALL SELECT "of", 4, 'interfaces and types related to ' || text, 'contract', p - 5 FROM p UNION ALL SELECT "of", 5, replace(text, 'how', 'implementation'), 'implementation', p FROM p WHERE h = 1 AND i = 0
-  UNION ALL SELECT "of", 6, replace(text, 'where', 'files containing'), 'usage', p FROM p WHERE w = 1 AND u = 0 UNION ALL SELECT "of", 7, text, 'related', 1 FROM p)
-SELECT "of" * 10 + row_number() OVER (PARTITION BY "of" ORDER BY priority DESC, step) - 1 AS query_id, "of", text, query_type, CAST(priority AS INT) AS priority FROM r""")
+  UNION ALL SELECT "of", 6, replace(text, 'where', 'files containing'), 'usage', p FROM p WHERE w = 1 AND u = 0 UNION ALL SELECT "of", 7, text, 'related', 1 FROM p),
+plan AS (SELECT "of" * 10 + row_number() OVER (PARTITION BY "of" ORDER BY priority DESC, step) - 1 AS query_id, "of", text, query_type, CAST(priority AS INT) AS priority FROM r)"""
+
+
+@query("subquery_plan", f"WITH {PLAN} SELECT * FROM plan")
 def subquery_plan(spark, sf_dir):
     return planner.planned(named(spark, sf_dir))
 
@@ -558,7 +570,11 @@ def query_rewrites(spark, sf_dir):
     return named(spark, sf_dir).select("query_id", F.array_join(correction.rewrites(F.col("text")), " | ").alias("rewrites"))
 
 
-@query("planned_retrieval")
+@query(
+    "planned_retrieval",
+    f"""WITH {PLAN}, {bm25_sql(20, asks="plan")}, l AS (SELECT p."of" AS query_id, chunk_id, p.query_type AS list, score FROM hits h JOIN plan p ON p.query_id = h.query_id)
+SELECT query_id, chunk_id, round(max(score) + CASE WHEN count(*) > 1 THEN 0.2 * log2(count(*)) ELSE 0.0 END + 0.1 * (count(DISTINCT list) - 1), 6) AS score, count(*) AS n_scores FROM l GROUP BY query_id, chunk_id""",
+)
 def planned_retrieval(spark, sf_dir):
     c = chunks(spark, sf_dir)
     return planner.planned_retrieval(planner.planned(named(spark, sf_dir)), lambda q: bm25(c, q, k=20))

@@ -53,12 +53,12 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS = f"regexp_extract_all(translate(lower({{}}), '{T.ACCENTED}', '{T.FOLDED}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
 
 
-def bm25_sql(k: int, docs: str = "(SELECT doc_id AS chunk_id, text FROM documents)") -> str:
+def bm25_sql(k: int, docs: str = "(SELECT doc_id AS chunk_id, text FROM documents)", asks: str = "(SELECT item_id AS query_id, text FROM benchmark)") -> str:
     return f"""
 tok AS (SELECT chunk_id, {TERMS.format('text')} AS words FROM {docs}),
 stat AS (SELECT count(*) AS n_docs, avg(coalesce(len(words), 0)) AS avgdl FROM tok),
 post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(words) AS dl, unnest(words) AS term FROM tok) GROUP BY chunk_id, term),
-ask AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark),
+ask AS (SELECT DISTINCT query_id, unnest({TERMS.format('text')}) AS term FROM {asks}),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 part AS (SELECT a.query_id, p.chunk_id, greatest(1e-6, ln((n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s
   FROM ask a JOIN post p USING (term) JOIN dfs USING (term), stat),

@@ -92,7 +92,15 @@ def components(spark, sf_dir):
     return graph.components(edges(spark, sf_dir).where("edge_type IN ('CONTAINS', 'IMPORTS')"))
 
 
-@query("communities")
+def _communities_sql(rounds: int) -> str:
+    out = f"WITH {EDGES}, u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), l0 AS (SELECT DISTINCT a AS node, a AS label FROM u)"
+    for i in range(rounds):
+        out += f""",
+v{i} AS (SELECT u.a, l.label, count(*) AS n FROM u JOIN l{i} l ON l.node = u.b GROUP BY ALL), l{i + 1} AS (SELECT a AS node, label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, label) AS r FROM v{i}) WHERE r = 1)"""
+    return out + f" SELECT node, label FROM l{rounds}"
+
+
+@query("communities", _communities_sql(5))
 def communities(spark, sf_dir):
     return graph.communities(edges(spark, sf_dir))
 
