@@ -1,12 +1,14 @@
 """Token counts: batch encoding in Arrow functions, lengths out.
 
-A task's texts are dealt into library calls of about ``batch_bytes`` each. A
-text longer than ``piece_chars`` is split at safe boundaries first, so one long
-text is many entries of such calls instead of one: no token of the vocabulary
-and no match of its rules crosses such a boundary, which is read from the
-vocabulary file (``Pieces``); a file that does not show it keeps its texts
-whole. No ids leave the Python worker and there is no shuffle: a task counts
-the rows of its own scan split.
+A task's texts are dealt into library calls of about ``batch_bytes`` each. Long
+texts are split at safe boundaries first, so one long text is many entries of
+such calls instead of one: no token of the vocabulary and no match of its rules
+crosses such a boundary, which is read from the vocabulary file (``Pieces``); a
+file that does not show it keeps its texts whole. Files that drop white space
+split every text at all of it, and a call encodes the distinct pieces whose
+lengths a worker does not know yet (it keeps ``MEMO_BYTES`` of short ones). No
+ids leave the Python worker and there is no shuffle: a task counts the rows of
+its own scan split.
 
 Null and empty texts have 0 tokens; an empty table gives no rows; a long text
 is in memory once, with one call's ids. Rows keep their order within a task,
@@ -35,6 +37,9 @@ _BEFORE_SPACE = re.compile(f"(?<!{SPACE})(?=[ \\n])")
 #: One space between two other characters; it belongs to neither piece.
 _ONE_SPACE = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
 _WORD_MARK = "\u2581"
+#: Short pieces whose lengths a worker keeps, by vocabulary file.
+MEMO_BYTES, MEMO_PIECE = 16 << 20, 24
+_memos: dict[str, tuple[pa.Array, np.ndarray]] = {}
 
 
 def _byte_level(tokenizer) -> bool:
@@ -53,8 +58,8 @@ class Pieces:
     pieces hold the word mark in front only and whose encoder adds it."""
 
     def __init__(self, path: str, piece_chars: int = 1 << 16):
-        self.piece_chars = piece_chars
-        self.cut, self.skip = None, 0
+        self.path, self.piece_chars = path, piece_chars
+        self.cut, self.skip, self.by_words = None, 0, False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -66,7 +71,8 @@ class Pieces:
         else:
             tokenizer = open_tokenizer(path)
             self.encode = lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            if drops_white_space(tokenizer) or _byte_level(tokenizer):
+            self.by_words = drops_white_space(tokenizer)
+            if self.by_words or _byte_level(tokenizer):
                 self.cut = _BEFORE_SPACE
 
     def of(self, text: str) -> Iterator[str]:
@@ -79,8 +85,30 @@ class Pieces:
             start = found.start() + self.skip
         yield text[start:] if start else text
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
+    def _lengths(self, pieces: pa.Array) -> np.ndarray:
+        """Number of tokens of distinct pieces."""
+        known, sizes = _memos.get(self.path, (pa.array([], pa.large_string()), np.zeros(0, np.int64)))
+        at = pc.index_in(pieces, value_set=known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(pieces), np.int64)
+        out[~new] = sizes[at.drop_null().to_numpy()]
+        missing = pieces.filter(pa.array(new))
+        out[new] = self.encode(missing.to_pylist()) if len(missing) else 0
+        if known.nbytes < MEMO_BYTES:
+            short = pc.less_equal(pc.binary_length(missing), MEMO_PIECE)
+            _memos[self.path] = pa.concat_arrays([known, missing.filter(short)]), np.concatenate([sizes, out[new][short.to_numpy(zero_copy_only=False)]])
+        return out
+
+    def counts(self, column: pa.Array) -> np.ndarray:
         """Number of tokens of each text (null: 0)."""
+        if self.by_words:
+            lists = pc.ascii_split_whitespace(pc.cast(pc.fill_null(column, ""), pa.large_string()))
+            coded = lists.flatten().dictionary_encode()
+            size = self._lengths(coded.dictionary)
+            sums = np.concatenate([[0], np.cumsum(size[coded.indices.to_numpy()])])
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            return sums[ends[1:]] - sums[ends[:-1]]
+        texts = column.to_pylist()
         pieces, owner = [], []
         for i, text in enumerate(texts):
             for piece in self.of(text or ""):
@@ -90,7 +118,7 @@ class Pieces:
 
 
 def token_counts(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, batch_bytes: int = 4 << 20, piece_chars: int = 1 << 16
 ) -> DataFrame:
     """``id_col``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` per row.
 
@@ -105,7 +133,7 @@ def token_counts(
             ids, texts = batch.column(0), batch.column(1)
             for lo, hi in byte_slices(texts, batch_bytes):
                 part = texts.slice(lo, hi - lo)
-                n = pa.array(pieces.counts(part.to_pylist()), pa.int64())
+                n = pa.array(pieces.counts(part), pa.int64())
                 size = pc.cast(pc.fill_null(pc.binary_length(part), 0), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
