@@ -15,9 +15,12 @@ block, and nothing is broadcast or collected. Every row is scored exactly;
 ties go to the smaller id.
 
 Rows whose vector is null, or holds null or non-finite components, take no
-part; shorter vectors count as zero beyond their end. Rows that repeat an id
-are candidates each (and never for their own id's query); a repeated query id
-is answered once. An empty table gives no rows.
+part; shorter vectors count as zero beyond their end. Components whose scaled
+value passes 64 bits count as the largest long; scores that could pass 64 bits
+are summed in whole numbers of any size, and come out as the largest or least
+long beyond it. Rows that repeat an id are candidates each (and never for their
+own id's query); a repeated query id is answered once. An empty table gives no
+rows; columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -45,19 +48,18 @@ class Shard:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids = ids[order]
-        top = max(1, int(np.abs(rows).max(initial=0)))
-        self.top = top
+        self.top = _largest(rows)
         # sums stay exact: 24, 53 or 63 bits
         self.columns = np.ascontiguousarray(rows[order].T)
         self.high = self.columns.max(axis=1, initial=0) if len(ids) else np.zeros(len(self.columns), np.int64)
         self.low = self.columns.min(axis=1, initial=0) if len(ids) else np.zeros(len(self.columns), np.int64)
         n = min(32, len(ids))
-        far = np.argpartition(-np.abs(self.columns), n - 1, axis=1)[:, :n] if n else np.zeros((len(self.columns), 0), int)
+        far = np.argpartition(-np.abs(self.columns.astype(np.float64)), n - 1, axis=1)[:, :n] if n else np.zeros((len(self.columns), 0), int)
         self.champions = far
         self._typed: dict[type, np.ndarray] = {}
 
     def _as(self, q: np.ndarray) -> np.ndarray:
-        most = self.top * max(1, int(np.abs(q).max(initial=0))) * max(1, len(q))
+        most = self.top * _largest(q) * max(1, len(q))
         kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
         if kind not in self._typed:
             self._typed[kind] = self.columns.astype(kind)
@@ -67,6 +69,8 @@ class Shard:
         """Ids and scores of the k best rows but those of id ``own``."""
         m = min(len(q), len(self.columns))
         q = q[:m]
+        if self.top * _largest(q) * max(1, m) >= 1 << 62:
+            return self._wide(own, q, k)
         bound = np.maximum(q * self.high[:m], q * self.low[:m])
         order = np.argsort(-bound, kind="stable")
         bound = bound[order]
@@ -109,6 +113,19 @@ class Shard:
         best = np.lexsort((self.ids[live], -s))[:k]
         return self.ids[live][best], s[best].astype(np.int64)
 
+    def _wide(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same by sums of any size, row by row."""
+        live = np.flatnonzero(self.ids != own)
+        score = [sum(a * b for a, b in zip(q.tolist(), self.columns[: len(q), r].tolist(), strict=True)) for r in live.tolist()]
+        best = sorted(range(len(live)), key=lambda i: (-score[i], int(self.ids[live[i]])))[:k]
+        top = (1 << 63) - 1
+        return self.ids[live][best], np.array([min(max(score[i], -top - 1), top) for i in best], np.int64)
+
+
+def _largest(values: np.ndarray) -> int:
+    """The greatest magnitude, 1 at least."""
+    return max(1, int(values.max(initial=0)), -int(values.min(initial=0)))
+
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -11,7 +11,9 @@ the response and the others revisit it. Null payloads are empty; null URLs
 become ``urn:`` names and read back as null; null ids sort first; rows that
 repeat an id are numbered, and each is its own capture. Only digests and ids
 meet by payload (a hot payload is pre-aggregated, its rows' join is split by
-adaptive execution); bodies are dealt by the row's own key.
+adaptive execution); bodies are dealt by the row's own key. A payload is in
+memory whole, with its compressed record; an empty table gives no files and no
+rows; columns other than the three are not read.
 """
 
 from __future__ import annotations

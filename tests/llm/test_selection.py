@@ -32,6 +32,27 @@ def test_maxscore_equals_brute_force():
             assert got.tolist() == ids[keep][best].tolist() and score.tolist() == full[keep][best].tolist()
 
 
+def test_scores_beyond_64_bits(spark):
+    big = (1 << 63) - 1
+    rows = np.array([[big, big], [big, -big - 1], [5, 7], [-big - 1, -big - 1]], np.int64)
+    shard = maxscore.Shard(np.arange(4), rows)
+    for q in ([1, 1], [big, 1], [-3, big]):
+        exact = [sum(a * b for a, b in zip(q, r, strict=True)) for r in rows.tolist()]
+        best = sorted(range(4), key=lambda i: (-exact[i], i))
+        ids, score = shard.top_k(9, np.array(q, np.int64), 4)
+        assert ids.tolist() == best and score.tolist() == [min(max(exact[i], -big - 1), big) for i in best]
+    v = maxscore.quantised(spark.createDataFrame([(1, [1e300, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert {r.vec_id: r.v for r in v.collect()} == {1: [big, 256], 2: [256, 256]}
+
+
+def test_null_and_repeated_page_ids(spark):
+    """Each row is a capture of its own; the response of equal payloads is the row of the smallest id, null first."""
+    body = "x" * 150
+    p = spark.createDataFrame([(7, "u", body, 1), (7, "u", body, 1), (None, "v", body, 1), (3, "w", "y" * 150, 1)], "page_id long, url string, html string, kind int").repartition(2)
+    got = sorted(((r.page_id or 0, r.record_type, r.refers_to) for r in warc.digests(warc.write_archives(p)).collect()), key=repr)
+    assert got == [(0, "response", None), (3, "response", None), (7, "revisit", None), (7, "revisit", None)]
+
+
 @pytest.mark.parametrize("shard_rows", [1 << 18, 7])
 def test_maxscore_query(spark, shard_rows):
     rnd = random.Random(1)
