@@ -376,14 +376,45 @@ def crag_verdict(spark, sf_dir):
     return correction.verdict(evaluated(spark, sf_dir), questions(spark, sf_dir))
 
 
-@query("crag_corrected")
+def _judged_sql(n: str, asks: str) -> str:
+    """Relevance and verdict of the hits of a BM25 block, as CTEs numbered ``n``."""
+    words = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
+    q, c, f = words.format("q.text"), words.format("d.text"), words.format("d.source")
+    size = f"greatest(1, len({q}))"
+    return f"""rel{n} AS (SELECT h.query_id, round(least(1.0, 0.3 * len(list_intersect({q}, {c})) / {size} + 0.15 * len(list_intersect({q}, {f})) / {size} + CASE WHEN length(d.text) > 50 AND length(d.text) < 2000 THEN 0.1 ELSE 0.0 END
+  + CASE WHEN contains(d.text, '\"\"\"') OR contains(d.text, '\'\'\'\'\'\'') OR contains(d.text, '/**') THEN 0.1 ELSE 0.0 END), 6) AS relevance FROM hits{n} h JOIN documents d ON d.doc_id = h.chunk_id JOIN {asks} q ON q.query_id = h.query_id),
+ver{n} AS (SELECT q.query_id, m, CASE WHEN m >= 0.5 THEN 'correct' WHEN m IS NULL OR m <= 0.15 THEN 'incorrect' ELSE 'ambiguous' END AS quality, round(CASE WHEN m IS NULL THEN 0.0 WHEN m >= 0.5 THEN m WHEN m <= 0.15 THEN 1 - m ELSE 0.5 END + 1e-9, 6) AS confidence
+  FROM {asks} q LEFT JOIN (SELECT query_id, avg(relevance) AS m FROM rel{n} GROUP BY query_id) r ON r.query_id = q.query_id)"""
+
+
+def _numbered(sql: str, n: str) -> str:
+    """A BM25 block with its CTEs renamed."""
+    import re
+
+    return re.sub(r"\b(tok|stat|post|ask|dfs|part|scored|ranked|hits)\b", rf"\g<1>{n}", sql)
+
+
+_GENERAL = "[" + ", ".join(f"'{w}'" for w in sorted(correction.GENERAL_WORDS)) + "]"
+
+
+@query(
+    "crag_corrected",
+    f"""WITH {ASKED}, {_numbered(bm25_sql(10, asks="asked"), "1")}, {_judged_sql("1", "asked")},
+kw AS (SELECT a.query_id AS "of", a.query_id || '#0' AS query_id, trim(trim(regexp_replace(lower(text), '^(?:how|what|where|when)\\s+(?:does|do|is|are)\\s+', ''), '?')) AS text FROM asked a JOIN ver1 v ON v.query_id = a.query_id AND quality <> 'correct' WHERE regexp_matches(lower(text), '^(how|what|where|when)')),
+again AS (SELECT * FROM kw WHERE NOT list_contains({_GENERAL}, text) AND text <> ''), {_numbered(bm25_sql(10, asks="again"), "2")}, {_judged_sql("2", "again")},
+other AS (SELECT w."of" AS query_id, chunk_id, score FROM hits2 h JOIN again w ON w.query_id = h.query_id JOIN ver2 v ON v.query_id = h.query_id AND confidence > 0.15),
+keep AS (SELECT h.query_id, chunk_id, score FROM hits1 h JOIN ver1 v ON v.query_id = h.query_id WHERE quality <> 'incorrect' OR h.query_id NOT IN (SELECT query_id FROM other)),
+al AS (SELECT * FROM keep UNION ALL SELECT * FROM other o WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM keep))
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM al) WHERE rank <= 10""",
+)
 def crag_corrected(spark, sf_dir):
     c = chunks(spark, sf_dir)
 
     def judge(found: DataFrame, qs: DataFrame) -> DataFrame:
         return correction.verdict(correction.relevance(found.select("query_id", "chunk_id", "rank").join(c, "chunk_id").join(qs.select("query_id", "text"), "query_id")), qs)
 
-    return correction.corrected(asked(spark, sf_dir), lambda qs: lexical.bm25(c, qs, k=10), judge, limit=10).select("query_id", "chunk_id", "score", "rank")
+    found = correction.corrected(asked(spark, sf_dir), lambda qs: lexical.bm25(c, qs, k=10), judge, limit=10)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("mmr_select")

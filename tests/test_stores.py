@@ -338,3 +338,18 @@ def test_code_graph_of_other_languages(spark):
         ("a.ts", "Token", "IMPORTS"), ("Handler", "Base", "INHERITS"), ("Handler", "Token", "IMPLEMENTS"), ("Handler", "check", "CALLS"), ("Open", "Close", "CALLS"), ("d.rs", "Area", "IMPORTS"), ("area", "helper", "CALLS"),
     }
     assert {short(r.dst) for r in edges.where("edge_type = 'CONTAINS'").collect()} == {"Handler", "check", "Base", "Open", "Close", "area", "helper"}
+
+
+def test_line_chunks_cover_a_text(spark):
+    """Chunks by lines: every line that is not blank is in one, ends are at rests or at twice the target, overlaps are short."""
+    rnd = random.Random(11)
+    lines = [" " * rnd.choice([0, 0, 4]) + "w" * rnd.randint(0, 120) for _ in range(600)]
+    found = list(chunking.line_chunks(lines))
+    assert {n for a, b in found for n in range(a, b + 1)} >= {n for n, x in enumerate(lines, 1) if x.strip()}
+    tokens = lambda a, b: sum(chunking.tokens(x + "\n") for x in lines[a - 1 : b])
+    for (a, b), (c, _) in zip(found, found[1:], strict=False):
+        assert a <= b < c + 9 and c > a and chunking.TARGET <= tokens(a, b) <= 2 * chunking.TARGET + 31 + chunking.OVERLAP
+        rest = not lines[b - 1].strip() or not lines[b].startswith((" ", "\t"))
+        assert rest or tokens(a, b) >= 2 * chunking.TARGET
+    rows = chunking.chunks(spark.createDataFrame([("f.txt", "\n".join(lines), "text")], "file_path string, content string, language string")).orderBy("start_line").collect()
+    assert [(r.start_line, r.end_line) for r in rows] == found and all(r.content == "\n".join(lines[r.start_line - 1 : r.end_line]) for r in rows)
