@@ -30,13 +30,17 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 SPREAD_BYTES = 256 << 20
 
 
+def _bytes(df: DataFrame) -> int:
+    """Size by the optimizer's statistics; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
 def spread(texts: DataFrame, key: str) -> DataFrame:
     """A small table of texts, dealt to all cores by its key: its files may hold
-    too few blocks to keep them busy, and what groups by the key needs no further
-    exchange. A large one has blocks enough, and its texts stay where they are."""
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    return texts.repartition(cores, key) if size <= SPREAD_BYTES else texts
+    too few blocks to keep them busy. A large one has blocks enough, and its
+    texts stay where they are."""
+    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, key) if _bytes(texts) <= SPREAD_BYTES else texts
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", only: DataFrame | None = None) -> DataFrame:
@@ -51,6 +55,10 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
         rows = words.select("chunk_id", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
         wanted = small(only.select("term").union(only.sparkSession.range(1).select(F.lit("").alias("term"))).distinct())
         rows = rows.join(wanted, "term", "left_semi")
+        if _bytes(texts) > SPREAD_BYTES:
+            # dealt by chunk alone: neither counting a chunk's terms nor adding up its scores moves a row again
+            least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            rows = rows.repartition(max(least, _bytes(texts) // (64 << 20)), "chunk_id")
     return rows.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -82,8 +90,9 @@ def bm25(
     one stem.
 
     The corpus is read once: its words meet the asked terms before anything is
-    moved, and what is left, with each chunk's length, is kept in the checkpoint
-    folder; frequencies, lengths and scores come from there."""
+    moved, and what is left, with each chunk's length, is kept by chunk in the
+    checkpoint folder; frequencies and lengths come from there, scores are added
+    up in place, and only each part's ``k`` best rows of a query are moved."""
     if allowed is not None:
         chunks = chunks.join(allowed.select("file_path").distinct(), "file_path", "left_semi")
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
@@ -91,7 +100,7 @@ def bm25(
         posted, asked = _stemmed_postings(chunks, asked)
     else:
         posted = postings(chunks, only=asked)
-    posted = cut(posted)
+    posted = cut(posted, keep_partitions=True)
     lengths = posted.where("term = ''")
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     weights = document_frequencies(posted, stats)

@@ -24,7 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, keep_partitions: bool = False) -> DataFrame:
+    """``df`` checkpointed in the shared folder. With ``keep_partitions`` it is
+    planned without adaptive execution, whose plans do not say how their rows are
+    dealt, so what groups by the same key later needs no exchange."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    if not keep_partitions:
+        return df.checkpoint()
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(name, before)

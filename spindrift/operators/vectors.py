@@ -61,8 +61,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, keep: Column | None
     if keep is not None:
         vectors = vectors.where(keep)
     vectors, queries = (x.where("vec_id is not null and embedding is not null").select("vec_id", "embedding") for x in (vectors, queries))
-    least = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards, blocks = max(least, -(-vectors.count() // shard_rows)), max(1, -(-queries.count() // block_rows))
+    n, least = vectors.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each shard gives k rows a query: as many as its rows are worth, or as memory asks for
+    shards, blocks = max(1, min(least, n // 1024), -(-n // shard_rows)), max(1, -(-queries.count() // block_rows))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.withColumn("shard", deal(shards)).withColumn("block", every(blocks))
