@@ -103,24 +103,25 @@ def language(path: Column, default: str | None = None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+# Kinds of files in order of precedence, by parts of the name and by folders above.
+FILE_KINDS = [
+    ("test", ["test", "spec"], ["tests", "__tests__"]),
+    ("fe_component", [], ["components", "pages", "views", "screens"]),
+    ("fe_client", ["client"], ["api"]),
+    ("be_handler", [], ["handlers", "controllers", "routes"]),
+    ("contract", ["contract", "interface"], ["types"]),
+    ("shared_type", [], ["shared", "common"]),
+    ("endpoint", ["endpoint", "route"], []),
+]
+
+
 def node_type(path: Column) -> Column:
-    """What a file is, by its name and folders; the first rule that fits."""
+    """What a file is by ``FILE_KINDS``: the first kind that fits, else ``file``."""
     parts = F.split(F.lower(path), "/")
     name = F.element_at(parts, -1)
-    folder = lambda *names: F.arrays_overlap(parts, F.array(*map(F.lit, names)))
-    rules = [
-        (any_of(name, ["test", "spec"]) | folder("tests", "__tests__"), "test"),
-        (folder("components", "pages", "views", "screens"), "fe_component"),
-        (F.contains(name, F.lit("client")) | folder("api"), "fe_client"),
-        (folder("handlers", "controllers", "routes", "api"), "be_handler"),
-        (any_of(name, ["contract", "interface"]) | folder("types"), "contract"),
-        (folder("shared", "common"), "shared_type"),
-        (any_of(name, ["endpoint", "route"]), "endpoint"),
-    ]
-    out = F
-    for rule, kind in rules:
-        out = out.when(rule, kind)
-    return out.otherwise("file")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.array(*map(F.lit, n)).cast("array<string>").alias("names"), F.array(*map(F.lit, f)).cast("array<string>").alias("folders")) for k, n, f in FILE_KINDS])
+    fits = F.filter(kinds, lambda x: F.exists(x["names"], lambda p: F.contains(name, p)) | F.arrays_overlap(parts, x["folders"]))
+    return F.coalesce(F.get(fits, F.lit(0))["kind"], F.lit("file"))
 
 
 # Import statements by language, with the group that holds the name.

@@ -353,3 +353,26 @@ def test_line_chunks_cover_a_text(spark):
         assert rest or tokens(a, b) >= 2 * chunking.TARGET
     rows = chunking.chunks(spark.createDataFrame([("f.txt", "\n".join(lines), "text")], "file_path string, content string, language string")).orderBy("start_line").collect()
     assert [(r.start_line, r.end_line) for r in rows] == found and all(r.content == "\n".join(lines[r.start_line - 1 : r.end_line]) for r in rows)
+
+
+def test_exports_logs_and_history(spark, tmp_path):
+    points = spark.createDataFrame([("a", 1.5, {"k": "v", "b": "2"}), ("c", 2.0, {})], "name string, value double, tags map<string,string>")
+    files.export(points, str(tmp_path / "j"))
+    assert {r.name: r.value for r in spark.read.json(str(tmp_path / "j")).collect()} == {"a": 1.5, "c": 2.0}
+    files.export(points, str(tmp_path / "c"), "csv")
+    assert {(r.name, r.tags) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()} == {("a", "b=2;k=v"), ("c", None)}
+    with pytest.raises(ValueError):
+        files.export(points, str(tmp_path / "x"), "xml")
+    log = str(tmp_path / "log")
+    files.append_jsonl(spark.range(3).withColumn("t", F.col("id")), log)
+    files.append_jsonl(spark.range(3, 5).withColumn("t", F.col("id")), log)
+    (tmp_path / "log" / "bad.json").write_text("{cut\n")
+    assert files.read_jsonl(spark, log, "id long, t long").count() == 5
+    assert [r.id for r in files.read_jsonl(spark, log, "id long, t long", order="t", last=2).collect()] == [4, 3]
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1)], "k string, n int")
+    assert {tuple(r) for r in jobs.history(rows, 2, "k", "n").collect()} == {("a", 3), ("a", 2), ("b", 1)}
+    assert [r.n for r in jobs.history(rows, 1, None, "n").collect()] == [3]
+    moves = spark.createDataFrame([("x", "change", 1), ("x", "delete", 2), ("y", "delete", 1), ("y", "change", 3)], "path string, op string, ts int")
+    assert {tuple(r) for r in jobs.latest_changes(moves).collect()} == {("x", "delete"), ("y", "change")}
+    points = spark.createDataFrame([(1, 30, 100), (2, 5, 0)], "words int, retrieved int, total int")
+    assert [r.m for r in points.select(metrics.estimated_missed(F.col("words"), F.col("retrieved"), F.col("total")).alias("m")).collect()] == [0, 0]
