@@ -28,6 +28,9 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 #: Texts up to this size (by the optimizer) are dealt out by chunk first.
 SPREAD_BYTES = 256 << 20
+#: Texts of a part: what all questions ask of them is added up in one task's
+#: memory. Beyond so many parts they grow, and their sums spill.
+PART_BYTES, MOST_PARTS = 4 << 20, 1 << 17
 
 
 def _bytes(df: DataFrame) -> int:
@@ -40,7 +43,8 @@ def spread(texts: DataFrame, key: str) -> DataFrame:
     """A small table of texts, dealt to all cores by its key: its files may hold
     too few blocks to keep them busy. A large one has blocks enough, and its
     texts stay where they are."""
-    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, key) if _bytes(texts) <= SPREAD_BYTES else texts
+    size, cores = _bytes(texts), texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(max(cores, size // PART_BYTES), key) if size <= SPREAD_BYTES else texts
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", only: DataFrame | None = None) -> DataFrame:
@@ -58,7 +62,7 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
         if _bytes(texts) > SPREAD_BYTES:
             # dealt by chunk alone: neither counting a chunk's terms nor adding up its scores moves a row again
             least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            rows = rows.repartition(max(least, _bytes(texts) // (64 << 20)), "chunk_id")
+            rows = rows.repartition(max(least, min(MOST_PARTS, _bytes(texts) // PART_BYTES)), "chunk_id")
     return rows.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
