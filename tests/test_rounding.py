@@ -34,3 +34,10 @@ def test_hybrid_scores_are_rounded_once(spark, tmp_path, name):
     got = [(r.chunk_id, r.final, r["rank"]) for r in catalog.QUERIES[name](spark, sf).orderBy("rank").collect()]
     assert got == [(7, 0.123456, 1), (14, 0.123456, 2)]
     assert got == con.execute(f"SELECT chunk_id, final, rank FROM ({catalog.ORACLE_SQL[name]}) ORDER BY rank").fetchall()
+
+
+def test_routed_scores_are_rounded_once(spark, tmp_path):
+    sf, con = near_a_half(spark, tmp_path, 0.1 * 0.8)  # question 1 asks how: implementation
+    got = [(r.chunk_id, r.intent, r.final, r["rank"]) for r in catalog.QUERIES["hybrid_routed"](spark, sf).orderBy("rank").collect()]
+    assert got == [(7, "implementation", 0.123456, 1), (14, "implementation", 0.123456, 2)]
+    assert got == con.execute(f"SELECT chunk_id, intent, final, rank FROM ({catalog.ORACLE_SQL['hybrid_routed']}) ORDER BY rank").fetchall()
