@@ -1,12 +1,15 @@
 """Scores at and just below a half of the last digit, as the queries' SQL rounds them."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import duckdb
+import pandas as pd
 import pytest
 
 from spindrift import catalog
+from spindrift.catalog import retrieval
 
 
 def near_a_half(spark, folder, weight):
@@ -41,3 +44,19 @@ def test_routed_scores_are_rounded_once(spark, tmp_path):
     got = [(r.chunk_id, r.intent, r.final, r["rank"]) for r in catalog.QUERIES["hybrid_routed"](spark, sf).orderBy("rank").collect()]
     assert got == [(7, "implementation", 0.123456, 1), (14, "implementation", 0.123456, 2)]
     assert got == con.execute(f"SELECT chunk_id, intent, final, rank FROM ({catalog.ORACLE_SQL['hybrid_routed']}) ORDER BY rank").fetchall()
+
+
+@pytest.mark.parametrize("how", ["mean"])
+def test_fused_halves_are_rounded_as_in_sql(spark, monkeypatch, how):
+    rng = random.Random(1)
+    legs = {"hits": "norm_score", "near": "embedding_score"}
+    # every other score ends at a half of the sixth digit, and so do means of two
+    tables = {name: pd.DataFrame([(1, c, rng.randrange(2 * 10**6) * 5 / 10**7) for c in range(3000)], columns=["query_id", "chunk_id", score]) for name, score in legs.items()}
+    con = duckdb.connect()
+    for name, rows in tables.items():
+        con.register(name, rows)
+    monkeypatch.setattr(retrieval, "hits", lambda spark, sf_dir, k=10: spark.createDataFrame(tables["hits"]))
+    monkeypatch.setattr(retrieval, "near_hits", lambda spark, sf_dir, k=100: spark.createDataFrame(tables["near"]))
+    got = sorted((r.chunk_id, r.score) for r in catalog.QUERIES[f"fuse_{how}"](spark, "").collect())
+    lists = retrieval.LISTS.split(retrieval.NEAR + ",")[1]  # over the two tables in place of the searches
+    assert got == con.execute(f"WITH {lists} SELECT chunk_id, round({retrieval.FUSIONS[how]}, 6) FROM l GROUP BY chunk_id ORDER BY chunk_id").fetchall()
