@@ -46,7 +46,7 @@ def test_routed_scores_are_rounded_once(spark, tmp_path):
     assert got == con.execute(f"SELECT chunk_id, intent, final, rank FROM ({catalog.ORACLE_SQL['hybrid_routed']}) ORDER BY rank").fetchall()
 
 
-@pytest.mark.parametrize("how", ["mean"])
+@pytest.mark.parametrize("how", ["mean", "weighted"])
 def test_fused_halves_are_rounded_as_in_sql(spark, monkeypatch, how):
     rng = random.Random(1)
     legs = {"hits": "norm_score", "near": "embedding_score"}
