@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from spindrift import catalog
-from spindrift.catalog import retrieval
+from spindrift.catalog import analytics, retrieval
 
 
 def near_a_half(spark, folder, weight):
@@ -60,3 +60,16 @@ def test_fused_halves_are_rounded_as_in_sql(spark, monkeypatch, how):
     got = sorted((r.chunk_id, r.score) for r in catalog.QUERIES[f"fuse_{how}"](spark, "").collect())
     lists = retrieval.LISTS.split(retrieval.NEAR + ",")[1]  # over the two tables in place of the searches
     assert got == con.execute(f"WITH {lists} SELECT chunk_id, round({retrieval.FUSIONS[how]}, 6) FROM l GROUP BY chunk_id ORDER BY chunk_id").fetchall()
+
+
+def test_utilities_are_rounded_once(spark, monkeypatch):
+    # 0.6 of these scores ends just below a half of the sixth digit, or at it
+    scores = [x + 5000 * i for x in (4166, 2500) for i in range(0, 199_000, 97)]
+    rows = [(1, c, s / 1e9, 0, "f", c % 2, c // 2 % 2) for c, s in enumerate([10**9, *scores])]
+    cand = pd.DataFrame(rows, columns=["query_id", "chunk_id", "bm25_score", "tokens", "file_path", "contract_score", "pinned_score"])
+    monkeypatch.setattr(analytics, "candidates", lambda spark, sf_dir: spark.createDataFrame(cand))
+    got = sorted((r.chunk_id, r.utility) for r in catalog.QUERIES["pack_utility"](spark, "").collect())
+    con = duckdb.connect()
+    con.register("cand", cand)
+    assert got == con.execute(f"WITH {analytics.UTILITY.split(retrieval.CANDIDATES + ',')[1]} SELECT chunk_id, utility FROM ut ORDER BY chunk_id").fetchall()
+    assert got[1][1] == 0.200002
