@@ -424,8 +424,11 @@ def response_budget(spark, sf_dir):
 SELECT event_id, CASE WHEN n < 1024 THEN printf('%.1f B', n / 1) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824) ELSE printf('%.1f TB', n / 1099511627776) END AS size,
   CASE WHEN sec < 60 THEN printf('%.1fs', sec) WHEN sec < 3600 THEN printf('%dm %.1fs', CAST(floor(sec / 60) AS BIGINT), sec - 60 * floor(sec / 60)) ELSE printf('%dh %dm', CAST(floor(sec / 3600) AS BIGINT), CAST(floor(sec / 60) AS BIGINT) % 60) END AS duration FROM s""")
 def readable_sizes(spark, sf_dir):
-    i = F.col("event_id")
-    e = table(spark, sf_dir, "events").select("event_id", (i * i * i % 5000000000000).alias("n"), (i % 9000 + 0.5).cast("double").alias("sec"))
+    i, most = F.col("event_id"), 5000000000000
+    # the cube of an id passes 64 bits from 2 097 152 on: remainders are multiplied, as decimals
+    rest = (i % most).cast("decimal(13,0)")
+    cube = (rest * rest % most).cast("decimal(13,0)") * rest % most
+    e = table(spark, sf_dir, "events").select("event_id", cube.cast("long").alias("n"), (i % 9000 + 0.5).cast("double").alias("sec"))
     return e.select("event_id", code.readable_size(F.col("n").cast("double")).alias("size"), code.readable_duration(F.col("sec")).alias("duration"))
 
 

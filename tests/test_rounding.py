@@ -73,3 +73,15 @@ def test_utilities_are_rounded_once(spark, monkeypatch):
     con.register("cand", cand)
     assert got == con.execute(f"WITH {analytics.UTILITY.split(retrieval.CANDIDATES + ',')[1]} SELECT chunk_id, utility FROM ut ORDER BY chunk_id").fetchall()
     assert got[1][1] == 0.200002
+
+
+def test_sizes_of_large_ids(spark, tmp_path):
+    ids = [0, 11, 4095, 99_999, 2_097_151, 2_097_152, 5_999_999, 10**12 + 7, 9 * 10**18, -3_000_000]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()  # the SQL's own product needs more than 64 bits as well
+    con.execute(f"CREATE VIEW events AS SELECT CAST(event_id AS HUGEINT) AS event_id FROM '{tmp_path}/events.parquet/*.parquet' WHERE abs(event_id) < 10000000")
+    got = {r.event_id: (r["size"], r.duration) for r in catalog.QUERIES["readable_sizes"](spark, str(tmp_path)).collect()}
+    want = {r[0]: r[1:] for r in con.execute(catalog.ORACLE_SQL["readable_sizes"]).fetchall()}
+    assert len(got) == len(ids) and {k: got[k] for k in want} == want
+    rest = (10**12 + 7) ** 3 % (5 * 10**12)
+    assert rest == 343 + 147 * 10**12 % (5 * 10**12) and got[10**12 + 7][0] == f"{rest / 2**40:.1f} TB"
