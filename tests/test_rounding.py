@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift import catalog
 from spindrift.catalog import analytics, retrieval
@@ -75,6 +76,24 @@ def test_utilities_are_rounded_once(spark, monkeypatch):
     assert got[1][1] == 0.200002
 
 
+def test_digits_are_printed_as_in_sql(spark):
+    halves = sorted({s * i / 10**6 for i in range(50, 10**6, 900) for s in (-1, 1)} | {i / 2**k for k in range(5, 14) for i in range(-40, 41)})
+    got = {r.x: r.digits for r in spark.createDataFrame([(x,) for x in halves], "x double").select("x", retrieval.four_digits(F.col("x")).alias("digits")).collect()}
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame({"x": halves}))
+    assert got == dict(con.execute("SELECT x, printf('%.4f', x) FROM t").fetchall())
+
+
+def test_hashed_digests_equal_the_sql(spark, tmp_path):
+    # 13 words apart have components of 0.277350
+    texts = [" ".join(f"w{n}x{i}" for i in range(n)) for n in range(1, 60)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    got = {r.query_id: r.digest for r in catalog.QUERIES["hashed_embeddings"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(f"SELECT query_id, digest FROM ({catalog.ORACLE_SQL['hashed_embeddings']})").fetchall())
+
+
 def test_sizes_of_large_ids(spark, tmp_path):
     ids = [0, 11, 4095, 99_999, 2_097_151, 2_097_152, 5_999_999, 10**12 + 7, 9 * 10**18, -3_000_000]
     spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
