@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift import catalog
 from spindrift.catalog import analytics, retrieval
+from spindrift.plans import iterative
 
 
 def near_a_half(spark, folder, weight):
@@ -104,3 +105,19 @@ def test_sizes_of_large_ids(spark, tmp_path):
     assert len(got) == len(ids) and {k: got[k] for k in want} == want
     rest = (10**12 + 7) ** 3 % (5 * 10**12)
     assert rest == 343 + 147 * 10**12 % (5 * 10**12) and got[10**12 + 7][0] == f"{rest / 2**40:.1f} TB"
+
+
+def test_means_at_a_threshold_do_not_hang_on_their_order(spark):
+    rng, n = random.Random(5), 7
+    asked, found, texts = [], [], []
+    for q in range(200):
+        shared = [rng.randrange(n + 1) for _ in range(10)]
+        while sum(shared) != n * (3 if q % 2 else 6):  # ten hits of mean 0.3 or 0.6
+            shared = [rng.randrange(n + 1) for _ in range(10)]
+        asked.append((q, " ".join(f"w{i}" for i in range(n))))
+        for rank, k in enumerate(shared, 1):
+            texts.append((q * 100 + rank, " ".join(f"w{i}" for i in range(k))))
+            found.append((q, q * 100 + rank, rank))
+    queries, hits, chunks = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(found, "query_id long, chunk_id long, rank int"), spark.createDataFrame(texts, "chunk_id long, content string")
+    got = {r.query_id: (r.relevance, r.decision) for r in iterative.judged(queries, hits, chunks).collect()}
+    assert all(v == ((0.3, "refine") if q % 2 else (0.6, "continue")) for q, v in got.items())
