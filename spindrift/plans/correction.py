@@ -45,7 +45,9 @@ def relevance(hits: DataFrame) -> DataFrame:
 def verdict(evaluated: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     """``query_id``, ``avg_relevance``, ``quality`` and ``confidence`` from the
     ``top`` first hits; no hits at all are incorrect, with confidence 0."""
-    mean = evaluated.where(F.col("rank") <= top).groupBy("query_id").agg(F.avg("relevance").alias("m"))
+    # added in the order of ranks, as the SQL does: a mean may lie at a threshold
+    values = F.transform(F.array_sort(F.collect_list(F.when(F.col("relevance").isNotNull(), F.struct("rank", "relevance")))), lambda x: x["relevance"])
+    mean = evaluated.where(F.col("rank") <= top).groupBy("query_id").agg(F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values)).alias("m"))
     j = queries.select("query_id").join(mean, "query_id", "left")
     quality = F.when(F.col("m") >= CORRECT, "correct").when(F.col("m").isNull() | (F.col("m") <= INCORRECT), "incorrect").otherwise("ambiguous")
     sure = F.when(F.col("m").isNull(), 0.0).when(F.col("m") >= CORRECT, F.col("m")).when(F.col("m") <= INCORRECT, 1 - F.col("m")).otherwise(0.5)

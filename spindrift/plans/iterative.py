@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_of
 from ..operators import graph, ranking, statistics
+from ..operators.lexical import among
 from ..operators.lineage import cut
 from . import intent
 
@@ -177,7 +178,8 @@ def judged(queries: DataFrame, hits: DataFrame, chunks: DataFrame, first: int =
     """``relevance`` (mean share of a question's words in its first results) and
     the ``decision``: continue, refine or retry."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "\\s+"), lambda w: w != ""))
-    rows = hits.where(F.col("rank") <= first).join(chunks.select("chunk_id", words(F.col("content")).alias("have")), "chunk_id").join(queries.select("query_id", words(F.col("text")).alias("want")), "query_id")
+    hits = hits.where(F.col("rank") <= first)
+    rows = hits.join(among(chunks, hits, "content").select("chunk_id", words(F.col("content")).alias("have")), "chunk_id").join(queries.select("query_id", words(F.col("text")).alias("want")), "query_id")
     # divided once, from whole numbers: a mean at a threshold does not hang on the order of its hits
     found = F.size(F.array_intersect("want", "have"))
     mean = rows.groupBy("query_id").agg(F.try_divide(F.sum(found), F.count(found) * F.max(F.greatest(F.size("want"), F.lit(1)))).alias("m"))
