@@ -52,6 +52,25 @@ def test_results_of_bm25_do_not_read_the_corpus_again(spark, corpus):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and "LogicalRDD" in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("k", [3, 500])
+def test_word_overlap_equals_a_loop(spark, corpus, monkeypatch, k):
+    chunks, asks = corpus
+    c = chunks.select("chunk_id", F.coalesce("content", F.lit("")).alias("content"), F.concat(F.lit("src/w"), (F.col("chunk_id") % 5).cast("string")).alias("file_path"), (F.col("chunk_id") * 7 % 400).alias("age"), (F.col("chunk_id") % 11 == 0).alias("pin"))
+    split = lambda x: [w for w in re.split(r"[ \t\n\f\r]+", x) if w]
+    docs = [(r.chunk_id, set(split(r.low)[:1000]), set(split(re.sub("[/_-]", " ", r.file_path))), 0.1 * max(0.0, 1 - r.age / 168) + (0.2 if r.pin else 0.0)) for r in c.withColumn("low", F.lower("content")).collect()]
+    want = set()
+    for q, text in ((r.query_id, r.text) for r in asks.collect()):
+        wanted = set(split((text or "").lower()))
+        n = max(1, len(wanted))
+        score = {i: min(1.0, 0.3 * len(wanted & p) / n + 0.5 * len(wanted & w) / n + b) for i, w, p, b in docs if wanted & p or wanted & w or b > 0}
+        best = sorted(((math.floor(s * 1e6 + 0.5) / 1e6, i) for i, s in score.items()), key=lambda x: (-x[0], x[1]))[:k]
+        want |= {(q, i, s, rank) for rank, (s, i) in enumerate(best, 1)}
+    got = lambda: {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in lexical.word_overlap(c, asks, k=k, hours="age", pinned="pin").collect()}
+    assert got() == want
+    monkeypatch.setattr(counting, "SCORES", 1)
+    assert got() == want
+
+
 def test_verdicts_add_in_the_order_of_ranks(spark):
     from spindrift.plans import correction
 
