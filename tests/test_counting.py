@@ -33,6 +33,8 @@ def test_words_are_those_of_terms(spark, corpus):
     words = sorted({w for c in want.values() for w in c})
     got = {r.chunk_id: (r.dl, {words[c]: n for c, n in zip(r.codes, r.tfs, strict=True)}) for r in counting.counted(chunks.select("chunk_id", F.col("content").alias("text")), words).collect()}
     assert got == {k: (sum(c.values()), dict(c)) for k, c in want.items()}
+    df = Counter(w for c in want.values() for w in c)
+    assert {r.term: r.df for r in lexical.corpus_frequencies(chunks).collect()} == df
 
 
 @pytest.mark.parametrize("match", ["any", "all"])
