@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import code
 from ..functions import text as T
 from ..operators import graph, lexical, metrics, ranking, snapshots
+from ..operators.lineage import cut
 from ..plans import intent, iterative, planner
 from ..sources import indexing, stores
 from . import graphs
@@ -42,7 +43,7 @@ impl AS (SELECT r.contract_id, d.doc_id AS chunk_id FROM records r JOIN document
 
 def contract_tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records, what they depend on, and the next document as their implementor."""
-    r = stores.contract_records(code_chunks(spark, sf_dir))
+    r = cut(stores.contract_records(code_chunks(spark, sf_dir)))  # read by each of the three, and by what joins them
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
     made = r.select("contract_id", (F.col("chunk_id") + 1).alias("chunk_id")).join(d, "chunk_id", "left_semi")
     return r, r.select("contract_id", F.explode("dependencies").alias("name")), made
@@ -50,7 +51,7 @@ def contract_tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 @query("contract_records", f"WITH {RECORDS} SELECT contract_id, chunk_id, name, contract_type, confidence, md5(signature) AS signature FROM records")
 def contract_records(spark, sf_dir):
-    return contract_tables(spark, sf_dir)[0].select("contract_id", "chunk_id", "name", "contract_type", "confidence", F.md5("signature").alias("signature"))
+    return stores.contract_records(code_chunks(spark, sf_dir)).select("contract_id", "chunk_id", "name", "contract_type", "confidence", F.md5("signature").alias("signature"))
 
 
 @query("contract_lookup", f"""WITH {RECORDS}, dd AS (SELECT contract_id, string_agg(name, ',' ORDER BY name) AS d FROM deps GROUP BY contract_id), ii AS (SELECT contract_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY CAST(chunk_id AS VARCHAR)) AS i FROM impl GROUP BY contract_id)

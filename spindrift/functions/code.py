@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, contract_matches, token_estimate
+from .text import CONTRACT_WORDS, CONTRACTS, any_of, token_estimate
 
 #: A contract's signature has so many lines at most.
 SIGNATURE_LINES = 6
@@ -18,15 +20,21 @@ def _first(array: Column, holds) -> Column:
     return F.get(F.filter(F.transform(array, lambda x, i: F.when(holds(x), i + 1)), lambda i: i.isNotNull()), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """A body over a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signature(content: Column, lang: Column) -> Column:
     """The first lines of code, comments left out in front, up to an opening
     brace or (Python) a colon at a line's end."""
-    lines = F.split(content, "\n")
-    start = _first(lines, lambda x: ~F.trim(x).rlike(r"^\s*($|#|//|/\*|\*)"))
-    rest = F.slice(lines, F.coalesce(start, F.lit(1)), SIGNATURE_LINES)
-    stop = _first(rest, lambda x: F.contains(x, F.lit("{")) | ((lang == "python") & x.rlike(r":\s*$")))
-    taken = F.array_join(F.slice(rest, F.lit(1), F.coalesce(stop, F.lit(SIGNATURE_LINES))), "\n")
-    return F.when(start.isNotNull(), F.regexp_replace(taken, r"^\s+|\s+$", ""))
+    is_code = lambda x: ~F.trim(x).rlike(r"^\s*($|#|//|/\*|\*)")
+    ends = lambda x: F.contains(x, F.lit("{")) | ((lang == "python") & x.rlike(r":\s*$"))
+    # code begins among the first lines as a rule: the others are looked at where it does not
+    start = lambda lines: F.coalesce(_first(F.slice(lines, 1, 8), is_code), _first(lines, is_code))
+    until = lambda rest: F.array_join(F.slice(rest, F.lit(1), F.coalesce(_first(rest, ends), F.lit(SIGNATURE_LINES))), "\n")
+    taken = lambda lines: _let(start(lines), lambda at: F.when(at.isNotNull(), _let(F.slice(lines, F.coalesce(at, F.lit(1)), SIGNATURE_LINES), until)))
+    return F.regexp_replace(_let(F.split(content, "\n"), taken), r"^\s+|\s+$", "")
 
 
 def contract_id(file_path: Column, symbol_name: Column, start_line: Column) -> Column:
@@ -34,10 +42,15 @@ def contract_id(file_path: Column, symbol_name: Column, start_line: Column) -> C
 
 
 def best_contract(content: Column, lang: Column) -> Column:
-    """The surest mark (struct contract_type, confidence), the first of equals; null without one."""
-    found = contract_matches(content, lang)
-    top = F.array_max(F.transform(found, lambda x: x["confidence"]))
-    return F.get(F.filter(found, lambda x: x["confidence"] == top), F.lit(0))
+    """The surest mark (struct contract_type, confidence), the first of equals; null
+    without one. A language's own marks are surer than words: none is looked for
+    once one is found."""
+    out = F
+    for name, kinds in CONTRACTS.items():
+        for kind, patterns in kinds.items():
+            hit = (lang == name) & reduce(lambda a, b: a | b, [content.rlike(p) for p in patterns])
+            out = out.when(hit, F.struct(F.lit(kind).alias("contract_type"), F.lit(0.9).alias("confidence")))
+    return out.when(any_of(F.lower(content), CONTRACT_WORDS), F.struct(F.lit("unknown").alias("contract_type"), F.lit(0.6).alias("confidence")))
 
 
 def contract_boost(content: Column, lang: Column, is_contract: Column, boost: float = BOOST) -> Column:
