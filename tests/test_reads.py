@@ -5,9 +5,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.catalog import stores
+from spindrift.catalog import graphs, stores
 from spindrift.functions import code
 from spindrift.functions import text as T
+from spindrift.sources import chunking
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -17,6 +18,17 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@needs_tables
+def test_a_file_is_parsed_once_for_nodes_and_edges(spark, monkeypatch):
+    files = graphs.code_files(spark, SF).cache()
+    nodes, edges = chunking.graph(files)
+    assert "MapIn" not in plan(nodes) and "MapIn" not in plan(edges)
+    monkeypatch.setattr(chunking, "ROWS", 1)
+    again = chunking.graph(files)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(nodes) == rows(again[0]) and rows(edges) == rows(again[1])
+
+
 @needs_tables
 def test_contracts_are_found_once(spark):
     assert all("rlike" not in plan(df).lower() for df in stores.contract_tables(spark, SF)[:2])
