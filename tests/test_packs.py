@@ -2,6 +2,7 @@
 
 import random
 
+from spindrift.catalog import analytics
 from spindrift.operators import packing
 
 
@@ -11,3 +12,13 @@ def test_incremental_packs_of_many_items_are_quick(spark):
     df = spark.createDataFrame(items, "query_id long, chunk_id long, utility double, tokens long")
     got = {r.chunk_id for r in packing.incremental(df, "chunk_id", 15_000).collect()}  # a search through all kept for each item takes an hour
     assert got == {i for _, i, _, _ in sorted(items, key=lambda x: -x[2])[:15_000]}
+
+
+def test_neighbours_meet_by_bins(spark):
+    rng = random.Random(9)
+    rows = sorted({(rng.randrange(-300, 3000), f"f{rng.randrange(3)}") for _ in range(700)})
+    df = spark.createDataFrame(rows, "chunk_id long, file_path string")
+    near = analytics.neighbours(df, 40)
+    want = sorted((a, b) for a, f in rows for b, g in rows if f == g and 0 < a - b <= 40)
+    assert sorted((r.chunk_id, r.needs) for r in near.collect()) == want
+    assert "bin" in near._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
