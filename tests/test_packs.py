@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from spindrift.catalog import analytics
 from spindrift.operators import packing
 
@@ -22,3 +24,13 @@ def test_neighbours_meet_by_bins(spark):
     want = sorted((a, b) for a, f in rows for b, g in rows if f == g and 0 < a - b <= 40)
     assert sorted((r.chunk_id, r.needs) for r in near.collect()) == want
     assert "bin" in near._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+
+
+def test_packs_of_chunks_cut_before_are_the_same(spark):
+    texts = ["", "one", "\n".join(map(str, range(250))), "a\n\nb\n"]
+    lines = F.split("content", "\n")
+    rows = [(q, c, f"f{c % 2}", 1, None, c == 1, c == 2, t) for q in (1, 2) for c, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id long, file_path string, start_line int, symbol_name string, is_contract boolean, is_pinned boolean, content string").withColumn("end_line", F.size(lines))
+    short = df.withColumn("content", F.array_join(F.slice(lines, 1, 100), "\n"))
+    packs = lambda d, most: sorted(tuple(r) for r in packing.markdown(d, most_lines=most).collect())
+    assert packs(df, 100) == packs(short, None) and "99" in packs(df, 100)[0][1] and "\n100\n" not in packs(df, 100)[0][1]
